@@ -1,0 +1,164 @@
+"""Operator 9: secret scans through a trigram inverted index."""
+
+from __future__ import annotations
+
+import re._constants as tokens
+import re._parser as grammar
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.urls import lower_ascii
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A kind of secret: matches of pattern whose group is least characters long, or longer."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 1
+
+
+# The three base kinds in their order.
+BASE = (
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]{32,}", 0, 32),
+)
+# Further kinds that the method adds.
+MORE = (
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+)
+
+
+def trigram_query(pattern: str, most: int = 64) -> list[list[str]] | None:
+    """Alternatives of lower-case trigrams: a match holds all trigrams of one alternative.
+
+    None if some alternative has no mandatory trigram, so that every text must be scanned.
+    """
+
+    def closed(paths):
+        return [(done | ({run} if len(run) >= 3 else frozenset()), "") for done, run in paths]
+
+    def walk(items, paths):
+        for op, arg in items:
+            if op is tokens.LITERAL:
+                paths = [(done, run + chr(arg).lower()) for done, run in paths]
+            elif op is tokens.SUBPATTERN:
+                paths = walk(arg[-1], paths)
+            elif op is tokens.BRANCH:
+                paths = [p for branch in arg[1] for p in walk(branch, paths)]
+            elif op is tokens.MAX_REPEAT and arg[:2] == (0, 1):
+                paths = paths + walk(arg[2], paths)
+            elif op is tokens.MAX_REPEAT and arg[0] >= 1:
+                paths = closed(walk(arg[2], paths)) if arg[0] == 1 and arg[1] == 1 else closed(walk(arg[2], closed(paths)))
+            else:
+                paths = closed(paths)
+            paths = list(dict.fromkeys(paths))
+            if len(paths) > most:
+                paths = [(frozenset(), "")]
+        return paths
+
+    out = []
+    for runs, _ in closed(walk(grammar.parse(pattern), [(frozenset(), "")])):
+        grams = sorted({run[i : i + 3] for run in runs for i in range(len(run) - 2)})
+        if not grams:
+            return None
+        out.append(grams)
+    return out
+
+
+def _spans(text: Column, rule: Rule) -> Column:
+    """array<struct<start,end>> of the matches that are long enough, in code points, end exclusive.
+
+    Gaps between matches come from split, so that positions are running sums of lengths.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    pattern = F.lit(rule.pattern)
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    value = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    gaps = F.split(text, rule.pattern, -1)
+    each = F.zip_with(
+        F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))),
+        value,
+        lambda gm, v: F.struct(gm["g"].alias("g"), F.coalesce(gm["m"], F.lit(0)).alias("m"), F.coalesce(F.length(v) >= rule.least, F.lit(False)).alias("ok")),
+    )
+    begun = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    folded = F.aggregate(
+        each,
+        begun,
+        lambda acc, x: F.struct(
+            (acc["at"] + x["g"] + x["m"]).alias("at"),
+            F.when(x["ok"], F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(F.coalesce(text.rlike(rule.pattern), F.lit(False)), folded).otherwise(none)
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(gram, key): the inverted index of docs for the trigrams that the rules ask for."""
+    grams = sorted({g for r in rules for alt in trigram_query(r.pattern) or [] for g in alt})
+    lowered = docs.select(F.col("doc_id").alias("key"), lower_ascii(F.col("text")).alias("low")).where("low is not null")
+    found = F.filter(F.array(*[F.lit(g) for g in grams]).cast("array<string>"), lambda g: F.contains(F.col("low"), g))
+    return lowered.select("key", F.explode(found).alias("gram"))
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, kinds): documents whose postings satisfy the Boolean query of a rule."""
+    spark = docs.sparkSession
+    asked = []
+    for r in rules:
+        for k, alt in enumerate(trigram_query(r.pattern) or []):
+            if len(alt) > 62:
+                alt = alt[:62]  # a weaker condition; matches are verified in any case
+            asked += [(g, r.kind, k, 1 << i, (1 << len(alt)) - 1) for i, g in enumerate(alt)]
+    query = spark.createDataFrame(asked, "gram string, kind string, alt int, bit long, whole long")
+    assert len(asked) <= 100_000, "too many trigrams to broadcast"
+    return (
+        postings(docs, rules)
+        .join(F.broadcast(query), "gram")  # a row for each trigram of a rule, at most 100,000
+        .groupBy("key", "kind", "alt", "whole")
+        .agg(F.bit_or("bit").alias("has"))
+        .where("has = whole")
+        .groupBy("key")
+        .agg(F.collect_set("kind").alias("kinds"))
+    )
+
+
+def scan_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
+    """One row per document: doc_id, n_<kind> of each base rule, base_sha256, spans.
+
+    spans holds kind:start:end of all matches, comma-joined by start, then in the order of the rules;
+    base_sha256 is the digest of that list for the base rules alone.  Null texts count as empty and
+    have no spans.  Rows that repeat a doc_id are scanned each for itself (a text is scanned if any row
+    of its doc_id is a candidate); null doc_ids keep their rows; an empty table gives an empty result;
+    other columns are ignored.
+
+    Patterns must mean the same in Python and Java and use no look-around, back references or anchors.
+    Rules with mandatory trigrams are evaluated only where the index has a candidate, others everywhere.
+    """
+    rules = base + more
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    indexed = tuple(r for r in rules if trigram_query(r.pattern) is not None)
+    met = texts.join(candidates(texts, indexed), F.col("doc_id").eqNullSafe(F.col("key")), "left") if indexed else texts.withColumn("kinds", F.array().cast("array<string>"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    for r in rules:
+        spans = _spans(F.col("text"), r)
+        if r in indexed:
+            spans = F.when(F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)), spans).otherwise(none)
+        met = met.withColumn(f"s_{r.kind}", spans)
+    met = met.drop("text", "kinds", "key")
+
+    def tagged(place, kind):
+        return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("o"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    def listed(some):
+        return F.array_join(F.transform(F.array_sort(F.concat(*[tagged(i, r.kind) for i, r in enumerate(some)])), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(f"s_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in base]
+    return met.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(rules).alias("spans"))
