@@ -59,12 +59,12 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def worker_cache(key: str, make: Callable[[], object]) -> object:
-    """make() once for each Python worker, however many tasks the worker runs."""
+def worker_cache(slot: str, version: str, make: Callable[[], object]) -> object:
+    """make() once for each Python worker, however many tasks it runs; another version takes the slot over."""
     store = sys.modules.setdefault("lectern_worker_store", types.ModuleType("lectern_worker_store"))
-    if not hasattr(store, key):
-        setattr(store, key, make())
-    return getattr(store, key)
+    if getattr(store, slot, (None,))[0] != version:
+        setattr(store, slot, (version, make()))
+    return getattr(store, slot)[1]
 
 
 def remainder(key: Column, modulus: int) -> Column:

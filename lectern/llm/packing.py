@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
 
             return public_tokenizers.path("byte_bpe_50k.json")
 
-        encoder = worker_cache(f"encoder {place()}", lambda: _Encoder(place()))
+        encoder = worker_cache("encoder", place(), lambda: _Encoder(place()))
         end, row = end_id.to_bytes(4, "little"), 0
         names = ["g", "d", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         part = TaskContext.get().partitionId()
