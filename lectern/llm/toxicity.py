@@ -15,7 +15,7 @@ from lectern.llm.common import saved, worker_cache
 LEXICON = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
 
-def features(text: str | None, shortest: int = 3, longest: int = 6) -> set[str]:
+def features(text: str | None, shortest: int = 4, longest: int = 6) -> set[str]:
     """Words of a text in lower case, and their proper prefixes marked with ``-``."""
     import re
 
@@ -55,7 +55,7 @@ def label_model(votes, given, rounds: int = 20):
 
     silent = ~votes.any(axis=1, keepdims=True)
     fired = np.concatenate([votes, silent], axis=1).astype(np.float32)
-    posterior = np.where(given, 0.9, 0.1).astype(np.float64)
+    posterior = np.where(given, 0.98, 0.02).astype(np.float64)
     for turn in range(rounds):
         prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
         right = (fired * posterior[:, None]).sum(axis=0)
@@ -73,7 +73,10 @@ def label_model(votes, given, rounds: int = 20):
             np.fill_diagonal(shared, 0)
             shared[shared < 0.1] = 0
             discount = 1 / (1 + shared.sum(axis=1))
-        says = np.array([[(posterior[~given].sum() + 1) / (posterior.sum() + 2), (posterior[given].sum() + 1) / (posterior.sum() + 2)], [((1 - posterior)[~given].sum() + 1) / ((1 - posterior).sum() + 2), ((1 - posterior)[given].sum() + 1) / ((1 - posterior).sum() + 2)]])
+        # P(given | label), each with as much prior weight for a right label as its class has rows
+        missed = (posterior[~given].sum() + 0.005 * posterior.sum() + 0.01) / (2 * posterior.sum() + 1)
+        false = ((1 - posterior)[given].sum() + 0.005 * (1 - posterior).sum() + 0.01) / (2 * (1 - posterior).sum() + 1)
+        says = np.array([[missed, 1 - missed], [1 - false, false]])
         odds = np.log(prior / (1 - prior)) + fired @ (lift * discount) + np.log(says[0, given.astype(int)] / says[1, given.astype(int)])
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior, accuracy[:-1], discount[:-1]
@@ -97,7 +100,7 @@ def fit_linear(votes, posterior, ridge: float = 1.0, steps: int = 300):
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, most_docs: int = 20_000, voters: int = 512, least: int = 3, evidence: float = 20.0, purity: float = 10.0) -> Toxicity:
+def learn(docs: DataFrame, labels: DataFrame, training: Column, most_docs: int = 20_000, voters: int = 512, least: int = 3, evidence: float = 20.0, purity: float = 20.0) -> Toxicity:
     """A classifier from at most about most_docs labelled training rows, picked by a hash of doc_id.
 
     training: Boolean column over doc_id.  labels.toxic null is no label; of several labels for a
