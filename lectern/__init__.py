@@ -1 +1,10 @@
-"""lectern: text and reference analytics on PySpark."""
+"""lectern: text and reference analytics on PySpark.
+
+Functions that run inside Spark tasks are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

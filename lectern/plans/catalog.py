@@ -8,3 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its own name; sql: the DuckDB SQL of the same rows."""
+
+    def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+from lectern.plans import keyed, ordering, searching, shaping  # noqa: E402, F401  they register their queries
