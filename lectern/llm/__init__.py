@@ -1,11 +1 @@
-"""Operators for preparing language-model training data.
-
-Nothing outside this subpackage imports it.  Functions that run inside Spark
-tasks are pickled by value, so executors need no copy of the repository.
-"""
-
-from pyspark import cloudpickle
-
-import lectern.llm as _self
-
-cloudpickle.register_pickle_by_value(_self)
+"""Operators for preparing language-model training data.  Nothing outside this subpackage imports it."""
