@@ -68,6 +68,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash)
 } | {"pipeline": corpus_pipeline.run}
 
+# Kind, pattern for RE2 (letters of either case spelled out), group of the value, least length.
+_SECRET_KINDS = [
+    ("assign", "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+]
+
+
+def _secret_sql() -> str:
+    texts = "(SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"
+    kinds = " UNION ALL ".join(
+        f"SELECT r, '{kind}' AS kind, {o} AS o, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS g FROM d"
+        for o, (kind, p, g, least) in enumerate(_SECRET_KINDS)
+    )
+    listed = "coalesce(string_agg(kind || ':' || a || ':' || (a + len(w)), ',' ORDER BY a, o){}, '')"
+    return f"""
+        WITH d AS MATERIALIZED {texts}, k AS ({kinds}), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+             s AS (SELECT r, kind, o, m[i] AS w, list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS a
+                   FROM i WHERE len(v[i]) >= least)
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256({listed.format(" FILTER (o < 3)")}) AS base_sha256, {listed.format("")} AS spans
+        FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
@@ -83,4 +109,12 @@ ORACLE_SQL: dict[str, str] = {
              m AS (SELECT p.page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(rv, length(rh || rp)) AS rv
                    FROM p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY 1)
         SELECT p.page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op9_secret_scan": _secret_sql(),
+    "op1_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+                             WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+             r AS (SELECT vec_id, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.vec_id),
+             n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(low) AS component_id, vec_id = min(low) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id""",
 }
