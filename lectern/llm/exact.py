@@ -21,7 +21,8 @@ def exact_duplicates(docs: DataFrame, head: int = 24, partitions: int | None = N
 
     Texts are equal when identical after the ASCII blanks are deleted; null counts as empty, so null,
     empty and blank texts form one group.  Of equal texts the one with the most code points before
-    that, then the smallest doc_id, stays; rows that tie in both stay together.  Null doc_ids come last.
+    that, then the smallest doc_id, stays; of rows that tie in both, which this result can't tell apart, one
+    is kept.  Null doc_ids come last.
     An empty table gives an empty result; other columns are ignored.
 
     Each scan task first folds its own equal texts together, so a group of copies sends one row per
@@ -115,15 +116,16 @@ def exact_duplicates(docs: DataFrame, head: int = 24, partitions: int | None = N
 
 
 def _with_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Only groups of copies are joined; a text of its own stays as it is."""
+    """Only groups of copies are joined; a text of its own stays as it is.  Rows alike in all travel as one."""
+    members = members.groupBy("doc_id", "sha", "len").agg(F.count("*").alias("alike"))
     several = groups.where("group_size > 1").withColumnRenamed("sha", "gsha")
     met = members.join(several, F.col("sha") == F.col("gsha"), "left")
     alone = F.col("gsha").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return met.select(
+    return met.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("alike").cast("int")))).select(
         "doc_id",
         keep.alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(keep) & (F.col("len") == F.col("keep_len")))).alias("kept"),
+        ((F.col("turn") == 1) & (alone | (F.col("doc_id").eqNullSafe(keep) & (F.col("len") == F.col("keep_len"))))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )

@@ -44,8 +44,8 @@ def exact_brute(corpus):
     out = Counter()
     for body, members in groups.items():
         best = min(members, key=lambda m: (m[0], m[1], m[2] or 0))
-        for m in members:
-            out[m[2], best[2], len(members), len(members) == 1 or m == best, hashlib.sha256(body.encode()).hexdigest()] += 1
+        for k, m in enumerate(members):
+            out[m[2], best[2], len(members), k == members.index(best), hashlib.sha256(body.encode()).hexdigest()] += 1
     return out
 
 
