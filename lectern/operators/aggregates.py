@@ -44,8 +44,8 @@ def first_mentions(df: DataFrame, group: str, item: str, order: str) -> DataFram
 
 
 def latest(df: DataFrame, key: str, version: list[str], *values: str) -> DataFrame:
-    """The last row of each key by version: a grouped maximum, not a sorted window."""
-    return df.groupBy(key).agg(F.max(F.struct(*version, *values)).alias("_last")).select(key, *[F.col(f"_last.{v}").alias(v) for v in values])
+    """Version and values of the last row of each key by version: a grouped maximum, not a sorted window."""
+    return df.groupBy(key).agg(F.max(F.struct(*version, *values)).alias("_last")).select(key, *[F.col(f"_last.{v}").alias(v) for v in (*version, *values)])
 
 
 def coverage(df: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -174,9 +174,7 @@ def session_summary(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
 def upsert_latest(spark, d):
-    return aggregates.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").join(
-        table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts")), "user_id"
-    )
+    return aggregates.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_type", "ts")
 
 
 @query("SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE lang <> 'en'")
