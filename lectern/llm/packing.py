@@ -104,6 +104,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     spread over windows by Karmarkar-Karp differencing; the number of windows rises from the least
     possible one while one exceeds capacity.
 
+    docs should be a written table: groups follow the place of a row in its task, so a task that runs
+    again must find its rows in the same order.
+
     Null and empty texts are the end id alone.  Repeated rows and doc_ids are documents of their own;
     null doc_ids keep their rows; an empty table gives an empty result; other columns are ignored.
     """
