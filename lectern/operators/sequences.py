@@ -52,3 +52,56 @@ def accuracy(result: Column) -> Column:
     """Right words over expected and extra ones; null without either."""
     total = result["ok"] + result["missed"] + result["extra"]
     return F.when(total > 0, result["ok"] / total)
+
+
+def moved(a: list, b: list, pairs: list[tuple[int, int]], least: int = 3) -> list[tuple[int, int, int]]:
+    """(i, j, n): runs of n words, least or more, that the alignment leaves out on both sides but that occur in both.
+
+    Longest first; words are used once.
+    """
+    free_a, free_b = set(range(len(a))) - {i for i, _ in pairs}, set(range(len(b))) - {j for _, j in pairs}
+    found = []
+    for i in sorted(free_a):
+        for j in sorted(free_b):
+            n = 0
+            while i + n in free_a and j + n in free_b and a[i + n] == b[j + n]:
+                n += 1
+            if n >= least:
+                found.append((-n, abs(i - j), i, j))
+    out = []
+    for n, _, i, j in sorted(found):
+        mine_a, mine_b = set(range(i, i - n)), set(range(j, j - n))
+        if mine_a <= free_a and mine_b <= free_b:
+            out.append((i, j, -n))
+            free_a -= mine_a
+            free_b -= mine_b
+    return out
+
+
+def carried(words: list | None, tags: list | None, other: list | None) -> list:
+    """Tags of words on the words of another version; null where nothing matches.
+
+    Aligned words take their tag, then moved phrases, then a lone word that stands for a lone word between
+    two aligned ones.
+    """
+    words, tags, other = words or [], tags or [], other or []
+    pairs = common(words, other)
+    for i, j, n in moved(words, other, pairs):
+        pairs += [(i + k, j + k) for k in range(n)]
+    used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
+    for j in range(len(other)):
+        alone = j not in used_b and j - 1 not in set(range(len(other))) - used_b and j + 1 not in set(range(len(other))) - used_b
+        if alone:
+            before = next((i for i, x in pairs if x == j - 1), -1)
+            if before + 1 < len(words) and before + 1 not in used_a and (before + 2 in used_a or before + 2 == len(words)):
+                pairs.append((before + 1, j))
+                used_a.add(before + 1)
+    out = [None] * len(other)
+    for i, j in pairs:
+        out[j] = tags[i] if i < len(tags) else None
+    return out
+
+
+def tag_transfer(words: Column, tags: Column, other: Column) -> Column:
+    """array<string>: a tag or null for each word of the other version."""
+    return F.udf(carried, "array<string>", useArrow=True)(words, tags, other)
