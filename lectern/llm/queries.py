@@ -30,7 +30,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
-    return toxicity.score_toxicity(docs, model).withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
