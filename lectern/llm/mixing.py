@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, blo
     spark = docs.sparkSession
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), F.col("source").cast("string"))).otherwise("n")
     stock = {r["k"]: (r["chars"], r["docs"]) for r in docs.groupBy(key.alias("k")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("docs")).collect()}
-    named, block, slot, release, deadline, mixed = fresh(docs, "mix_source", "source_block", "slot", "release", "deadline", "mixed")
+    named, many, mine, turn, block, slot, release, deadline, mixed = fresh(docs, "mix_source", "mix_blocks", "mix_share", "mix_turns", "source_block", "slot", "release", "deadline", "mixed")
     if weights is None:
         target = {k: max(1, chars) ** tempered for k, (chars, _) in stock.items()}
     else:
@@ -89,14 +89,14 @@ def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, blo
         return j // share[k] * length + turns[k][j % share[k]]
 
     horizon = min((slot_of(k, blocks[k]) for k in share), default=0)
-    about = spark.createDataFrame([(k, int(blocks[k]), share.get(k), turns.get(k)) for k in stock] or [("", 1, None, None)], f"{named} string, mix_blocks long, mix_share long, mix_turns array<long>")
+    about = spark.createDataFrame([(k, int(blocks[k]), share.get(k), turns.get(k)) for k in stock] or [("", 1, None, None)], f"{named} string, {many} long, {mine} long, {turn} array<long>")
     out = docs.withColumn(named, key).join(F.broadcast(about) if len(stock) <= most_broadcast else about, named)
-    out = out.withColumn(block, F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.col("mix_blocks")))
-    cycle, within = F.floor(F.col(block) / F.col("mix_share")), F.col(block) % F.col("mix_share")
+    out = out.withColumn(block, F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.col(many)))
+    cycle, within = F.floor(F.col(block) / F.col(mine)), F.col(block) % F.col(mine)
     out = (
-        out.withColumn(slot, cycle * length + F.get("mix_turns", within.cast("int")))
-        .withColumn(release, F.floor(F.col(block) * length / F.col("mix_share")))
-        .withColumn(deadline, F.ceil((F.col(block) + 1) * length / F.col("mix_share")))
+        out.withColumn(slot, cycle * length + F.get(turn, within.cast("int")))
+        .withColumn(release, F.floor(F.col(block) * length / F.col(mine)))
+        .withColumn(deadline, F.ceil((F.col(block) + 1) * length / F.col(mine)))
         .withColumn(mixed, F.coalesce(F.col(slot) < horizon, F.lit(False)))
     )
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], block, slot, release, deadline, mixed)

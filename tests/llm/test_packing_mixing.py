@@ -95,7 +95,7 @@ def test_mix_returns_all_rows_and_meets_the_weights(docs, corpus):
 
 def test_mix_edge_cases(docs, empty):
     assert mixing.mix(empty).count() == 0
-    out = mixing.mix(docs.withColumn("SLOT", F.lit(1)).withColumn("mixed", F.lit(2)))
+    out = mixing.mix(docs.withColumn("SLOT", F.lit(1)).withColumn("mixed", F.lit(2)).withColumn("mix_share", F.lit(3)))
     assert out.columns[-3:] == ["release", "deadline", "mixed_"] and "slot_" in out.columns
     assert out.count() == docs.count() and out.where("source is null and mixed_").count() >= 0
     assert mixing.mix(docs, {}).where("mixed").count() == 0
