@@ -161,6 +161,22 @@ def _counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the most frequent tokens, at most ``most``: all from the lowest count that leaves no more.
+
+    Only a histogram of counts (sixteen steps an octave) and these rows reach the driver, where a sorted
+    limit would send as many rows from each task.
+    """
+    step = F.floor(F.log2("c") * 16)
+    lowest = left = None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        left = (left or 0) + r["count"]
+        if left > most:
+            break
+        lowest = r["step"]
+    return counts.where(step >= lowest).collect() if lowest is not None else []
+
+
 def _trigrams(kinds, lengths, words_end: int):
     """u, v of each token: the classes before it in its text, END before the first."""
     import numpy as np
@@ -189,7 +205,7 @@ def score_texts(
 
     Counts and the model cover all training rows.  The model is started on at most warm_docs texts, then
     every task goes through all its training text and the tasks' models are averaged by their tokens.
-    The driver and the workers hold the ``vocabulary`` most frequent tokens of at most ``longest`` bytes;
+    The driver and the workers hold at most ``vocabulary`` of the most frequent tokens, of ``longest`` bytes or less;
     the counts of all other tokens reach the texts by an equi-join.
 
     Null and empty texts are the end token alone.  Repeated rows and doc_ids are scored each; null
@@ -205,11 +221,12 @@ def score_texts(
     train = marked.where("training")
     counts = saved(_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = counts.where(F.octet_length("token") <= longest).orderBy(F.desc("c"), "token").limit(vocabulary).collect()
+    often = sorted(_most_frequent(counts.where(F.octet_length("token") <= longest), vocabulary), key=lambda r: (-r["c"], bytes(r["token"])))
     listed = [bytes(r["token"]) for r in often]
     if END not in listed[:words]:
         listed = [END, *[x for x in listed if x != END]]
     known = {bytes(r["token"]): r["c"] for r in often}
+    del often
     words = min(words, len(listed))
     heads = listed[:words]
 
