@@ -32,6 +32,11 @@ class Vocabulary:
     tails: int
     tail_terms: object  # log10 of the denominators in each tail class
 
+    def __post_init__(self):
+        import numpy as np
+
+        self.classes = np.array([i if i < self.words else self.words + tail_class(x, self.tails) for x, i in self.index.items()] + [-1], np.int32)
+
     def ids(self, found: list[bytes]):
         """Place in the vocabulary (-1: not in it), and class, of each token."""
         from itertools import repeat
@@ -39,8 +44,8 @@ class Vocabulary:
         import numpy as np
 
         place = np.fromiter(map(self.index.get, found, repeat(-1)), np.int32, len(found))
-        kind = place.copy()
-        for i in np.nonzero((place < 0) | (place >= self.words))[0].tolist():
+        kind = self.classes[place]  # the last entry is for tokens that are not in it
+        for i in np.nonzero(place < 0)[0].tolist():
             kind[i] = self.words + tail_class(found[i], self.tails)
         return place, kind
 
@@ -203,7 +208,7 @@ def score_texts(
     tokens and ``tails`` classes of rarer ones; within a class a token has its add-one share, the class
     keeping one place for what it has not seen, so that probabilities sum to one.
 
-    Counts and the model cover all training rows.  The model is started on at most warm_docs texts, then
+    Counts and the model cover all training rows.  The model is started on about warm_docs texts (twice as many at most), picked by a hash of doc_id; then
     every task goes through all its training text and the tasks' models are averaged by their tokens.
     The driver and the workers hold at most ``vocabulary`` of the most frequent tokens, of ``longest`` bytes or less;
     the counts of all other tokens reach the texts by an equi-join.
@@ -271,7 +276,9 @@ def score_texts(
         return key // (classes * classes), key // classes % classes, key % classes
 
     model = LogBilinear(classes, dim, unigram)
-    warm = [r["text"] for r in train.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(warm_docs).collect()]
+    share = min(1.0, warm_docs / max(1, train.count()))
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003))
+    warm = sorted(r["text"] or "" for r in train.where(hashed < share * 1_000_003).select("text").limit(2 * warm_docs).collect())
     if warm:
         vocab = Vocabulary({x: i for i, x in enumerate(listed)}, None, words, tails, terms)
         key, n = trigram_table(warm, vocab)
@@ -297,7 +304,7 @@ def score_texts(
                 tokens_seen += int(n.sum())
                 keys.append(key)
                 ns.append(n)
-            if sum(map(len, keys)) > 2_000_000:
+            if sum(map(len, keys)) > 1_000_000:
                 key, n = merged()
                 keys, ns = [key], [n]
         if not keys:
@@ -323,8 +330,8 @@ def score_texts(
         lbl = LogBilinear(classes, dim, unigram).load(final.value)
         part, row = _part(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                piece = batch.slice(k, 2048)
+            for k in range(0, batch.num_rows, 1024):
+                piece = batch.slice(k, 1024)
                 places, kinds, lengths, tail, many = [], [], [], [], []
                 for text in piece.column(1):
                     found = tokens(text.as_py())
