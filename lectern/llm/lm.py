@@ -65,6 +65,7 @@ class LogBilinear:
         rng = np.random.default_rng(seed)
         self.before, self.further, self.out = (rng.normal(0, 0.1, (classes, dim)).astype(np.float32) for _ in range(3))
         self.bias = np.log(unigram).astype(np.float32)
+        self.totals = None  # log denominators of the contexts met so far
 
     def flat(self):
         import numpy as np
@@ -72,7 +73,7 @@ class LogBilinear:
         return np.concatenate([x.ravel() for x in (self.before, self.further, self.out, self.bias)])
 
     def load(self, flat) -> LogBilinear:
-        at = 0
+        at, self.totals = 0, None
         for name in ("before", "further", "out", "bias"):
             x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype("float32"))
@@ -115,29 +116,26 @@ class LogBilinear:
                     x -= rate * g / np.sqrt(s)
 
     def log10(self, u, v, w, block: int = 2048):
-        """Normalised log10 P(w | u, v): each distinct context is normalised once, in matrix products."""
+        """Normalised log10 P(w | u, v): each distinct context is normalised once in the model's life, in matrix products."""
         import numpy as np
 
         classes = len(self.bias)
+        if self.totals is None:  # one number for each context
+            self.totals = np.full(classes * classes, np.nan, np.float32)
         key = u.astype(np.int64) * classes + v
-        seen = np.zeros(classes * classes, bool)
-        seen[key] = True
-        contexts = np.nonzero(seen)[0]
-        place = np.empty(classes * classes, np.int32)
-        place[contexts] = np.arange(len(contexts))
-        total = np.empty(len(contexts), np.float32)
-        hidden = self.before[contexts // classes] + self.further[contexts % classes]
+        contexts = np.unique(key[np.isnan(self.totals[key])])
         for k in range(0, len(contexts), block):
-            x = hidden[k : k + block] @ self.out.T
+            at = contexts[k : k + block]
+            x = (self.before[at // classes] + self.further[at % classes]) @ self.out.T
             x += self.bias
             top = x.max(axis=1, keepdims=True)
             x -= top
-            total[k : k + block] = np.log(np.exp(x, out=x).sum(axis=1)) + top[:, 0]
-        at = place[key]
+            self.totals[at] = np.log(np.exp(x, out=x).sum(axis=1)) + top[:, 0]
         out = np.empty(len(w))
         for k in range(0, len(w), 1 << 18):
             j = slice(k, k + (1 << 18))
-            out[j] = np.einsum("ij,ij->i", hidden[at[j]], self.out[w[j]]) + self.bias[w[j]] - total[at[j]]
+            hidden = self.before[u[j]] + self.further[v[j]]
+            out[j] = np.einsum("ij,ij->i", hidden, self.out[w[j]]) + self.bias[w[j]] - self.totals[key[j]]
         return out / math.log(10)
 
 
@@ -327,7 +325,7 @@ def score_texts(
 
     def score(batches):
         vocab = read()
-        lbl = LogBilinear(classes, dim, unigram).load(final.value)
+        lbl = worker_cache("bilinear", version, lambda: LogBilinear(classes, dim, unigram).load(final.value))
         part, row = _part(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
