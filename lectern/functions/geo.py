@@ -108,3 +108,37 @@ def clipped_ring(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Co
         return [{"x": x, "y": y} for x, y in out]
 
     return F.udf(clip, "array<struct<x:double,y:double>>", useArrow=True)(ring)
+
+
+def label_point(rings: Column, grid: int = 48, rounds: int = 4) -> Column:
+    """struct<x,y>: the inner point (even-odd rule over all rings of three points or more) farthest from any edge, or null.
+
+    A grid over the bounds is searched, then smaller ones around the best point so far.
+    """
+
+    def find(given):
+        import numpy as np
+
+        rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in given or [] if len(r) > 2]
+        if not rings:
+            return None
+        a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+        low, high = a.min(axis=0), a.max(axis=0)
+        middle, span, best = (low + high) / 2, high - low, None
+        edge, height = b - a, np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
+        norm = np.maximum((edge**2).sum(axis=1), 1e-300)
+        steps = np.arange(grid + 1) / grid - 0.5
+        for _ in range(rounds):
+            at = np.stack(np.meshgrid(middle[0] + span[0] * steps, middle[1] + span[1] * steps, indexing="ij"), axis=-1).reshape(-1, 1, 2)
+            crossed = ((a[:, 1] > at[..., 1]) != (b[:, 1] > at[..., 1])) & (at[..., 0] < edge[:, 0] * (at[..., 1] - a[:, 1]) / height + a[:, 0])
+            t = np.clip(((at - a) * edge).sum(axis=2) / norm, 0, 1)
+            far = np.where(crossed.sum(axis=1) % 2 == 1, np.hypot(*np.moveaxis(at - a - t[..., None] * edge, 2, 0)).min(axis=1), -1.0)
+            k = int(far.argmax())
+            if far[k] >= 0 and (best is None or far[k] > best[0]):
+                best = (far[k], at[k, 0])
+            if best is None:
+                return None
+            middle, span = best[1], span / grid * 4
+        return {"x": float(best[1][0]), "y": float(best[1][1])}
+
+    return F.udf(find, "struct<x:double,y:double>", useArrow=True)(rings)

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lectern.plans import keyed, ordering, searching, shaping, studying, wordwise  # noqa: E402, F401  they register their queries
+from lectern.plans import keyed, ordering, resolving, searching, shaping, studying, wordwise  # noqa: E402, F401  they register their queries
