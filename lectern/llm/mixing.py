@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import DataFrame
@@ -28,9 +29,11 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def pfair(share: dict) -> dict:
+def pfair(share: dict, held: dict | None = None) -> dict:
     """Slots of each source in one period, earliest deadline first among what is released.
 
+    held: blocks that each source has; the slots end where one without any left is due to be served.
+
     Block j (from 0) of a source with a of P slots is released at floor(j P / a) and due by
     ceil((j + 1) P / a).  The shares fill the period, so every block meets its deadline and after each
     slot every source is less than one block from its share.
@@ -49,6 +52,8 @@ def pfair(share: dict) -> dict:
         due, i = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
+        if held is not None and len(out[names[i]]) == held[names[i]]:
+            break
         a = share[names[i]]
         out[names[i]].append(slot)
         if len(out[names[i]]) < a:
@@ -56,6 +61,34 @@ def pfair(share: dict) -> dict:
     return out
 
 
+def stretches(target: dict, blocks: dict, period: int) -> list[dict]:
+    """The schedule of all blocks: stretches of slots, in each of which the same sources take turns.
+
+    A stretch has its first slot, its share of a period for each source, the slots of a source in the
+    first period, and the block that each source begins with.  It ends where a source is due that has
+    no block left; the sources that have some are shared out anew by their target weights.  The slots
+    listed are never more than the blocks.
+    """
+    done, first, out = dict.fromkeys(target, 0), 0, []
+    active = dict(target)
+    while active:
+        share = shares(active, period)
+        left = {k: blocks[k] - done[k] for k in share}
+        turns = pfair(share, left)
+        length = sum(share.values())
+        listed = sum(map(len, turns.values()))
+        if listed == length:  # whole periods, up to the slot that the first source can't fill
+            end = min(left[k] // share[k] * length + turns[k][left[k] % share[k]] for k in share)
+        else:
+            end = listed
+        out.append({"first": first, "period": length, "share": share, "turns": turns, "begin": {k: done[k] for k in share}})
+        for k in share:
+            done[k] += end // length * share[k] + bisect.bisect_left(turns[k], end % length)
+        first += end
+        active = {k: w for k, w in active.items() if done[k] < blocks[k]}
+    return out
+
+
 def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, block_chars: int = 65_536, period: int = 1000, most_broadcast: int = 50_000) -> DataFrame:
     """docs with source_block, slot, release, deadline (long) and mixed (boolean); names taken get a trailing ``_``.
 
@@ -63,40 +96,42 @@ def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, blo
     no positive weight are never mixed.  Without weights, a source's share follows its text to the power
     tempered.  Weights are rounded to whole slots of a period.  The documents of a source are dealt by
     doc_id to blocks of about block_chars characters; block k has the slot that Pfair scheduling gives
-    it.  The mix ends where the first source runs out of blocks: mixed is true for documents before
-    that slot, and there every prefix has each source within one block of its weight.  Documents after
-    it keep their slots, so all rows are returned.  Null texts have no characters; a repeated doc_id
-    falls in one block with its copies.  An empty table gives an empty result.
+    it.  Where a source runs out of blocks the others go on, with its share dealt to them by their
+    weights, until all are used: mixed is true for every document of a source with a weight, and from
+    one such place to the next each source stays within one block of its weight.  All rows are returned.
+    Null texts have no characters; a repeated doc_id falls in one block with its copies.  An empty table
+    gives an empty result.
 
-    Only a row for each source and one period are held on the driver; they are broadcast up to
-    most_broadcast sources and joined by a shuffle beyond that.
+    The driver holds a row for each source and, each time that one runs out, one period at most; they
+    are broadcast up to most_broadcast sources and joined by a shuffle beyond that.
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), F.col("source").cast("string"))).otherwise("n")
     stock = {r["k"]: (r["chars"], r["docs"]) for r in docs.groupBy(key.alias("k")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("docs")).collect()}
-    named, many, mine, turn, block, slot, release, deadline, mixed = fresh(docs, "mix_source", "mix_blocks", "mix_share", "mix_turns", "source_block", "slot", "release", "deadline", "mixed")
+    named, many, plan, part, block, slot, release, deadline, mixed = fresh(docs, "mix_source", "mix_blocks", "mix_plan", "mix_part", "source_block", "slot", "release", "deadline", "mixed")
     if weights is None:
         target = {k: max(1, chars) ** tempered for k, (chars, _) in stock.items()}
     else:
         target = {("n" if k is None else f"s{k}"): float(v) for k, v in weights.items()}
     target = {k: v for k, v in target.items() if k in stock and v > 0}
     blocks = {k: max(1, min(stock[k][1], -(-stock[k][0] // block_chars))) for k in stock}
-    share = shares(target, period) if target else {}
-    turns = pfair(share) if share else {}
-    length = sum(share.values())
-
-    def slot_of(k: str, j: int) -> int:
-        return j // share[k] * length + turns[k][j % share[k]]
-
-    horizon = min((slot_of(k, blocks[k]) for k in share), default=0)
-    about = spark.createDataFrame([(k, int(blocks[k]), share.get(k), turns.get(k)) for k in stock] or [("", 1, None, None)], f"{named} string, {many} long, {mine} long, {turn} array<long>")
+    plans: dict = {k: [] for k in stock}
+    for x in stretches(target, blocks, period):
+        for k, a in x["share"].items():
+            if x["turns"][k]:
+                plans[k].append((x["begin"][k], x["first"], x["period"], a, x["turns"][k]))
+    kind = "array<struct<begin:bigint,first:bigint,period:bigint,share:bigint,turns:array<bigint>>>"
+    about = spark.createDataFrame([(k, int(blocks[k]), plans[k]) for k in stock] or [("", 1, [])], f"{named} string, {many} long, {plan} {kind}")
     out = docs.withColumn(named, key).join(F.broadcast(about) if len(stock) <= most_broadcast else about, named)
     out = out.withColumn(block, F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.col(many)))
-    cycle, within = F.floor(F.col(block) / F.col(mine)), F.col(block) % F.col(mine)
+    stretch = F.size(F.filter(F.col(plan)["begin"], lambda x: x <= F.col(block))) - 1
+    out = out.withColumn(part, F.when(F.size(plan) > 0, F.get(plan, stretch)))
+    x = F.col(part)
+    nth = F.col(block) - x["begin"]
     out = (
-        out.withColumn(slot, cycle * length + F.get(turn, within.cast("int")))
-        .withColumn(release, F.floor(F.col(block) * length / F.col(mine)))
-        .withColumn(deadline, F.ceil((F.col(block) + 1) * length / F.col(mine)))
-        .withColumn(mixed, F.coalesce(F.col(slot) < horizon, F.lit(False)))
+        out.withColumn(slot, x["first"] + F.floor(nth / x["share"]) * x["period"] + F.get(x["turns"], (nth % x["share"]).cast("int")))
+        .withColumn(release, x["first"] + F.floor(nth * x["period"] / x["share"]))
+        .withColumn(deadline, x["first"] + F.ceil((nth + 1) * x["period"] / x["share"]))
+        .withColumn(mixed, F.col(slot).isNotNull())
     )
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], block, slot, release, deadline, mixed)

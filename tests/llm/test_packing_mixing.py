@@ -100,3 +100,27 @@ def test_mix_edge_cases(docs, empty):
     assert out.count() == docs.count() and out.where("source is null and mixed_").count() >= 0
     assert mixing.mix(docs, {}).where("mixed").count() == 0
     assert mixing.mix(docs, most_broadcast=0).count() == docs.count()
+
+
+def test_mix_goes_on_when_a_source_runs_out(spark):
+    rows = [(i, "x" * 100, "large" if i % 4 else "middle") for i in range(800)] + [(900, "y", "single"), (901, "z", None)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=100)
+    assert out.where("mixed").count() == len(rows) == out.where("slot is not null").count()
+    rows = [r for r in rows if r[2] != "middle"]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"large": 1, "single": 1}, block_chars=100).collect()
+    assert [r["doc_id"] for r in got if not r["mixed"]] == [901]
+
+
+@pytest.mark.parametrize("blocks", [{"a": 5, "b": 400, "c": 90}, {"a": 1, "b": 1, "c": 5000}, {"a": 3000, "b": 3000, "c": 3000}])
+def test_stretches_serve_every_block_within_one_of_its_weight(blocks):
+    weights = {"a": 5, "b": 3, "c": 2}
+    plan = mixing.stretches(weights, blocks, 20)
+    ends = [x["first"] for x in plan[1:]] + [sum(blocks.values())]
+    done = dict.fromkeys(blocks, 0)
+    for x, end in zip(plan, ends):
+        assert x["begin"] == {k: done[k] for k in x["share"]} and sum(map(len, x["turns"].values())) <= end - x["first"]
+        owner = {s: k for k, v in x["turns"].items() for s in v}
+        for t in range(end - x["first"]):
+            done[owner[t % x["period"]]] += 1
+            assert all(abs(done[k] - x["begin"][k] - a * (t + 1) / x["period"]) < 1 for k, a in x["share"].items())
+    assert done == blocks
