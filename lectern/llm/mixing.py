@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import fresh
@@ -90,17 +90,23 @@ def stretches(target: dict, blocks: dict, period: int) -> list[dict]:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, block_chars: int = 65_536, period: int = 1000, most_broadcast: int = 50_000) -> DataFrame:
-    """docs with source_block, slot, release, deadline (long) and mixed (boolean); names taken get a trailing ``_``.
+    """docs with source_block, last_block, slot, release, deadline (long) and mixed (boolean); names taken get a trailing ``_``.
 
     weights: target weight for each source (None: the null source); sources that it lacks or that have
     no positive weight are never mixed.  Without weights, a source's share follows its text to the power
-    tempered.  Weights are rounded to whole slots of a period.  The documents of a source are dealt by
-    doc_id to blocks of about block_chars characters; block k has the slot that Pfair scheduling gives
-    it.  Where a source runs out of blocks the others go on, with its share dealt to them by their
-    weights, until all are used: mixed is true for every document of a source with a weight, and from
+    tempered.  Weights are rounded to whole slots of a period.  The documents of a source follow each
+    other by a hash of doc_id and text, and this line of text is cut into blocks of block_chars
+    characters; block k has the slot that Pfair scheduling gives it.  A document goes where its first
+    character is, from source_block to last_block: at each slot the text so far of a source is that of
+    its blocks so far, and beyond them at most the rest of one document.
+
+    Where a source runs out of blocks the others go on, with its share dealt to them by their weights,
+    until all are used: mixed is true for every document of a source with a weight, and from
     one such place to the next each source stays within one block of its weight.  All rows are returned.
-    Null texts have no characters; a repeated doc_id falls in one block with its copies.  An empty table
-    gives an empty result.
+    Null texts have no characters.  An empty table gives an empty result.
+
+    Running totals are summed by stretches of the hash in each source first, then scanned in each
+    stretch by itself; only equal doc_ids with equal texts must share one.
 
     The driver holds a row for each source and, each time that one runs out, one period at most; they
     are broadcast up to most_broadcast sources and joined by a shuffle beyond that.
@@ -108,13 +114,14 @@ def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, blo
     spark = docs.sparkSession
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), F.col("source").cast("string"))).otherwise("n")
     stock = {r["k"]: (r["chars"], r["docs"]) for r in docs.groupBy(key.alias("k")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("docs")).collect()}
-    named, many, plan, part, block, slot, release, deadline, mixed = fresh(docs, "mix_source", "mix_blocks", "mix_plan", "mix_part", "source_block", "slot", "release", "deadline", "mixed")
+    mark, bucket, size, before, base = fresh(docs, "mix_mark", "mix_bucket", "mix_chars", "mix_before", "mix_base")
+    named, many, plan, part, block, last, slot, release, deadline, mixed = fresh(docs, "mix_source", "mix_blocks", "mix_plan", "mix_part", "source_block", "last_block", "slot", "release", "deadline", "mixed")
     if weights is None:
         target = {k: max(1, chars) ** tempered for k, (chars, _) in stock.items()}
     else:
         target = {("n" if k is None else f"s{k}"): float(v) for k, v in weights.items()}
     target = {k: v for k, v in target.items() if k in stock and v > 0}
-    blocks = {k: max(1, min(stock[k][1], -(-stock[k][0] // block_chars))) for k in stock}
+    blocks = {k: max(1, -(-stock[k][0] // block_chars)) for k in stock}
     plans: dict = {k: [] for k in stock}
     for x in stretches(target, blocks, period):
         for k, a in x["share"].items():
@@ -122,8 +129,16 @@ def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, blo
                 plans[k].append((x["begin"][k], x["first"], x["period"], a, x["turns"][k]))
     kind = "array<struct<begin:bigint,first:bigint,period:bigint,share:bigint,turns:array<bigint>>>"
     about = spark.createDataFrame([(k, int(blocks[k]), plans[k]) for k in stock] or [("", 1, [])], f"{named} string, {many} long, {plan} {kind}")
-    out = docs.withColumn(named, key).join(F.broadcast(about) if len(stock) <= most_broadcast else about, named)
-    out = out.withColumn(block, F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.col(many)))
+    bits = min(16, max(1, (sum(n for _, n in stock.values()) // 64).bit_length()))  # about 64 documents in a bucket, up to 65,536 buckets
+    line = docs.withColumn(named, key).withColumn(mark, F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    line = line.withColumn(bucket, F.shiftright(mark, 64 - bits)).withColumn(size, F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    earlier = Window.partitionBy(named).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = line.groupBy(named, bucket).agg(F.sum(size).alias(base)).withColumn(base, F.coalesce(F.sum(base).over(earlier), F.lit(0)))
+    inside = Window.partitionBy(named, bucket).orderBy(mark, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    out = line.withColumn(before, F.coalesce(F.sum(size).over(inside), F.lit(0))).join(sums, [named, bucket]).withColumn(before, F.col(before) + F.col(base))
+    out = out.join(F.broadcast(about) if len(stock) <= most_broadcast else about, named)
+    out = out.withColumn(block, F.least(F.floor(F.col(before) / block_chars), F.col(many) - 1))  # texts without characters may follow the last block
+    out = out.withColumn(last, F.greatest(F.col(block), F.floor((F.col(before) + F.col(size) - 1) / block_chars)))
     stretch = F.size(F.filter(F.col(plan)["begin"], lambda x: x <= F.col(block))) - 1
     out = out.withColumn(part, F.when(F.size(plan) > 0, F.get(plan, stretch)))
     x = F.col(part)
@@ -134,4 +149,4 @@ def mix(docs: DataFrame, weights: dict | None = None, tempered: float = 0.7, blo
         .withColumn(deadline, x["first"] + F.ceil((nth + 1) * x["period"] / x["share"]))
         .withColumn(mixed, F.col(slot).isNotNull())
     )
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], block, slot, release, deadline, mixed)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], block, last, slot, release, deadline, mixed)

@@ -124,3 +124,15 @@ def test_stretches_serve_every_block_within_one_of_its_weight(blocks):
             done[owner[t % x["period"]]] += 1
             assert all(abs(done[k] - x["begin"][k] - a * (t + 1) / x["period"]) < 1 for k, a in x["share"].items())
     assert done == blocks
+
+
+def test_characters_of_every_prefix_follow_the_weights(spark):
+    rows = [(i, "x" * 1000, "long") for i in range(30)] + [(100 + i, "y" * 50, "short") for i in range(590)] + [(1000, "y" * 500, "short")] + [(2000 + i, None, "short") for i in range(9)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"long": 1, "short": 1}, block_chars=100).collect()
+    for source, longest in (("long", 1000), ("short", 500)):
+        mine = [r for r in got if r["source"] == source]
+        assert {b for r in mine for b in range(r["source_block"], r["last_block"] + 1)} == set(range(300))
+        assert all(r["last_block"] - r["source_block"] <= len(r["text"] or "") // 100 + 1 for r in mine)
+        for t in range(600):
+            chars = sum(len(r["text"] or "") for r in mine if r["slot"] <= t)
+            assert -100 <= chars - 50 * (t + 1) <= 100 + longest
