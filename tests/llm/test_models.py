@@ -132,3 +132,25 @@ def test_lm_edge_tables(docs, empty):
     assert lm.score_texts(empty, F.lit(True)).count() == 0
     none = lm.score_texts(docs, F.lit(None).cast("boolean")).collect()
     assert len(none) == docs.count() and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in none)
+
+
+def test_lm_learns_the_counts():
+    u, w = np.array([0, 0, 1, 1]), np.array([2, 3, 2, 3])
+    n = np.array([10_000, 100, 300, 9_000])
+    unigram = np.array([1.0, 1.0, n[w == 2].sum(), n[w == 3].sum()])
+    unigram /= unigram.sum()
+    model = lm.LogBilinear(4, 4, unigram)
+    model.fit(u, np.zeros(4, int), w, n, unigram, epochs=3000)
+    p = model.log10(u, np.zeros(4, int), w)
+    assert abs(p[0] - p[1] - 2) < 0.2 and abs(p[3] - p[2] - math.log10(30)) < 0.2
+
+
+def test_lm_weighs_light_and_heavy_batches_by_their_counts():
+    rng = np.random.default_rng(2)
+    n = np.where(np.arange(64) == 7, 5_000, rng.integers(1, 20, 64))
+    unigram = np.full(64, 1 / 64)
+    model = lm.LogBilinear(64, 4, unigram)
+    zero = np.zeros(64, int)
+    model.fit(zero, zero, np.arange(64), n, unigram, epochs=400, batch=8)
+    p = 10 ** model.log10(zero, zero, np.arange(64))
+    assert abs(p[7] - n[7] / n.sum()) < 0.1
