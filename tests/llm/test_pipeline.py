@@ -88,3 +88,9 @@ def test_exact_stage_with_repeated_ids(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, body string")
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_exact_copies(spark, df, "").collect()), key=str)
     assert got == [(0, "y"), (0, "z"), (1, "a b"), (1, "other")]
+
+
+def test_language_stage_without_languages_keeps_texts_with_a_letter(spark):
+    df = spark.createDataFrame([(1, "one", None), (2, "12 %%", None), (3, None, None), (4, "", None), (None, "漢", None), (1, "é 1", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, df, "")
+    assert got.columns == df.columns and sorted(r["text"] for r in got.collect()) == ["one", "é 1", "漢"]
