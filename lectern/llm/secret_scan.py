@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re._constants as tokens
 import re._parser as grammar
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ BASE = (
 )
 # Further kinds that the method adds.
 MORE = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),  # no repeated group: Java's matcher recurses on those
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
 )
 
@@ -72,32 +73,51 @@ def trigram_query(pattern: str, most: int = 64) -> list[list[str]] | None:
     return out
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(numbers: Column, block: int = 512) -> Column:
+    """Running sums of an array of long of one element or more: inside blocks, then over the blocks' sums.
+
+    An array grows by copying, so one fold over many elements would copy with the square of their number.
+    """
+
+    def scan(some: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(some, none, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")))))
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p, lambda x: x + b - F.element_at(p, -1))))
+
+    places = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int"))
+    return _with(F.transform(places, lambda k: scan(F.slice(numbers, k * block + 1, block))), joined)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """array<struct<start,end>> of the matches that are long enough, in code points, end exclusive.
 
     Gaps between matches come from split, so that positions are running sums of lengths.
     """
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
     each = F.zip_with(
-        F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))),
+        F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("m"))),
         value,
-        lambda gm, v: F.struct(gm["g"].alias("g"), F.coalesce(gm["m"], F.lit(0)).alias("m"), F.coalesce(F.length(v) >= rule.least, F.lit(False)).alias("ok")),
+        lambda gm, v: F.struct(gm["g"].alias("g"), gm["m"].alias("m"), F.coalesce(F.length(v) >= rule.least, F.lit(False)).alias("ok")),
     )
-    begun = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    folded = F.aggregate(
-        each,
-        begun,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.when(x["ok"], F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.coalesce(text.rlike(rule.pattern), F.lit(False)), folded).otherwise(none)
+
+    def placed(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda x: x["g"] + x["m"]))
+        spans = F.zip_with(found, ends, lambda x, end: F.struct((end - x["m"]).alias("start"), end.alias("end"), x["ok"].alias("ok")))
+        return F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return F.when(F.coalesce(text.rlike(rule.pattern), F.lit(False)), _with(each, placed)).otherwise(none)
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -146,7 +166,7 @@ def scan_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rul
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     indexed = tuple(r for r in rules if trigram_query(r.pattern) is not None)
     met = texts.join(candidates(texts, indexed), F.col("doc_id").eqNullSafe(F.col("key")), "left") if indexed else texts.withColumn("kinds", F.array().cast("array<string>"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     for r in rules:
         spans = _spans(F.col("text"), r)
         if r in indexed:
