@@ -26,7 +26,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", hash_
     empty, and rule hosts are compared in lower case without a leading dot.  Repeated pages keep their
     rows; an empty table of pages gives an empty result; other columns are ignored.
 
-    A distinct host and path is expanded into host suffixes times path prefixes (of the lengths that
+    A distinct host and path is expanded into host suffixes (of no more labels than rules have) times path prefixes (of the lengths that
     rules have), which meet the rules in an equi-join on the first bytes of a SHA-256 digest; the whole
     digest and text are confirmed after it.  Spark broadcasts the rules where its size threshold allows.
     """
@@ -40,9 +40,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", hash_
     )
     text = F.concat(F.col("rh"), F.lit("\n"), F.col("rp"))
     wanted = wanted.withColumn("digest", F.sha2(text, 256)).withColumn("short", F.substring("digest", 1, 2 * hash_bytes))
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("rp"))).alias("l")).first()["l"]  # one number for each length of path
+    # one number for each length of path, and the most labels of a host: longer suffixes fit no rule
+    lengths, most = wanted.agg(F.sort_array(F.collect_set(F.length("rp"))), F.coalesce(F.max(F.size(F.split("rh", "\\."))), F.lit(0))).first()
 
-    parts = F.split("host", "\\.")
+    labels = F.split(F.col("host"), "\\.")  # of a long host, those that a suffix can hold
+    parts = F.slice(labels, F.greatest(F.size(labels) - most + 1, F.lit(1)), F.lit(max(1, most)))
     n = F.size(parts)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
     prefixes = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k)))

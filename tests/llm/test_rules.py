@@ -43,6 +43,15 @@ def test_secrets_match_brute_force(spark):
     assert "pem:0:31" in pem and "github:32:76" in pem
 
 
+def test_secrets_in_very_long_texts(spark):
+    texts = ["-----BEGIN " + "A " * 500_000 + "PRIVATE KEY-----", "-----BEGIN " * 100_000, "token=abcdefgh1 é" * 60_000, "password" + " " * 1_000_000 + "=" + "x" * 1_000_000, "password=" * 100_000, "a" * 31 + ("g" + "b" * 31) * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in secret_scan.scan_secrets(df).collect()}
+    assert got[0] == [f"pem:0:{len(texts[0])}"] and got[1] == []
+    assert [[s for s in got[i] if not s.startswith(("pem", "github"))] for i in range(len(texts))] == [spans(t) for t in texts]
+    assert len(got[2]) == 60_000
+
+
 def test_secrets_empty_table(empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
@@ -82,6 +91,14 @@ def test_urls_match_brute_force(spark):
     assert {r["verdict"] for r in urls.judge_urls(df, rules.where("false")).collect()} == {"allow"}
 
 
+def test_very_long_urls(spark):
+    long_host, long_path = "http://" + "a.b." * 50_000 + "example.com/de/", "http://x.example.net/en/" + "p/" * 200_000
+    df = spark.createDataFrame([(1, long_host), (2, long_path), (3, "http://" + "." * 100_000), (4, "x" * 300_000 + "://net")], "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: tuple(r)[1:] for r in urls.judge_urls(df, rules).collect()}
+    assert got == {i: judged(u) for i, u in [tuple(r) for r in df.collect()]}
+
+
 def test_rule_paths_need_not_end_at_a_slash(spark):
     df = spark.createDataFrame([(1, "http://a.b/english"), (2, "http://a.b/e")], "page_id long, url string")
     rules = spark.createDataFrame([("b", "/en", "block"), (None, "/", "block"), ("B", "/en", "allow")], "host string, path string, verdict string")
