@@ -110,13 +110,17 @@ def clipped_ring(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Co
     return F.udf(clip, "array<struct<x:double,y:double>>", useArrow=True)(ring)
 
 
-def label_point(rings: Column, grid: int = 48, rounds: int = 4) -> Column:
+def label_point(rings: Column, precision: float = 1e-4, most_cells: int = 20_000) -> Column:
     """struct<x,y>: the inner point (even-odd rule over all rings of three points or more) farthest from any edge, or null.
 
-    A grid over the bounds is searched, then smaller ones around the best point so far.
+    Squares that cover the bounds are halved, most promising first: a square can't hold a point farther
+    from the edges than its middle's signed distance plus half its diagonal.  The search ends when no
+    square can beat the best point by more than ``precision`` of the larger side, or after most_cells.
     """
 
     def find(given):
+        import heapq
+
         import numpy as np
 
         rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in given or [] if len(r) > 2]
@@ -124,21 +128,45 @@ def label_point(rings: Column, grid: int = 48, rounds: int = 4) -> Column:
             return None
         a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
         low, high = a.min(axis=0), a.max(axis=0)
-        middle, span, best = (low + high) / 2, high - low, None
-        edge, height = b - a, np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
-        norm = np.maximum((edge**2).sum(axis=1), 1e-300)
-        steps = np.arange(grid + 1) / grid - 0.5
-        for _ in range(rounds):
-            at = np.stack(np.meshgrid(middle[0] + span[0] * steps, middle[1] + span[1] * steps, indexing="ij"), axis=-1).reshape(-1, 1, 2)
-            crossed = ((a[:, 1] > at[..., 1]) != (b[:, 1] > at[..., 1])) & (at[..., 0] < edge[:, 0] * (at[..., 1] - a[:, 1]) / height + a[:, 0])
-            t = np.clip(((at - a) * edge).sum(axis=2) / norm, 0, 1)
-            far = np.where(crossed.sum(axis=1) % 2 == 1, np.hypot(*np.moveaxis(at - a - t[..., None] * edge, 2, 0)).min(axis=1), -1.0)
-            k = int(far.argmax())
-            if far[k] >= 0 and (best is None or far[k] > best[0]):
-                best = (far[k], at[k, 0])
-            if best is None:
-                return None
-            middle, span = best[1], span / grid * 4
-        return {"x": float(best[1][0]), "y": float(best[1][1])}
+        edge = b - a
+        long = np.maximum((edge**2).sum(axis=1), 1e-300)
+        rising = np.where(edge[:, 1] == 0, 1.0, edge[:, 1])
+
+        def signed(at):
+            """Distance of each point to the nearest edge, negative outside."""
+            d = at[:, None, :] - a
+            along = np.clip((d * edge).sum(axis=2) / long, 0, 1)
+            far = np.sqrt(((d - along[..., None] * edge) ** 2).sum(axis=2).min(axis=1))
+            above = at[:, 1, None] < a[:, 1]
+            cuts = (above != (at[:, 1, None] < b[:, 1])) & (d[..., 0] < edge[:, 0] * d[..., 1] / rising)
+            return np.where(cuts.sum(axis=1) % 2 == 1, far, -far)
+
+        long_side = float((high - low).max())
+        side = max(float((high - low).min()), long_side / 64)
+        if (high - low).min() <= 0:
+            return None
+        half = side / 2
+        firsts = np.array([(x, y) for x in np.arange(low[0] + half, high[0] + half, side) for y in np.arange(low[1] + half, high[1] + half, side)])
+        middle = (low + high) / 2
+        best_at, best = middle, float(signed(middle[None])[0])
+        queue, made = [], 0
+
+        def add(points, half):
+            nonlocal best_at, best, made
+            for p, d in zip(points, signed(points)):
+                made += 1
+                if d > best:
+                    best_at, best = p, float(d)
+                heapq.heappush(queue, (-(d + half * 2**0.5), made, half, p))
+
+        for k in range(0, len(firsts), 256):
+            add(firsts[k : k + 256], half)
+        while queue and made < most_cells:
+            bound, _, half, p = heapq.heappop(queue)
+            if -bound <= max(best, 0) + precision * long_side:
+                break
+            half /= 2
+            add(p + half * np.array([(-1, -1), (-1, 1), (1, -1), (1, 1)]), half)
+        return {"x": float(best_at[0]), "y": float(best_at[1])} if best > 0 else None
 
     return F.udf(find, "struct<x:double,y:double>", useArrow=True)(rings)

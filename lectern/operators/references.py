@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import refs
+from lectern.operators.ordered import running_total
 
-TYPED = r"^\s*((?:[1-3]|[iI]{1,3}|first|second|third|1st|2nd|3rd)?\s*[a-zA-Z][a-zA-Z .]*?)\.?\s*(?:(\d+)(?:\s*[:.v]\s*(\d+))?(?:\s*[-–—]\s*(\d+)(?:\s*[:.]\s*(\d+))?)?)?\s*(?:[,;].*)?$"
+#: What the numbers behind a book's name mean, by the marks between them (``n`` stands for a number).
+SHAPES = {
+    "n": ["chapter"],
+    "n-n": ["chapter", "last_chapter"],
+    "n-n:n": ["chapter", "last_chapter", "last_verse"],
+    "n:n": ["chapter", "verse"],
+    "n:n-n": ["chapter", "verse", "end_verse"],
+    "n:n-n:n": ["chapter", "verse", "end_chapter", "end_verse"],
+}
+#: The same in a book of one chapter.
+ONE_CHAPTER = SHAPES | {"n": ["verse"], "n-n": ["verse", "end_verse"], "n-n:n": []}
 
 
 def books(spark: SparkSession, rows: list[tuple[str, int, list[str]]]) -> DataFrame:
     """(book, book_index, chapters, names) from (code, chapters, names) in canonical order.
 
-    names are keys as book_key gives them, the full name first; the code is a name too.
+    names are written in any way, the full name first; the result holds their keys.  The code is a name too.
     """
-    return spark.createDataFrame([(code, i, chapters, list(names)) for i, (code, chapters, names) in enumerate(rows, 1)], "book string, book_index int, chapters int, names array<string>")
+    given = spark.createDataFrame([(code, i, chapters, list(names)) for i, (code, chapters, names) in enumerate(rows, 1)], "book string, book_index int, chapters int, names array<string>")
+    return given.withColumn("names", F.transform("names", refs.book_key))
 
 
 def chapter_table(counts: DataFrame) -> DataFrame:
     """(book, book_index, chapter, n_verses, start_ord, end_ord) from (book, book_index, chapter, n_verses).
 
-    Ordinals run within a book first and over the books' totals then, so no task needs all chapters.
+    Ordinals run over the totals of books first and within a book then, so no task needs all chapters.
     """
-    within = Window.partitionBy("book_index").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(F.col("book_index").alias("bi")).agg(F.sum("n_verses").alias("total"))
-    earlier = totals.alias("x").join(totals.alias("y"), F.col("y.bi") < F.col("x.bi"), "left").groupBy(F.col("x.bi").alias("bi")).agg(F.coalesce(F.sum("y.total"), F.lit(0)).alias("base"))
-    start = F.col("base") + F.coalesce(F.sum("n_verses").over(within), F.lit(0))
-    out = counts.join(earlier, F.col("book_index") == F.col("bi")).withColumn("start_ord", start)
-    return out.withColumn("end_ord", F.col("start_ord") + F.col("n_verses") - 1).drop("bi", "base")
+    placed = running_total(counts.withColumn("_order", F.struct("book_index", "chapter")), "_order", "n_verses", F.col("book_index"), "start_ord")
+    return placed.withColumn("end_ord", F.col("start_ord") + F.col("n_verses") - 1).drop("_order")
 
 
 def resolve_books(df: DataFrame, key: str, known: DataFrame) -> DataFrame:
@@ -46,42 +54,63 @@ def resolve_books(df: DataFrame, key: str, known: DataFrame) -> DataFrame:
     return met.select(*df.columns, *[F.coalesce(F.col(c), F.col(f"found.{c}")).alias(c) for c in ("book", "book_index", "chapters")])
 
 
+def _read(df: DataFrame, column: str) -> DataFrame:
+    """df with the key of the book's name, the shape of what follows it, and its numbers.
+
+    A text is read up to its first comma or semicolon.  The name is everything before the first digit
+    that is not its ordinal.
+    """
+    text = F.get(F.split(F.col(column), "[,;]"), F.lit(0))
+    name = F.regexp_extract(text, r"^\s*[0-9]?[^0-9]*", 0)
+    tight = F.regexp_replace(F.substring(text, F.length(name) + F.lit(1), F.length(text)), r"\s*([:.v–—-])\s*", "$1")
+    marks = F.translate(F.trim(tight), ".v–—", "::--")
+    plain = F.translate(F.lower(name), "abcdefghijklmnopqrstuvwxyz0123456789. \t", "") == ""
+    return df.withColumns(
+        {
+            "_key": F.when(plain & name.rlike("[A-Za-z]"), refs.book_key(name)),
+            "_shape": F.regexp_replace(marks, "[0-9]+", "n"),
+            "_numbers": F.transform(F.regexp_extract_all(marks, F.lit("[0-9]+"), F.lit(0)), lambda n: n.try_cast("int")),
+        }
+    )
+
+
+def _member(shapes: dict[str, list[str]], name: str) -> Column:
+    """The number that stands for name in the shape, null if the shape has none."""
+    at = {shape: members.index(name) for shape, members in shapes.items() if name in members}
+    places = F.create_map(*[F.lit(x) for pair in at.items() for x in pair]) if at else F.create_map().cast("map<string,int>")
+    return F.get(F.col("_numbers"), places[F.col("_shape")])
+
+
+def _exists(met: DataFrame, verses: DataFrame, chapter: Column, verse: Column, out: str) -> DataFrame:
+    """met with out: whether verse is null or among the verses of the chapter of the reference's book."""
+    known = verses.select(F.col("book").alias("_kb"), F.col("chapter").alias("_kc"), F.col("n_verses").alias("_kn"))
+    found = met.join(known, (F.col("ref.book") == F.col("_kb")) & (chapter == F.col("_kc")), "left")
+    return found.withColumn(out, verse.isNull() | F.coalesce(verse <= F.col("_kn"), F.lit(False))).drop("_kb", "_kc", "_kn")
+
+
 def parse(df: DataFrame, column: str, known: DataFrame, verses: DataFrame | None = None) -> DataFrame:
     """df with ref: the reference that a typed text names, null if there is none.
 
-    verses (book, chapter, n_verses) bounds verse numbers where given.  In a book of one chapter a lone
-    number but 1 is a verse; of a range of chapters the first stays.
+    A name alone is the first chapter.  Of a range of chapters the first stays; in a book of one chapter
+    numbers are verses, but for a lone 1.  verses (book, chapter, n_verses) bounds verse numbers where given.
     """
-    def part(k: int) -> Column:
-        return F.try_to_number(F.nullif(F.regexp_extract(column, TYPED, k), F.lit("")), F.lit("999999999")).cast("int")
-
-    typed = F.coalesce(F.col(column).rlike(TYPED), F.lit(False))
-    marked = df.withColumn("_key", F.when(typed, refs.book_key(F.regexp_extract(column, TYPED, 1))))
-    for k, name in enumerate(("_c", "_v", "_e", "_f"), 2):
-        marked = marked.withColumn(name, part(k))
-    met = resolve_books(marked, "_key", known)
-    c, v, e, f, chapters = (F.col(x) for x in ("_c", "_v", "_e", "_f", "chapters"))
-    book, none = F.col("book"), F.lit(None).cast("int")
-    single = (chapters == 1) & c.isNotNull() & v.isNull() & ~((c == 1) & e.isNull())
-    ref = (
-        F.when(book.isNull(), None)
-        .when(single, F.when(f.isNull(), refs.ref(book, F.lit(1), c, none, e)))
-        .when(c.isNull(), refs.ref(book, F.lit(1), none, none, none))
-        .when((c < 1) | (c > chapters), None)
-        .when(v.isNotNull(), refs.ref(book, c, v, F.when(f.isNotNull(), e), F.coalesce(f, e)))
-        .when(e.isNotNull() & ((e < c) | (e > chapters)), None)
-        .otherwise(refs.ref(book, c, none, none, none))
-    )
-    met = met.withColumn("ref", ref)
-    fine = refs.well_formed(F.col("ref")) & (F.coalesce(F.col("ref.end_chapter"), F.lit(1)) <= chapters)
-    met = met.withColumn("ref", F.when(fine, refs.collapsed(F.col("ref"))))
+    met = resolve_books(_read(df, column), "_key", known)
+    small = (F.col("chapters") == 1) & ~((F.col("_shape") == "n") & (F.get("_numbers", F.lit(0)) == 1))
+    m = {n: F.when(small, _member(ONE_CHAPTER, n)).otherwise(_member(SHAPES, n)) for n in ("chapter", "last_chapter", "verse", "end_chapter", "end_verse")}
+    bare = F.col("_shape") == ""
+    readable = bare | F.col("_shape").isin(list(SHAPES)) & ~(small & (F.col("_shape") == "n-n:n"))
+    counted = F.forall("_numbers", lambda n: n.isNotNull())
+    chapter = F.coalesce(m["chapter"], F.lit(1))
+    forward = F.coalesce((m["last_chapter"] >= chapter) & (m["last_chapter"] <= F.col("chapters")), F.lit(True))
+    ref = refs.ref(F.col("book"), chapter, m["verse"], m["end_chapter"], m["end_verse"])
+    within = (chapter >= 1) & (chapter <= F.col("chapters")) & (F.coalesce(m["end_chapter"], F.lit(1)) <= F.col("chapters"))
+    fine = F.coalesce(F.col("book").isNotNull() & readable & counted & forward & within, F.lit(False))
+    met = met.withColumn("ref", F.when(fine, ref)).withColumn("ref", F.when(refs.well_formed(F.col("ref")), refs.collapsed(F.col("ref"))))
     if verses is not None:
-        first = verses.select(F.col("book").alias("_b1"), F.col("chapter").alias("_c1"), F.col("n_verses").alias("_n1"))
-        last = verses.select(F.col("book").alias("_b2"), F.col("chapter").alias("_c2"), F.col("n_verses").alias("_n2"))
-        met = met.join(first, (F.col("ref.book") == F.col("_b1")) & (F.col("ref.chapter") == F.col("_c1")), "left")
-        met = met.join(last, (F.col("ref.book") == F.col("_b2")) & (F.coalesce("ref.end_chapter", "ref.chapter") == F.col("_c2")), "left")
-        within = (F.coalesce("ref.verse", F.lit(0)) <= F.coalesce("_n1", F.lit(0))) & (F.coalesce("ref.end_verse", F.lit(0)) <= F.coalesce("_n2", F.lit(0)))
-        met = met.withColumn("ref", F.when(F.col("ref.verse").isNull() | within, F.col("ref")))
+        r = F.col("ref")
+        met = _exists(met, verses, r["chapter"], r["verse"], "_starts")
+        met = _exists(met, verses, F.coalesce(r["end_chapter"], r["chapter"]), r["end_verse"], "_ends")
+        met = met.withColumn("ref", F.when(F.col("_starts") & F.col("_ends"), F.col("ref")))
     return met.select(*df.columns, "ref")
 
 
