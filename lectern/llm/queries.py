@@ -74,7 +74,7 @@ _SECRET_KINDS = [
     ("assign", "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]+", 0, 32),
-    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
 ]
 

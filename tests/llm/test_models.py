@@ -38,9 +38,9 @@ def tongues(spark):
 
 def test_language_is_found_in_held_out_texts(tongues):
     rows, docs, _ = tongues
-    model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2, per_language=150, steps=120)
+    model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2, per_language=600, steps=250)
     out = language.identify(docs.withColumn("score", F.lit(1)), model)
-    assert out.columns[-2:] == ["lang_pred", "score_"]
+    assert out.columns[-3:] == ["lang_pred", "score_", "noise"]
     got = out.collect()
     assert len(got) == len(rows)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 900 and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
@@ -55,19 +55,50 @@ def test_language_without_rows(empty, docs):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_with_a_hot_copy(spark):
+    """Copies of one row, whole languages of copies and one very long text: every language is learned, none crowds out the rest."""
+    rng = random.Random(2)
+    text = {k: [" ".join("".join(rng.choices(PARTS[k], k=3)) for _ in range(60)) for _ in range(40)] for k in PARTS}
+    alone = spark.range(5000).select("id", F.lit(text["en"][0]).alias("text"), F.lit("en").alias("lang")).withColumnRenamed("id", "doc_id")
+    assert language.learn(alone, F.lit(True), steps=5).languages == ["en"]
+    same_id = alone.withColumn("doc_id", F.lit(7).cast("long"))
+    others = spark.createDataFrame([(i, t, k) for k in ("de", "fr") for i, t in enumerate(text[k])] + [(1, " ".join(text["de"]) * 200, "de"), (2, "", "es"), (3, None, "es"), (None, text["fr"][0], "fr")], "doc_id long, text string, lang string")
+    model = language.learn(same_id.unionByName(others), F.lit(True), per_language=300, steps=200)
+    assert model.languages == ["de", "en", "fr"]
+    got = language.identify(others.unionByName(alone.limit(3)).withColumn("noise", F.lit("x")), model)
+    assert got.columns == ["doc_id", "text", "lang", "noise", "lang_pred", "score", "noise_"]
+    assert all(r["lang_pred"] == (r["lang"] if r["text"] else "und") for r in got.collect())
+
+
 def test_gradients_agree_with_differences():
-    model = language.ByteTagger(["a", "b"], 3)
-    x = np.random.default_rng(0).integers(0, 256, (4, 6))
-    y = np.array([0, 1, 1, 0])
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(1, 256, (4, 6)), np.array([0, 1, 1, 2])
+    x[1, 4:] = 0
 
     def loss(m):
         p = m.positions(m.states(np.ascontiguousarray(x.T)))
-        return -np.log(p[:, y, np.arange(4)]).mean()
+        real = x.T != 0
+        return -(np.log(p[:, y, np.arange(4)]) * real).sum() / real.sum()
 
+    model = language.ByteTagger(["a", "b"], 3)
     before = loss(model)
     model.fit(x, y, steps=60)
     assert loss(model) < before / 2
 
+    model = language.ByteTagger(["a", "b"], 3)
+    for name in model.names:
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    grad = model.gradients(x, y)
+    for name in model.names:
+        values = getattr(model, name)
+        for at in [tuple(rng.integers(0, n) for n in values.shape) for _ in range(12)] + ([(0, k, int(x[0, 0])) for k in range(9)] if name == "w" else []):
+            kept, ends = values[at], []
+            for shift in (1e-3, -1e-3):
+                values[at] = kept + shift
+                ends.append(loss(model))
+            values[at] = kept
+            assert abs(grad[name][at] - (ends[0] - ends[1]) / 2e-3) < 2e-4
+
 
 def test_toxicity_of_held_out_texts(tongues):
     rows, docs, labels = tongues
