@@ -32,19 +32,28 @@ def _fingerprint(text: str | None, words: int, seed: int) -> int:
     return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): the SimHash of every whole text; null and blank texts have fingerprint 0."""
+def fingerprinted(docs: DataFrame, name: str = "fp", words: int = 3, seed: int = 42) -> DataFrame:
+    """docs with the SimHash (long) of every whole text; null and blank texts have fingerprint 0."""
     import pyarrow as pa
+    from pyspark.sql import types as T
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            out = np.fromiter((_fingerprint(t, words, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            out = np.fromiter((_fingerprint(t, words, seed) for t in texts), np.uint64, batch.num_rows)
+            mine = [i for i, n in enumerate(batch.schema.names) if n != "text" or whole]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in mine), pa.array(out.view(np.int64))], names=[*(batch.schema.names[i] for i in mine), name])
+
+    whole = len(docs.columns) > 2  # of doc_id and text alone, the text is not sent back
+    kept = [f for f in docs.schema.fields if f.name != "text" or whole]
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.LongType())]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp long)."""
+    return fingerprinted(docs.select("doc_id", "text"), "fp", words, seed)
 
 
 def _near(a, b, radius: int, same: bool, block: int = 1024):
@@ -124,6 +133,16 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 32768) -> DataFrame:
         return saved(pairs.mapInArrow(run, "a long, b long"))
 
 
+def groups(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, tile: int = 32768) -> DataFrame:
+    """One row per document: doc_id, fp, component (a fingerprint of its group), component_id (the smallest doc_id there)."""
+    marked = saved(fingerprints(docs, words, seed))
+    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    joined = saved(components(links(distinct.select("fp"), radius, tile)))
+    grouped = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    return marked.join(grouped.join(lowest, "component").drop("first"), "fp").select("doc_id", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, tile: int = 32768) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id reachable by links.
 
@@ -132,10 +151,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
     keeps its row and never becomes a component_id unless the component holds no other.  An empty
     table gives an empty result; other columns are ignored.
     """
-    marked = saved(fingerprints(docs, words, seed))
-    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = saved(components(links(distinct.select("fp"), radius, tile)))
-    grouped = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = grouped.join(lowest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = groups(docs, words, radius, seed, tile)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

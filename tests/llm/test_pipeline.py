@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on a small folder of documents."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -7,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import mixing
+from lectern.llm import language, mixing
+from lectern.llm.common import remainder
 from tests.llm.test_copies import print_of, rooted
+from tests.llm.test_models import PARTS
 
 
 @pytest.fixture(scope="module")
@@ -35,9 +38,21 @@ def test_stages_keep_the_columns(stages):
         assert after.schema == before.schema
 
 
-def test_language_keeps_every_text_with_a_letter(stages):
+def test_language_keeps_texts_with_a_letter_that_are_not_noise(stages):
     _, before, after = stages[1][0]
-    assert sorted(map(str, rows(after))) == sorted(str(r) for r in rows(before) if any(c.isalpha() for c in r[1] or ""))
+    model = language.learn(before, remainder(F.col("doc_id"), 4) != 2)
+    noisy = {str((r["doc_id"], r["text"])) for r in language.identify(before, model).collect() if r["noise"] > 0.8 and len((r["text"] or "").encode()) >= 64}
+    want = [str(r) for r in rows(before) if any(c.isalpha() for c in r[1] or "") and str(r) not in noisy]
+    assert sorted(map(str, rows(after))) == sorted(want) and len(noisy) < 10
+
+
+def test_language_stage_drops_noise(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices(PARTS[lang], k=rng.randrange(1, 4))) for _ in range(rng.randrange(2, 90))), lang) for i, lang in enumerate(["en", "de", "fr"] * 150)]
+    rows += [(1000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789=+/%$#", k=200)), None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert got == set(range(450))
 
 
 def test_exact_keeps_one_of_each_text(stages):
@@ -94,3 +109,13 @@ def test_language_stage_without_languages_keeps_texts_with_a_letter(spark):
     df = spark.createDataFrame([(1, "one", None), (2, "12 %%", None), (3, None, None), (4, "", None), (None, "漢", None), (1, "é 1", None)], "doc_id long, text string, lang string")
     got = corpus_pipeline.identify_language(spark, df, "")
     assert got.columns == df.columns and sorted(r["text"] for r in got.collect()) == ["one", "é 1", "漢"]
+
+
+def test_near_stage_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(6000)) for x in "abc")
+    rows = [(5, a), (5, a + " more"), (5, b), (3, b + " end"), (7, c), (None, c + " x"), (None, "alone"), (None, "alone"), (9, "single")]
+    assert all((print_of(x) ^ print_of(y)).bit_count() <= 3 for x, y in ((a, a + " more"), (b, b + " end"), (c, c + " x")))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(5, a + " more"), (3, b + " end"), (7, c), (0, "alone"), (9, "single")])
