@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordered import running
+
 
 def star(fact: DataFrame, *dimensions: tuple[DataFrame, str, str]) -> DataFrame:
     """fact with each (dimension, fact key, dimension key) attached; facts without a match stay."""
@@ -61,17 +63,38 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     )
 
 
-def latest_before(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+def overlapping(ranges: DataFrame, key: str, id: str, low: str, high: str, width: int) -> DataFrame:
+    """Ordered pairs of different ranges of a key that share a point: the columns of one, and of the other with ``b_``.
+
+    Ranges are listed in every bin of width they touch; a pair is met in the bin where the later one begins.
+    """
+    a = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns])
+    first = F.floor(F.greatest(low, f"b_{low}") / width)
+    met = a.join(b, (F.col(key) == F.col(f"b_{key}")) & (F.col("_bin") == F.col("b__bin")) & (F.col(id) != F.col(f"b_{id}")))
+    return met.where((F.col("_bin") == first) & (F.col(low) <= F.col(f"b_{high}")) & (F.col(f"b_{low}") <= F.col(high))).drop("_bin", "b__bin")
+
+
+def overlaps_counted(ranges: DataFrame, key: str, id: str, low: str, high: str, width: int) -> DataFrame:
+    """(kind, n): how all ordered pairs of different ranges of a key lie; those apart are counted, not listed."""
+    met = overlapping(ranges, key, id, low, high, width)
+    kinds = met.groupBy(overlap(F.col(low), F.col(high), F.col(f"b_{low}"), F.col(f"b_{high}")).alias("kind")).agg(F.count("*").alias("n"))
+    every = ranges.groupBy(key).agg(F.count("*").alias("m")).select(F.lit("apart").alias("kind"), (F.col("m") * (F.col("m") - 1)).alias("n"))
+    parts = every.unionByName(kinds).unionByName(kinds.select(F.lit("apart").alias("kind"), (-F.col("n")).alias("n")))
+    return parts.groupBy("kind").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def latest_before(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], bucket: Column | None = None) -> DataFrame:
     """left with the values of the latest right row of the same key at or before its time (null if none).
 
-    Both sides are united and each key is scanned once in time order; right rows come first at a tie.
+    Both sides are united and scanned in time order, right rows first at a tie; a key is scanned bucket
+    by bucket (bucket: a Column of the time, as in ordered.running).
     """
     names = [c for c in left.columns if c not in (key, time)]
     a = left.select(key, time, F.lit(1).alias("_side"), *names, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
     b = right.select(key, time, F.lit(0).alias("_side"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], *values)
-    seen = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    kept = a.unionByName(b).withColumn("_last", F.last(F.when(F.col("_side") == 0, F.struct(*values)), ignorenulls=True).over(seen))
-    return kept.where("_side = 1").select(key, time, *names, *[F.col(f"_last.{v}").alias(v) for v in values])
+    seen = running(a.unionByName(b), [key], [time, "_side"], bucket, _last=("last", F.when(F.col("_side") == 0, F.struct(*values))))
+    return seen.where("_side = 1").select(key, time, *names, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def swapped(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -85,14 +108,23 @@ def best_overlap(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataF
     """(left, right, share): for each left set the right set that holds most of it.
 
     Both tables are (id, item).  A best share below least, or that two sets reach, gives no row.
+    A right set that holds k of n items of a left set holds one of its n - k + 1 rarest, so candidates are met on those
+    only: a frequent item is joined just where a left set has nothing rarer.
     """
     a, b = left.distinct(), right.distinct()
     size = a.groupBy(F.col("id").alias("left")).agg(F.count("*").alias("size"))
-    both = a.withColumnRenamed("id", "left").join(b.withColumnRenamed("id", "right"), "item").groupBy("left", "right").agg(F.count("*").alias("common"))
-    shares = both.join(size, "left").withColumn("share", F.col("common") / F.col("size"))
-    top = shares.groupBy("left").agg(F.max("share").alias("best"))
-    tied = shares.join(top, "left").where("share = best and share >= %r" % least)
-    return tied.groupBy("left").agg(F.count("*").alias("n"), F.min("right").alias("right"), F.max("share").alias("share")).where("n = 1").drop("n")
+    often = b.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("_often"))
+    ranked = a.join(often, F.col("item") == F.col("_item"), "left").select(F.col("id").alias("left"), "item", F.coalesce("_often", F.lit(0)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("left").orderBy("often", "item"))
+    ranked = ranked.join(size, "left").withColumn("place", place)
+    rare = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+    sides = b.withColumnRenamed("id", "right")
+    candidates = rare.select("left", "size", "item").join(sides, "item").select("left", "size", "right").distinct()
+    both = candidates.join(a.withColumnRenamed("id", "left"), "left").join(sides, ["right", "item"])
+    shares = both.groupBy("left", "right", "size").agg(F.count("*").alias("common")).withColumn("share", F.col("common") / F.col("size")).where(F.col("share") >= least)
+    most = shares.groupBy("left").agg(F.max("share").alias("share"), F.max_by(F.struct("right"), "share").alias("_top"))
+    tied = shares.select(F.col("left").alias("_l"), F.col("share").alias("_s")).groupBy("_l", "_s").agg(F.count("*").alias("_n")).where("_n = 1")
+    return most.join(tied, (F.col("left") == F.col("_l")) & (F.col("share") == F.col("_s"))).select("left", F.col("_top.right").alias("right"), "share")
 
 
 def unique_or_null(queries: DataFrame, key: str, found: DataFrame, target: str) -> DataFrame:

@@ -32,6 +32,32 @@ def neighbours(df: DataFrame, order: str, bucket: Column, value: str) -> DataFra
     return out.join(other.withColumnRenamed("_v", "next"), F.col("pos") + 1 == F.col("_p"), "left").drop("_p", "pos")
 
 
+def running(df: DataFrame, key: list[str], order: list[str], bucket: Column | None, before: bool = False, **what: tuple[str, Column]) -> DataFrame:
+    """df with running values in each key's order: name=("sum" | "max" | "last", value), last skipping nulls.
+
+    bucket must never fall as order rises in a key.  A key's rows are scanned bucket by bucket, and what
+    earlier buckets add up to (one small row each) is combined with it, so one key with most rows still
+    spreads over many tasks; without a bucket a key is scanned at once.  before: without the row itself.
+    """
+    from functools import reduce
+
+    at = F.struct(*[F.col(c) for c in order])
+    marked = df.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    whole = {"sum": F.sum, "max": F.max, "last": lambda v: F.max(F.when(v.isNotNull(), F.struct(at.alias("at"), v.alias("v"))))}
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "last": lambda a, b: F.coalesce(b, a["v"])}
+    earlier = Window.partitionBy(*[f"_{k}" for k in key]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    sums = marked.groupBy(*[F.col(k).alias(f"_{k}") for k in key], F.col("_bucket").alias("_b")).agg(*[whole[kind](v).alias(f"_{n}") for n, (kind, v) in what.items()])
+    # totals of buckets: their running maximum is also the latest of structs led by their place
+    over = lambda kind, n: F.sum(n).over(earlier) if kind == "sum" else F.max(n).over(earlier)
+    sums = sums.select(*[f"_{k}" for k in key], "_b", *[over(kind, f"_{n}").alias(f"_{n}") for n, (kind, _) in what.items()])
+    scan = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}
+    marked = marked.withColumns({f"_in_{n}": scan[kind](v).over(inside) for n, (kind, v) in what.items()})
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), key, F.col("_bucket").eqNullSafe(F.col("_b")))
+    met = marked.join(sums, same)
+    return met.select(*df.columns, *[join[kind](F.col(f"_{n}"), F.col(f"_in_{n}")).alias(n) for n, (kind, _) in what.items()])
+
+
 def islands(df: DataFrame, key: list[str], number: str) -> DataFrame:
     """(key, first, last, n): runs of consecutive whole numbers in each key."""
     distinct = df.select(*key, number).distinct()
@@ -39,11 +65,11 @@ def islands(df: DataFrame, key: list[str], number: str) -> DataFrame:
     return distinct.withColumn("_island", island).groupBy(*key, "_island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("_island")
 
 
-def runs(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """df with run: the number of the stretch of equal neighbouring values in the key's order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    changed = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("_changed", changed).withColumn("run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+def runs(df: DataFrame, key: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """df with run: the number of the stretch of equal neighbouring values in the key's order.  bucket: as in running()."""
+    seen = running(df, key, order, bucket, before=True, _before=("last", F.struct(F.col(value).alias("v"))))
+    changed = F.when(F.col("_before").isNotNull() & F.col("_before.v").eqNullSafe(F.col(value)), 0).otherwise(1)
+    return running(seen.withColumn("_changed", changed), key, order, bucket, run=("sum", F.col("_changed"))).drop("_before", "_changed")
 
 
 def gaps(df: DataFrame, key: list[str], low: str, high: str) -> DataFrame:
@@ -53,10 +79,9 @@ def gaps(df: DataFrame, key: list[str], low: str, high: str) -> DataFrame:
     return reach.where(F.col(low) > F.col("_reach") + 1).select(*key, (F.col("_reach") + 1).alias("gap_from"), (F.col(low) - 1).alias("gap_to"))
 
 
-def filled(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """df with nulls of value replaced by the last one before them in the key."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+def filled(df: DataFrame, key: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """df with nulls of value replaced by the last one before them in the key.  bucket: as in running()."""
+    return running(df, key, order, bucket, _filled=("last", F.col(value))).withColumn(value, F.col("_filled")).drop("_filled")
 
 
 def chunked(weights: Column, limit: int) -> Column:
@@ -74,23 +99,32 @@ def chunked(weights: Column, limit: int) -> Column:
     return F.aggregate(weights, start, step, lambda acc: acc["out"])
 
 
-def rows_packed(df: DataFrame, key: list[str], low: str, high: str, gap: float = 0) -> DataFrame:
-    """df with row: the first display row that is free when an interval begins (greedy, by key)."""
+def rows_packed(df: DataFrame, key: list[str], low: str, high: str, gap: float = 0, tie: str | None = None, bucket: Column | None = None) -> DataFrame:
+    """df with row: the first display row that is free when an interval begins (greedy, by key, in the order of low, high and tie).
+
+    Where all intervals before have ended the rows are all free again, so each such stretch is a group of
+    its own: no group is longer than the intervals overlap.  bucket: as in running(), of the order of low.
+    """
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("row", T.IntegerType())])
+    order = [low, high, *([tie] if tie else [])]
+    reach = running(df, key, order, bucket, before=True, _reach=("max", F.col(high)))
+    fresh = F.when(F.col("_reach") + F.lit(gap) > F.col(low), 0).otherwise(1)
+    cut = running(reach.withColumn("_fresh", fresh), key, order, bucket, _stretch=("sum", F.col("_fresh"))).drop("_reach", "_fresh")
 
     def pack(pdf):
-        pdf = pdf.sort_values([low, high], kind="stable").reset_index(drop=True)
-        ends, out = [], []
+        import heapq
+
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        free, busy, out = [], [], []  # free rows by number; busy ones by when they are free
         for a, b in zip(pdf[low], pdf[high]):
-            row = next((i for i, e in enumerate(ends) if e + gap <= a), len(ends))
-            if row == len(ends):
-                ends.append(b)
-            else:
-                ends[row] = b
+            while busy and busy[0][0] <= a:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            row = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (b + gap, row))
             out.append(row)
         pdf["row"] = out
-        return pdf
+        return pdf[schema.names]
 
-    return df.groupBy(*key).applyInPandas(pack, schema)
+    return cut.groupBy(*key, "_stretch").applyInPandas(pack, schema)

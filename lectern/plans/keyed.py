@@ -79,21 +79,20 @@ def interval_stab(spark, d):
     return _stabs(spark, d).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("rk").alias("first"))
 
 
-@query(f"""SELECT p_partkey, rk, hi - lo AS width FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN lo = p_partkey THEN 0 ELSE 1 END, hi - lo, rk) AS k
-          FROM part JOIN {RANGES} ON p_partkey BETWEEN lo AND hi AND p_brand = r_brand AND rk % 3 > 0) WHERE k = 1""")
+@query(f"""SELECT p_partkey, rk, hi - lo AS width FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN lo = p_partkey + 3 THEN 0 ELSE 1 END, hi - lo, rk) AS k
+          FROM part JOIN {RANGES} ON p_partkey + 3 BETWEEN lo AND hi AND p_brand = r_brand) WHERE k = 1""")
 def interval_argmin(spark, d):
-    stabs = _stabs(spark, d).where("brand = r_brand and rk % 3 > 0").withColumn("at", F.col("p_partkey"))
+    """The best range of its brand at the point three behind each part."""
+    points = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") + 3).alias("at"), F.col("p_brand").alias("brand"))
+    stabs = joins.stabbed(points, "at", _ranges(spark, d), "lo", "hi", 64).where("brand = r_brand")
     return joins.best_range(stabs, ["p_partkey"], "at", "lo", "hi", "rk").select("p_partkey", "rk", (F.col("hi") - F.col("lo")).alias("width"))
 
 
 @query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN a.lo = b.lo AND a.hi = b.hi THEN 'equal' WHEN a.lo >= b.lo AND a.hi <= b.hi THEN 'inside' WHEN a.lo <= b.lo AND a.hi >= b.hi THEN 'around'
-          WHEN a.lo <= b.hi AND b.lo <= a.hi THEN 'overlap' ELSE 'apart' END AS kind FROM {RANGES} a JOIN {RANGES} b ON a.r_brand = b.r_brand AND a.lo // 256 = b.lo // 256 AND a.rk <> b.rk) GROUP BY 1""")
+          WHEN a.lo <= b.hi AND b.lo <= a.hi THEN 'overlap' ELSE 'apart' END AS kind FROM {RANGES} a JOIN {RANGES} b ON a.r_brand = b.r_brand AND a.rk <> b.rk) GROUP BY 1""")
 def overlap_classify(spark, d):
-    """Ranges of a brand that begin in the same stretch of 256."""
-    a = _ranges(spark, d).withColumn("near", F.floor(F.col("lo") / 256))
-    b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns])
-    met = a.join(b, (F.col("r_brand") == F.col("b_r_brand")) & (F.col("near") == F.col("b_near")) & (F.col("rk") != F.col("b_rk")))
-    return aggregates.counted(met.select(joins.overlap(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi")).alias("kind")), "kind")
+    """How all pairs of ranges of a brand lie."""
+    return joins.overlaps_counted(_ranges(spark, d), "r_brand", "rk", "lo", "hi", 64)
 
 
 @query("""SELECT p.user_id, p.ts, p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -102,7 +101,7 @@ def asof_latest(spark, d):
     events = table(spark, d, "events")
     views = events.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
     buys = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    return joins.latest_before(buys, views, "user_id", "ts", ["view_id"])
+    return joins.latest_before(buys, views, "user_id", "ts", ["view_id"], F.date_trunc("week", "ts"))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 + 1 AS b FROM lineitem) SELECT x.a, x.b FROM p x JOIN p y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""")
@@ -111,14 +110,15 @@ def swap_pairs(spark, d):
     return joins.swapped(pairs, "a", "b")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS item FROM lineitem WHERE l_linenumber <= 4), b AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS item FROM lineitem WHERE l_partkey <= 200),
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS item FROM lineitem), b AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS item FROM lineitem),
                s AS (SELECT id, count(*) AS size FROM a GROUP BY 1), c AS (SELECT a.id AS "left", b.id AS "right", count(*) AS common FROM a JOIN b USING (item) GROUP BY 1, 2),
                h AS (SELECT "left", "right", common / size::DOUBLE AS share, max(common / size::DOUBLE) OVER (PARTITION BY "left") AS best FROM c JOIN s ON c."left" = s.id)
           SELECT "left", min("right") AS "right", round(max(share), 6) AS share FROM h WHERE share = best AND share >= 0.5 GROUP BY 1 HAVING count(*) = 1""")
 def best_overlap(spark, d):
+    """The supplier that has delivered most of an order's parts."""
     items = table(spark, d, "lineitem")
-    a = items.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("item"))
-    b = items.where("l_partkey <= 200").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("item"))
+    a = items.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item"))
+    b = items.select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("item"))
     return joins.best_overlap(a, b).withColumn("share", F.round("share", 6))
 
 
@@ -150,9 +150,9 @@ def xref_accounting(spark, d):
 
 
 @query("""SELECT l_suppkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY first, l_partkey) AS items FROM
-          (SELECT l_suppkey, l_partkey, min(l_orderkey) AS first FROM lineitem WHERE l_suppkey <= 50 GROUP BY 1, 2) GROUP BY 1""")
+          (SELECT l_suppkey, l_partkey, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
 def first_mention_list(spark, d):
-    return aggregates.first_mentions(table(spark, d, "lineitem").where("l_suppkey <= 50"), "l_suppkey", "l_partkey", "l_orderkey")
+    return aggregates.first_mentions(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_orderkey")
 
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY first, event_type) AS items FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1""")

@@ -39,7 +39,7 @@ def gaps_islands(spark, d):
                r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f)
           SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS n FROM r GROUP BY 1, 2""")
 def rle_groups(spark, d):
-    runs = ordered.runs(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    runs = ordered.runs(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", F.date_trunc("week", "ts"))
     return runs.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
@@ -60,7 +60,7 @@ def ordinal_in_group(spark, d):
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM events""")
 def fill_previous(spark, d):
     marked = table(spark, d, "events").withColumn("since", F.when(F.col("event_type") == "signup", F.col("event_id")))
-    return ordered.filled(marked, ["user_id"], ["ts", "event_id"], "since").select("event_id", "since")
+    return ordered.filled(marked, ["user_id"], ["ts", "event_id"], "since", F.date_trunc("week", "ts")).select("event_id", "since")
 
 
 @query("SELECT l_orderkey, l_linenumber, unnest(range(1, l_linenumber + 1)) AS part FROM lineitem")
@@ -82,7 +82,7 @@ def pack_rows(spark, d):
     """Display rows of each user's events, each an hour long with a gap of ten minutes."""
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     spans = table(spark, d, "events").select("user_id", "event_id", seconds.alias("lo"), (seconds + 3600).alias("hi"))
-    return ordered.rows_packed(spans, ["user_id"], "lo", "hi", 600)
+    return ordered.rows_packed(spans, ["user_id"], "lo", "hi", 600, "event_id", F.floor(F.col("lo") / 604_800))
 
 
 @query("""SELECT user_id, CAST(n AS BIGINT) AS session, min(event_id) AS first_event, count(*) AS events FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM

@@ -143,6 +143,5 @@ def label_points(spark, d):
     w, h = F.col("p_size").cast("double") + 2, (F.col("p_partkey") % 13).cast("double") + 2
     points = [(F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, F.lit(1.0)), (F.lit(1.0), F.lit(1.0)), (F.lit(1.0), h), (F.lit(0.0), h)]
     ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points])
-    shapes = table(spark, d, "part").select("p_size", (F.col("p_partkey") % 13).alias("turn"), ring.alias("ring")).dropDuplicates(["p_size", "turn"])
-    found = shapes.withColumn("p", geo.label_point(F.array("ring")))
-    return found.select("p_size", "turn", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), geo.in_ring(F.col("p.x"), F.col("p.y"), F.col("ring")).alias("inside"))
+    found = table(spark, d, "part").select("p_partkey", ring.alias("ring")).withColumn("p", geo.label_point(F.array("ring")))
+    return found.select("p_partkey", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), geo.in_ring(F.col("p.x"), F.col("p.y"), F.col("ring")).alias("inside"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import sequences, study
+from lectern.operators import ordered, sequences, study
 from lectern.plans.catalog import query
 from lectern.tables import table
 
@@ -61,14 +61,12 @@ def cumulative_prefixes(spark, d):
     return study.prefixes(table(spark, d, "conversations"), "conv_id", "turn").withColumn("step", F.col("step").cast("long"))
 
 
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier ORDER BY place LIMIT 60")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
 def numeric_collation(spark, d):
-    """The first 60 titles where Title 10 follows Title 9."""
-    from pyspark.sql import Window
-
-    title = study.by_number(F.concat(F.lit("Title "), F.col("s_suppkey").cast("string")))
-    top = table(spark, d, "supplier").select("s_suppkey", title.alias("k")).orderBy("k").limit(60)
-    return top.select("s_suppkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
+    """The place of each title in an order where Title 10 follows Title 9."""
+    titles = table(spark, d, "part").select("p_partkey", study.by_number(F.concat(F.lit("Title "), F.col("p_partkey").cast("string"))).alias("k"))
+    placed = ordered.positions(titles, "k", F.substring("k", 1, 15))
+    return placed.select("p_partkey", (F.col("pos") + 1).alias("place"))
 
 
 @query("""SELECT p_partkey, greatest(p_partkey, b * 10) AS part_low, least(p_partkey + p_size, b * 10 + 9) AS part_high

@@ -1,5 +1,7 @@
 """Column functions and operators on small inline tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,46 @@ def test_ordered(spark):
     assert {(r["lo"], r["row"]) for r in ordered.rows_packed(spans, ["k"], "lo", "hi", 2).collect()} == {(0, 0), (5, 1), (11, 1), (12, 0)}
 
 
+def test_bucketed_scans_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(400), i, rng.choice([None, None, 1, 2, 3])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, lo long, id long, v long").withColumn("hi", F.col("lo") + F.col("id") % 9)
+    bucket = F.floor(F.col("lo") / 50)
+    last, number, free = {}, {}, {}
+    want_run, want_fill = {}, {}
+    for k, lo, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        number[k] = number.get(k, 0) + (k not in last or last[k] != v)
+        last[k] = v
+        want_run[i] = number[k]
+        free[k] = v if v is not None else free.get(k)
+        want_fill[i] = free[k]
+    for b in (bucket, None):
+        assert {r["id"]: r["run"] for r in ordered.runs(df, ["k"], ["lo", "id"], "v", b).collect()} == want_run
+        assert {r["id"]: r["v"] for r in ordered.filled(df, ["k"], ["lo", "id"], "v", b).collect()} == want_fill
+    order = sorted(rows, key=lambda r: (str(r[0]), r[1], r[1] + r[2] % 9, r[2]))
+    ends, want = {}, {}
+    for k, lo, i, _ in order:
+        mine = ends.setdefault(k, [])
+        row = next((n for n, e in enumerate(mine) if e + 2 <= lo), len(mine))
+        mine[row : row + 1] = [lo + i % 9]
+        want[i] = row
+    assert {r["id"]: r["row"] for r in ordered.rows_packed(df, ["k"], "lo", "hi", 2, "id", bucket).collect()} == want
+
+
+def test_best_overlap_matches_brute_force(spark):
+    rng = random.Random(8)
+    left = {(i, rng.choice([0, 0, 0, rng.randrange(1, 12)])) for i in range(40) for _ in range(rng.randrange(1, 7))}
+    right = {(j, rng.choice([0, rng.randrange(1, 12)])) for j in range(25) for _ in range(5)}
+    want = {}
+    for i in range(40):
+        mine = {x for k, x in left if k == i}
+        shares = sorted(((len(mine & {x for k, x in right if k == j}) / len(mine), j) for j in range(25)), reverse=True)
+        if shares[0][0] >= 0.5 and shares[0][0] > shares[1][0]:
+            want[i] = (shares[0][1], shares[0][0])
+    got = joins.best_overlap(spark.createDataFrame(sorted(left), "id int, item int"), spark.createDataFrame(sorted(right), "id int, item int"))
+    assert {r["left"]: (r["right"], r["share"]) for r in got.collect()} == want and want
+
+
 def test_word_diff(spark):
     assert sequences.diff("in the beginning was the word".split(), "in beginning was a word".split()) == {"ok": 4, "missed": 2, "extra": 1, "ops": "=-==-+="}
     assert sequences.diff(None, None)["ops"] == "" and sequences.diff([], ["a"])["extra"] == 1
