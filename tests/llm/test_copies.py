@@ -49,11 +49,19 @@ def exact_brute(corpus):
     return out
 
 
-def test_exact_matches_brute_force(docs, corpus):
-    got = Counter(tuple(r) for r in exact.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+@pytest.mark.parametrize("given", [{}, {"key_bytes": 1}, {"key_bytes": 0, "head": 2, "fold_bytes": 5_000, "partitions": 3}])
+def test_exact_matches_brute_force(docs, corpus, given):
+    """Also where texts share the key that documents find their group by."""
+    got = Counter(tuple(r) for r in exact.exact_duplicates(docs, **given).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
     assert got == exact_brute(corpus)
 
 
+def test_exact_with_a_hot_text(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot \n text")).otherwise(F.concat(F.lit("common beginning " * 20), F.col("id"))).alias("text"))
+    got = exact.exact_duplicates(df.repartition(6))
+    assert got.where("kept").count() == 10_001 and got.where("keep_id = 1 and group_size = 20000").count() == 20_000
+
+
 def test_exact_empty_and_clashing_columns(docs, empty):
     assert exact.exact_duplicates(empty).count() == 0
     extra = docs.withColumn("sha", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("GROUP_SIZE", F.lit(3))
@@ -108,6 +116,17 @@ def test_embeddings_match_brute_force(spark, tile):
     assert embeddings.near_embeddings(df.where("false")).count() == 0
 
 
+def test_embeddings_of_any_size(spark):
+    """Components near the ends of double precision neither overflow nor vanish, and wide vectors are exact too."""
+    rng = np.random.default_rng(5)
+    a, wide = rng.normal(size=8), rng.normal(size=1500)
+    rows = [(i, [float(x) for x in a * scale], 1) for i, scale in enumerate((1e200, 1e-200, 1.0, -1.0))] + [(9, [float(x) for x in rng.normal(size=8) * 1e300], 1)]
+    rows += [(10, [float(x) for x in wide], 2), (11, [float(x) for x in wide + 0.02 * rng.normal(size=1500)], 2), (12, [float(x) for x in rng.normal(size=1500)], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_embeddings(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 9: (0, 9), 10: (1, 10), 11: (1, 10), 12: (0, 12)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(200, 64))
