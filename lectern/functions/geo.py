@@ -33,6 +33,14 @@ def bounds(points: Column) -> Column:
     return F.when(F.size(points) > 0, F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")))
 
 
+def polygons(feature: Column) -> Column:
+    """array<array<array<array<double>>>>: the polygons (rings of points) of a GeoJSON feature, none for other shapes."""
+    shape = F.from_json(feature, "struct<geometry:struct<type:string,coordinates:string>>")["geometry"]
+    one = F.array(F.from_json(shape["coordinates"], "array<array<array<double>>>"))
+    many = F.from_json(shape["coordinates"], "array<array<array<array<double>>>>")
+    return F.when(shape["type"] == "Polygon", one).when(shape["type"] == "MultiPolygon", many).otherwise(F.array().cast("array<array<array<array<double>>>>"))
+
+
 def projected(lon: Column, lat: Column, lon0: float, lat0: float, scale: float) -> Column:
     """Equirectangular with the cosine of lat0, y downwards."""
     import math

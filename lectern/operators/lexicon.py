@@ -46,6 +46,26 @@ def strong_or_weak(candidates: DataFrame, key: str, target: str, rank: str) -> D
     return candidates.join(best, (F.col(key) == F.col("_k")) & (F.col(rank) == F.col("_r")), "left_semi").select(key, target).distinct()
 
 
+def units_by_word(units: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(key, w, word, presence, alts): variant units (key, w, kind, text) of each word of a verse beside the printed word.
+
+    words: (key, w, word).  presence is the one unit of that kind, alts are the other ones in order of their text.
+    """
+    grouped = units.groupBy(key, "w").agg(F.max(F.when(F.col("kind") == "presence", F.col("text"))).alias("presence"), F.array_sort(F.collect_list(F.when(F.col("kind") != "presence", F.col("text")))).alias("alts"))
+    return grouped.join(words, [key, "w"], "left").select(key, "w", "word", "presence", "alts")
+
+
+def passage_words(verses: DataFrame, key: str, order: str, words: str) -> DataFrame:
+    """(key, i, order, word, verse_start): the words of a passage's verses, numbered from 0 across verses.
+
+    verses: a row a verse with an array of words; numbers are a running total over verses, so words of different
+    verses need not meet.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = verses.withColumn("_before", F.coalesce(F.sum(F.size(words)).over(w), F.lit(0)))
+    return placed.select(key, order, "_before", F.posexplode(words).alias("_k", "word")).select(key, (F.col("_before") + F.col("_k")).alias("i"), order, "word", (F.col("_k") == 0).alias("verse_start"))
+
+
 def stage_order(deps: dict[str, list[str]], last: frozenset[str] = frozenset()) -> list[str]:
     """Stages after what they need, those in last at the end; unknown names and cycles are errors."""
     out: list[str] = []

@@ -44,14 +44,15 @@ def resolve_books(df: DataFrame, key: str, known: DataFrame) -> DataFrame:
 
     Keys shorter than three characters and prefixes of several books resolve to null.
     """
-    names = known.select(F.explode("names").alias("name"), "book", "book_index", "chapters")
-    codes = known.select(F.lower("book").alias("name"), "book", "book_index", "chapters").join(names.select("name"), "name", "left_anti")
-    exact = names.unionByName(codes).dropDuplicates(["name"])
-    full = known.select(F.col("names")[0].alias("full"), F.struct("book", "book_index", "chapters").alias("found"))
-    prefixes = full.select(F.explode(F.transform(F.sequence(F.lit(3), F.length("full")), lambda n: F.substring("full", F.lit(1), n))).alias("prefix"), "found")
-    only = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.first("found").alias("found")).where("n = 1").drop("n")
-    met = df.join(exact, df[key] == exact["name"], "left").join(only, df[key] == only["prefix"], "left")
-    return met.select(*df.columns, *[F.coalesce(F.col(c), F.col(f"found.{c}")).alias(c) for c in ("book", "book_index", "chapters")])
+    found = F.struct("book", "book_index", "chapters").alias("_found")
+    names = known.select(F.explode("names").alias("_name"), found)
+    codes = known.select(F.lower("book").alias("_name"), found).join(names.select("_name"), "_name", "left_anti")
+    exact = names.unionByName(codes).dropDuplicates(["_name"])
+    full = known.select(F.col("names")[0].alias("_full"), found)
+    prefixes = full.select(F.explode(F.transform(F.sequence(F.lit(3), F.length("_full")), lambda n: F.substring("_full", F.lit(1), n))).alias("_prefix"), "_found")
+    only = prefixes.groupBy("_prefix").agg(F.count("*").alias("_n"), F.first("_found").alias("_longer")).where("_n = 1").drop("_n")
+    met = df.join(exact, df[key] == exact["_name"], "left").join(only, df[key] == only["_prefix"], "left")
+    return met.select(*df.columns, *[F.coalesce(F.col(f"_found.{c}"), F.col(f"_longer.{c}")).alias(c) for c in ("book", "book_index", "chapters")])
 
 
 def _read(df: DataFrame, column: str) -> DataFrame:
@@ -155,3 +156,67 @@ def kin(people: DataFrame) -> DataFrame:
         one = df.select("person", "relative", F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind")).alias("k"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.where("person <> relative").groupBy("person", "relative").agg(F.min("k").alias("k")).select("person", "relative", "k.kind")
+
+
+def from_dotted(df: DataFrame, column: str, codes: dict[str, str], verses: DataFrame) -> DataFrame:
+    """df with ref, note and error for a text such as ``Bible:Gen.1.1!a-Gen.2``.
+
+    A work before the colon and grains behind ``!`` go, other works are errors.  A range of chapters becomes its first
+    one, with a note; a range of verses that ends in a chapter runs to that chapter's last verse.  codes: from names in
+    lower case; verses: (book, chapter, n_verses).
+    """
+    text = F.trim(F.col(column))
+    work = F.regexp_extract(text, r"^([\w.]+):", 1)
+    body = F.regexp_replace(F.regexp_replace(text, r"^[\w.]+:", ""), r"![\w.]*", "")
+    sides = F.transform(F.split(body, "-"), lambda s: F.split(s, r"\."))
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    a, b = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    named = F.get(b, F.lit(0)).rlike("[A-Za-z]")
+    # an end without a book has the start's, and one number is a verse where the start has one
+    full = F.when(named, b).when((F.size(b) == 1) & (F.size(a) == 3), F.concat(F.slice(a, 1, 2), b)).otherwise(F.concat(F.slice(a, 1, 1), b))
+    number = lambda p, k: F.get(p, F.lit(k)).try_cast("int")
+    digits = lambda p: F.forall(F.slice(p, 2, 9), lambda n: n.rlike("^[0-9]{1,9}$")) & F.size(p).between(2, 3)
+    met = df.withColumns({"_a": a, "_b": F.when(b.isNotNull(), full), "_work": work, "_body": body, "_sides": F.size(sides)})
+    met = met.withColumns({"_book": known[F.lower(F.get("_a", F.lit(0)))], "_to": known[F.lower(F.get("_b", F.lit(0)))], "_c": number(F.col("_a"), 1), "_v": number(F.col("_a"), 2), "_ec": number(F.col("_b"), 1), "_ev": number(F.col("_b"), 2)})
+    table = verses.select(F.col("book").alias("_kb"), F.col("chapter").alias("_kc"), F.col("n_verses").alias("_kn"))
+    met = met.join(table, (F.col("_book") == F.col("_kb")) & (F.col("_c") == F.col("_kc")), "left").withColumnRenamed("_kn", "_first").drop("_kb", "_kc")
+    met = met.join(table, (F.col("_book") == F.col("_kb")) & (F.col("_ec") == F.col("_kc")), "left").withColumnRenamed("_kn", "_last").drop("_kb", "_kc")
+    ranged, chapters = F.col("_b").isNotNull(), F.col("_v").isNull()
+    end = F.coalesce("_ev", "_last")
+    exists = lambda v, n: n.isNotNull() & (v.isNull() | v.between(1, n))
+    backwards = F.when(chapters, F.col("_ec") < F.col("_c")).otherwise((F.col("_ec") < F.col("_c")) | ((F.col("_ec") == F.col("_c")) & (end < F.col("_v"))))
+    error = (
+        F.when((F.col("_work") != "") & ~F.col("_work").rlike(r"(?i)^bible\b"), "other work")
+        .when((F.col("_sides") > 2) | ~digits(F.col("_a")) | (ranged & ~digits(F.col("_b"))) | F.col("_body").rlike(r"\s"), "unreadable")
+        .when(F.col("_book").isNull() | (ranged & F.col("_to").isNull()), "unknown book")
+        .when(ranged & (F.col("_to") != F.col("_book")), "several books")
+        .when(~exists(F.col("_v"), F.col("_first")) | (ranged & ~exists(F.col("_ev"), F.col("_last"))), "no such verse")
+        .when(ranged & chapters & F.col("_ev").isNotNull(), "from a chapter to a verse")
+        .when(ranged & backwards, "backwards")
+    )
+    found = refs.collapsed(refs.ref(F.col("_book"), F.col("_c"), F.col("_v"), F.when(ranged & ~chapters, F.col("_ec")), F.when(ranged & ~chapters, end)))
+    error = F.when(F.col(column).isNull(), "unreadable").otherwise(error)
+    note = F.when(error.isNull() & ranged & chapters & (F.col("_ec") != F.col("_c")), "first of several chapters")
+    return met.select(*df.columns, F.when(error.isNull(), found).alias("ref"), note.alias("note"), error.alias("error"))
+
+
+def best_source(verses: DataFrame) -> DataFrame:
+    """(book, chapter, verse, to_chapter, to_verse) of each verse of another numbering, from rows of book, to_chapter, to_verse and
+    source (array<struct<chapter,verse>>, null where the numbers agree).
+
+    Of several verses a real one (not 0) is better than a title, one that names its source better than one that agrees,
+    then the lower.
+    """
+    own = F.array(F.struct(F.col("to_chapter").alias("chapter"), F.col("to_verse").alias("verse")))
+    listed = verses.select("book", "to_chapter", "to_verse", F.col("source").isNull().alias("_agrees"), F.explode(F.coalesce("source", own)).alias("_s"))
+    order = F.struct((F.col("to_verse") == 0).alias("title"), "_agrees", "to_chapter", "to_verse")
+    best = listed.groupBy("book", F.col("_s.chapter").alias("chapter"), F.col("_s.verse").alias("verse")).agg(F.min(order).alias("_best"))
+    return best.select("book", "chapter", "verse", "_best.to_chapter", "_best.to_verse")
+
+
+def whole_chapters(mapped: DataFrame) -> DataFrame:
+    """(book, chapter, to_chapter) of chapters whose verses all go to one chapter that has no others, from best_source's or like rows."""
+    distinct = mapped.select("book", "chapter", "to_chapter").distinct()
+    there = distinct.groupBy("book", "chapter").agg(F.count("*").alias("_n"), F.min("to_chapter").alias("to_chapter")).where("_n = 1").drop("_n")
+    back = distinct.groupBy(F.col("book").alias("_b"), F.col("to_chapter").alias("_t")).agg(F.count("*").alias("_m")).where("_m = 1").drop("_m")
+    return there.join(back, (F.col("book") == F.col("_b")) & (F.col("to_chapter") == F.col("_t")), "left_semi")

@@ -68,7 +68,10 @@ def range_explode(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1).cast("long"), F.col("l_linenumber").cast("long"))).alias("part"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations),
+               r AS (SELECT conv_id, turn, k, 0 AS chunk, n AS load FROM t WHERE k = 1 UNION ALL
+                     SELECT t.conv_id, t.turn, t.k, r.chunk + CASE WHEN load > 0 AND load + n > 600 THEN 1 ELSE 0 END, CASE WHEN load > 0 AND load + n > 600 THEN n ELSE load + n END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1)
+          SELECT conv_id, turn, chunk FROM r""")
 def greedy_chunks(spark, d):
     """Turns of a conversation in chunks of at most 600 characters; a longer turn stands alone."""
     turns = F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"))))
@@ -77,7 +80,11 @@ def greedy_chunks(spark, d):
     return listed.select("conv_id", F.posexplode(F.arrays_zip(F.transform("turns", lambda t: t["turn"]).alias("turn"), chunks.alias("chunk")))).select("conv_id", F.col("col.turn").alias("turn"), F.col("col.chunk").alias("chunk"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS lo, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+               r AS (SELECT user_id, event_id, lo, k, 0 AS row, [lo + 4200] AS free FROM t WHERE k = 1 UNION ALL
+                     SELECT user_id, event_id, lo, k, i - 1, list_concat(free[1:i - 1], [lo + 4200], free[i + 1:]) FROM (
+                       SELECT t.*, free, CAST(coalesce(nullif(list_position(list_transform(free, lambda x: x <= t.lo), true), 0), len(free) + 1) AS INTEGER) AS i FROM r JOIN t ON t.user_id = r.user_id AND t.k = r.k + 1))
+          SELECT user_id, event_id, lo, lo + 3600 AS hi, row FROM r""")
 def pack_rows(spark, d):
     """Display rows of each user's events, each an hour long with a gap of ten minutes."""
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))

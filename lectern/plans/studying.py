@@ -89,7 +89,12 @@ def extend_to_cover(spark, d):
     return study.covered_to(marks, "user_id", "ts", "v", events)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations),
+               r AS (SELECT conv_id, turn, n, k, 0 AS chunk, n AS load FROM t WHERE k = 1 UNION ALL
+                     SELECT t.conv_id, t.turn, t.n, t.k, r.chunk + CASE WHEN load > 0 AND load + t.n > 1500 THEN 1 ELSE 0 END, CASE WHEN load > 0 AND load + t.n > 1500 THEN t.n ELSE load + t.n END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1),
+               s AS (SELECT conv_id, chunk, sum(n) AS load, max(chunk) OVER (PARTITION BY conv_id) AS last FROM r GROUP BY 1, 2),
+               f AS (SELECT conv_id, any_value(last) AS last, sum(load) FILTER (chunk = last) AS a, sum(load) FILTER (chunk = last - 1) AS b FROM s GROUP BY 1)
+          SELECT conv_id, turn, CASE WHEN last > 0 AND a < 375 AND a + b <= 2000 THEN least(chunk, last - 1) ELSE chunk END AS bucket FROM r JOIN f USING (conv_id)""")
 def bin_pack(spark, d):
     """Bucket of each turn of a conversation for buckets of about 1,500 characters."""
     turns = F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"))))
