@@ -129,6 +129,32 @@ def test_label_model_discounts_copies_of_a_voter():
     assert ((posterior > 0.5) == y).mean() > 0.97
 
 
+def test_label_model_learns_accuracies_with_wrong_labels():
+    """Voters for both labels, and given labels of which a tenth are wrong: the votes find the true ones better."""
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.3
+    said = np.array([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.6, 0.02), (0.5, 0.03), (0.55, 0.02), (0.03, 0.5), (0.02, 0.6), (0.3, 0.3))]).T
+    given = y ^ (rng.random(4000) < 0.1)
+    posterior, accuracy, _ = toxicity.label_model(said, given, np.array([False, False, False, True, True, False]), belief=0.1)
+    assert ((posterior > 0.5) == y).mean() > (given == y).mean() + 0.02
+    assert accuracy[:5].min() > 0.8 > accuracy[5]
+
+
+def test_toxicity_with_a_hot_doc_id(tongues):
+    """A labelled doc_id that most rows share gives one row to learn from."""
+    rows, docs, labels = tongues
+    hot = docs.sparkSession.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("der ung "), F.col("id")).alias("text"), F.lit("de").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    model = toxicity.learn(docs.unionByName(hot), labels, remainder(F.col("doc_id"), 4) != 2)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([bool(got[r[0]]) == (r[0] % 7 == 0) for r in rows if r[0] is not None and r[0] < 900]) > 0.95
+
+
+def test_toxicity_scores_match_a_plain_sum():
+    model = toxicity.Toxicity({"bad": 2.0, "bad-": 0.0, "badl-": 1.0, "fine": -3.0, "/marks": 0.5}, 0.25, -1.0, frozenset({"fine"}))
+    for text, x in (("Bad badly!!", -1 + 2 + 1 + 0.5 + 0.25 * math.log2(4)), ("fine", -1 - 3), ("", -1), (None, -1), ("a" * 100_000, -1)):
+        assert abs(model.score(text) - 1 / (1 + math.exp(-x))) < 1e-12
+
+
 def brute_base(rows, held):
     split = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() + [b"\n"]
     counts = Counter(w for r in rows if not held(r[0]) for w in split(r[1]))
