@@ -11,6 +11,16 @@ def concordance(tokens: DataFrame, token: str, place: str) -> DataFrame:
     return tokens.groupBy(token).agg(F.count("*").alias("n"), F.countDistinct(place).alias("places"))
 
 
+def concordance_of_rows(df: DataFrame, tokens: Column, token: str = "token") -> DataFrame:
+    """(token, n, places) where each row of df is a place with an array of tokens.
+
+    A row's distinct tokens are found before the shuffle, so only sums by token travel, not pairs of token and place.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    marked = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("t"), one.alias("n"), none.alias("p"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), none.alias("n"), one.alias("p"))))
+    return df.select(F.explode(marked).alias("e")).groupBy(F.col("e.t").alias(token)).agg(F.sum("e.n").alias("n"), F.sum("e.p").alias("places"))
+
+
 def counted(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 

@@ -187,13 +187,19 @@ def set_difference(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").where("toxic = 1").select("doc_id"))
 
 
+@query("SELECT l_returnflag, l_linenumber, count(*) AS n, sum(l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE(l_returnflag, l_linenumber)")
+def lineitem_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_suppkey").alias("suppliers"))
+
+
 @query("SELECT r_name, n_regionkey, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY CUBE(r_name, n_regionkey)")
 def region_cube(spark, d):
     met = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
     return met.cube("r_name", "n_regionkey").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT sha256(string_agg(r_name || ' ' || sha256(r_name), chr(10) ORDER BY r_name)) AS sha256, count(*) AS files FROM region""")
+@query("""SELECT sha256(string_agg(c_name || ' ' || sha256(c_name), chr(10) ORDER BY c_name)) AS sha256, count(*) AS files FROM customer""")
 def manifest_hash(spark, d):
-    listed = F.array_sort(F.collect_list(F.concat("r_name", F.lit(" "), F.sha2("r_name", 256))))
-    return table(spark, d, "region").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("sha256"), F.count("*").alias("files"))
+    """One digest over the names and digests of all customers, as of a list of files."""
+    listed = F.array_sort(F.collect_list(F.concat("c_name", F.lit(" "), F.sha2("c_name", 256))))
+    return table(spark, d, "customer").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("sha256"), F.count("*").alias("files"))

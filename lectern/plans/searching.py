@@ -83,8 +83,7 @@ TOKENS = r"SELECT doc_id, t AS token FROM (SELECT doc_id, unnest(string_split_re
 
 @query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS places FROM ({TOKENS}) GROUP BY token")
 def conc_token_counts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return aggregates.concordance(docs, "token", "doc_id")
+    return aggregates.concordance_of_rows(table(spark, d, "documents"), tx.tokens(F.col("text")))
 
 
 @query("SELECT p_brand, p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")

@@ -18,17 +18,16 @@ def era_buckets(spark, d):
     return table(spark, d, "orders").groupBy(era.alias("era")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT r_regionkey, round(CAST(r_regionkey + 1 AS DOUBLE) + 6 / 12.0 + 14 * 1 / 365.25, 6) AS years FROM region""")
+@query("""SELECT p_partkey, round(CAST(p_size AS DOUBLE) + (p_partkey % 12) / 12.0 + 7 * (p_partkey % 4) / 365.25 + 3 / 365.25, 6) AS years FROM part""")
 def duration_parse(spark, d):
-    text = F.concat((F.col("r_regionkey") + 1).cast("string"), F.lit("Y6M2W"))
-    return table(spark, d, "region").select("r_regionkey", F.round(years.duration(text), 6).alias("years"))
+    text = F.format_string("%sY%sM%sW3D", "p_size", F.col("p_partkey") % 12, F.col("p_partkey") % 4)
+    return table(spark, d, "part").select("p_partkey", F.round(years.duration(text), 6).alias("years"))
 
 
-@query("""SELECT r_regionkey, CASE WHEN r_regionkey - 2 <= 0 THEN r_regionkey - 3 ELSE r_regionkey - 2 END AS year,
-          CASE WHEN r_regionkey - 2 <= 0 THEN CAST(3 - r_regionkey AS VARCHAR) || ' BC' ELSE 'AD ' || CAST(r_regionkey - 2 AS VARCHAR) END AS spelled FROM region""")
+@query("""SELECT o_orderkey, CASE WHEN y <= 0 THEN y - 1 ELSE y END AS year, CASE WHEN y <= 0 THEN CAST(1 - y AS VARCHAR) || ' BC' ELSE 'AD ' || CAST(y AS VARCHAR) END AS spelled FROM (SELECT o_orderkey, o_orderkey % 4000 - 2000 AS y FROM orders)""")
 def year_shift(spark, d):
-    year = years.historical(F.col("r_regionkey") - 2)
-    return table(spark, d, "region").select("r_regionkey", year.alias("year"), years.spelled(year).alias("spelled"))
+    year = years.historical(F.col("o_orderkey") % 4000 - 2000)
+    return table(spark, d, "orders").select("o_orderkey", year.alias("year"), years.spelled(year).alias("spelled"))
 
 
 @query("""SELECT vec_id, round((embedding[1]::DOUBLE - 0.1) * (cos(radians(30)) * 40), 4) AS x, round((30 - embedding[2]::DOUBLE) * 40, 4) AS y FROM embeddings""")
