@@ -213,7 +213,7 @@ def score_texts(
     tokens and ``tails`` classes of rarer ones; within a class a token has its add-one share, the class
     keeping one place for what it has not seen, so that probabilities sum to one.
 
-    Counts and the model cover all training rows.  The model is started on about warm_docs texts (twice as many at most), picked by a hash of doc_id; then
+    Counts and the model cover all training rows.  The model is started in one task on about warm_docs texts (twice as many at most), picked by a hash of doc_id; then
     every task goes through all its training text and the tasks' models are averaged by their tokens.
     The driver and the workers hold at most ``vocabulary`` of the most frequent tokens, of ``longest`` bytes or less;
     the counts of all other tokens reach the texts by an equi-join.
@@ -283,18 +283,15 @@ def score_texts(
     model = LogBilinear(classes, dim, unigram)
     share = min(1.0, warm_docs / max(1, train.count()))
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003))
-    warm = sorted(r["text"] or "" for r in train.where(hashed < share * 1_000_003).select("text").limit(2 * warm_docs).collect())
-    if warm:
-        vocab = Vocabulary({x: i for i, x in enumerate(listed)}, None, words, tails, terms)
-        key, n = trigram_table(warm, vocab)
-        model.fit(*split(key), n, unigram, epochs=10, rate=0.2, batch=1024)
-        del vocab
-
-    start = spark.sparkContext.broadcast(model.flat())
+    picked = train.where(hashed < share * 1_000_003).select("text").limit(2 * warm_docs).coalesce(1)  # one task
+
     blocks = 16
 
-    def learn(batches):
-        """Goes through all trigrams of the task's texts; yields the model in blocks, times its tokens."""
+    def learner(start, **how):
+        """What goes through all trigrams of a task's texts, from the model start, and yields its model in blocks, times its tokens."""
+        return lambda batches: learn(batches, start, how)
+
+    def learn(batches, start, how):
         vocab = read()
         keys, ns, tokens_seen = [], [], 0
 
@@ -315,8 +312,10 @@ def score_texts(
         if not keys:
             return
         key, n = merged()
-        mine = LogBilinear(classes, dim, unigram).load(start.value)
-        mine.fit(*split(key), n, unigram, epochs=epochs)
+        mine = LogBilinear(classes, dim, unigram)
+        if start is not None:
+            mine.load(start.value)
+        mine.fit(*split(key), n, unigram, **how)
         for i, x in enumerate(np.array_split(mine.flat().astype(np.float64) * tokens_seen, blocks)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([i * 64 + _part() % 64], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([tokens_seen], pa.int64())], names=["block", "salt", "x", "n"])
 
@@ -324,10 +323,16 @@ def score_texts(
         out = sum(np.frombuffer(x.as_py()) for x in table.column("x"))
         return pa.table({"block": table.column("block")[:1], "x": pa.array([out.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
+    def load(rows):
+        if rows:
+            model.load(np.concatenate([np.frombuffer(r["x"]) / r["n"] for r in sorted(rows, key=lambda r: r["block"])]))
+
     if total:
-        sums = train.select("text").mapInArrow(learn, "block int, salt int, x binary, n long")
-        sums = sums.groupBy("salt").applyInArrow(added, "block int, x binary, n long").groupBy("block").applyInArrow(added, "block int, x binary, n long").collect()
-        model.load(np.concatenate([np.frombuffer(r["x"]) / r["n"] for r in sorted(sums, key=lambda r: r["block"])]))
+        learned = "block int, salt int, x binary, n long"
+        load(picked.mapInArrow(learner(None, epochs=10, rate=0.2, batch=1024), learned).collect())
+        start = spark.sparkContext.broadcast(model.flat())
+        sums = train.select("text").mapInArrow(learner(start, epochs=epochs), learned)
+        load(sums.groupBy("salt").applyInArrow(added, "block int, x binary, n long").groupBy("block").applyInArrow(added, "block int, x binary, n long").collect())
     final = spark.sparkContext.broadcast(model.flat())
 
     def score(batches):

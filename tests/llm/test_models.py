@@ -177,6 +177,34 @@ def test_lm_base_scores_match_brute_force(tongues, vocabulary):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_scores_match_brute_force(spark):
+    """Without any training the model is its first parameters: scores by a plain softmax over classes and shares in the tail."""
+    texts = ["a b a c", "a b", "B a d", None, "e a a a", "zz a", "c"]
+    df = spark.createDataFrame([(i, t, i != 5) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(df, F.col("train"), words=3, tails=2, dim=4, warm_docs=0, epochs=0).collect()}
+    split = [[w.encode() for w in (t or "").lower().split()] + [b"\n"] for t in texts]
+    counts = Counter(w for i, x in enumerate(split) if i != 5 for w in x)
+    heads = sorted(counts, key=lambda w: (-counts[w], w))[:3]
+    assert b"\n" in heads
+    tail = lambda w: zlib.crc32(w[:2]) % 2
+    rest = {k: [w for w in counts if w not in heads and tail(w) == k] for k in range(2)}
+    unigram = np.array([counts[w] + 1 for w in heads] + [sum(counts[w] for w in rest[k]) + 1 for k in range(2)], float)
+    model = lm.LogBilinear(5, 4, unigram / unigram.sum())
+    kind = lambda w: heads.index(w) if w in heads else 3 + tail(w)
+    for i, words in enumerate(split):
+        u = v = kind(b"\n")
+        total = 0.0
+        for w in words:
+            logits = model.out.astype(float) @ (model.before[u] + model.further[v]).astype(float) + model.bias
+            p = np.exp(logits[kind(w)]) / np.exp(logits).sum()
+            if w not in heads:
+                members = rest[tail(w)]
+                p *= (counts[w] + 1) / (sum(counts[x] for x in members) + len(members) + 1)
+            total += math.log10(p)
+            u, v = kind(w), u
+        assert abs(total - got[i]) < 1e-4
+
+
 def test_lm_probabilities_sum_to_one():
     model = lm.LogBilinear(9, 3, np.full(9, 1 / 9))
     u, v = (np.repeat(np.arange(9), 9) for _ in range(2))
