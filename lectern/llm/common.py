@@ -19,10 +19,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a local test session) a temporary folder is made.
+    Only a local session may name none: a temporary folder is made then.
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -84,10 +86,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps until the edges form stars.  Hubs are dealt with
+    Alternates large-star and small-star steps until nothing changes: the edges are stars then, after about as
+    many rounds as the logarithm of the longest path.  Hubs are dealt with
     by a grouped minimum (combined before the shuffle) and an equi-join that AQE may split.
     """
     spark = edges.sparkSession
@@ -107,16 +110,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    before = None
+    while seen[0] and seen != before:
         after = saved(star(star(now, True), False))
         dropped(now)
         now, before, seen = after, seen, mark(after)
-        if before == seen:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 
