@@ -91,3 +91,33 @@ def prose_references(text: Column, names: list[str]) -> Column:
     """References such as ``Gen. 1:1-3`` in a text, by the given book names, in order."""
     listed = "|".join(sorted((n.replace(".", r"\.") for n in names), key=len, reverse=True))
     return F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])((?:{listed})\.?\s*\d+(?::\d+(?:[-–]\d+(?::\d+)?)?)?)"), F.lit(1))
+
+
+def markdown_blocks(text: Column) -> Column:
+    """array<struct<kind,depth,text>> of simple markdown: headings (h, depth 1 to 6), items (li), quotes (q) and paragraphs (p).
+
+    Blank lines end a block; lines of a paragraph or quote are joined by spaces, an item is a line with its indented ones.
+    """
+    parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n[ \t]*\n|(?=\n#{1,6} )|(?=\n[ \t]*[-*] )"), lambda p: F.trim(F.translate(p, "\n\t", "  ")) != "")
+    squeezed = lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))
+
+    def read(part: Column) -> Column:
+        body = F.regexp_replace(part, r"^\n+", "")
+        marks = F.regexp_extract(body, "^(#{1,6}) ", 1)
+        heading, item, quote = marks != "", body.rlike(r"^[ \t]*[-*] "), body.startswith("> ")
+        indent = F.length(F.regexp_extract(body, "^[ \t]*", 0))
+        kind = F.when(heading, "h").when(item, "li").when(quote, "q").otherwise("p")
+        depth = F.when(heading, F.length(marks)).when(item, F.floor(indent / 2).cast("int") + 1).otherwise(0)
+        plain = F.when(heading | item, F.regexp_replace(body, r"^[ \t]*(?:#{1,6}|[-*]) ", "")).when(quote, F.regexp_replace(body, r"(?m)^> ?", "")).otherwise(body)
+        return F.struct(kind.alias("kind"), depth.alias("depth"), squeezed(plain).alias("text"))
+
+    return F.transform(parts, read)
+
+
+def links_kept(found: Column, valid: Column) -> Column:
+    """blocks whose runs keep only links to one of the valid targets (an array)."""
+
+    def run(r: Column) -> Column:
+        return F.struct(r["t"].alias("t"), r["b"].alias("b"), r["i"].alias("i"), F.when(F.array_contains(valid, r["href"]), r["href"]).alias("href"))
+
+    return F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), b["depth"].alias("depth"), F.transform(b["runs"], run).alias("runs")))

@@ -102,7 +102,7 @@ def places_located(spark, d):
 @query("""SELECT c_custkey, lag(c_custkey) OVER w AS prev, lead(c_custkey) OVER w AS next FROM customer WINDOW w AS (ORDER BY c_nationkey, c_custkey)""")
 def adjacent_across_parents(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.struct("c_nationkey", "c_custkey").alias("at"))
-    return ordered.neighbours(customers, "at", F.col("c_nationkey"), "c_custkey").select("c_custkey", "prev", "next")
+    return ordered.neighbours(customers, "at", F.struct("c_nationkey", F.floor(F.col("c_custkey") / 1024)), "c_custkey").select("c_custkey", "prev", "next")
 
 
 @query("""SELECT p_partkey, p_size AS start, greatest(CASE WHEN p_size % 3 = 0 THEN p_size + 1 ELSE p_size % 17 END, p_size + 1) AS end_year FROM part""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions import practice, readings, words
+from lectern.functions import markup, practice, readings, words
 from lectern.functions import text as tx
 from lectern.plans.catalog import query
 from lectern.tables import table
@@ -207,3 +207,49 @@ def runs_joined(spark, d):
     """Lists of text runs joined with a space."""
     first = F.when(F.col("c") == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("c") - 1, F.lit(0))), lambda i: F.concat(F.lit("x"), i.cast("string"))))
     return _some(spark, d).select("p_partkey", F.array_join(readings.runs_joined(first, F.array(F.concat(F.lit("y"), F.col("b").cast("string")))), "|").alias("runs"))
+
+
+@query(r"""SELECT p_partkey, CASE a WHEN 0 THEN 'Gen. ' || (b + 1) || ':' || (c + 1) || '-' || (c + 3) || '|1 Sam ' || (b + 1) WHEN 1 THEN 'Gen ' || c ELSE '' END AS refs FROM """ + _SOME)
+def prose_references(spark, d):
+    """References in prose, by the names of books."""
+    b, c = (F.col("b") + 1).cast("string"), F.col("c")
+    text = (
+        F.when(F.col("a") == 0, F.concat(F.lit("as in Gen. "), b, F.lit(":"), (c + 1).cast("string"), F.lit("-"), (c + 3).cast("string"), F.lit(", and (1 Sam "), b, F.lit(")")))
+        .when(F.col("a") == 1, F.concat(F.col("w"), F.lit(" Gen "), c.cast("string"), F.lit("; Genx 3")))
+        .otherwise(F.concat(F.lit("no Gen here "), c.cast("string")))
+    )
+    return _some(spark, d).select("p_partkey", F.array_join(markup.prose_references(text, ["Gen", "1 Sam"]), "|").alias("refs"))
+
+
+@query("SELECT conv_id, count(*) AS turns, true AS same, count(*) > 1 AS moved FROM conversations GROUP BY 1")
+def shuffles_hold(spark, d):
+    """A seeded order holds all turns and is never the given one, unless there is one alone."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns")).withColumn("mixed", practice.shuffled(F.col("turns"), F.col("conv_id")))
+    return turns.select("conv_id", F.size("turns").cast("long").alias("turns"), (F.array_sort("mixed") == F.col("turns")).alias("same"), (F.col("mixed") != F.col("turns")).alias("moved"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: len(x) >= 3 AND x NOT IN ('the', 'and'))) AS n FROM conversations)
+           SELECT conv_id, turn, least(n, greatest(1, CAST(floor(n * 0.25 + 0.5) AS BIGINT))) AS blanks, true AS held FROM t""")
+def blanks_picked(spark, d):
+    """About a quarter of a turn's key words are hidden, at places in order."""
+    found = table(spark, d, "conversations").select("conv_id", "turn", tx.tokens(F.col("text")).alias("w")).withColumn("at", practice.blanks(F.col("w"), ["the", "and"], F.col("conv_id")))
+    held = F.forall("at", lambda i: F.length(F.get("w", i)) >= 3) & (F.array_sort(F.array_distinct("at")) == F.col("at"))
+    return found.select("conv_id", "turn", F.size("at").cast("long").alias("blanks"), held.alias("held"))
+
+
+@query(f"""SELECT p_partkey, place, kind, depth, text FROM (SELECT p_partkey, w, a, b, c FROM {_SOME}), LATERAL (SELECT * FROM (VALUES (0, 'h', a + 1, w || ' one'), (1, 'p', 0, 'first ' || w || ' second'), (2, 'li', 1, 'item ' || b || ' goes on'), (3, 'li', 2, 'inner ' || c),
+                  (4, 'q', 0, 'said ' || w || ' again')) AS v(place, kind, depth, text))""")
+def markdown_blocks(spark, d):
+    """Blocks of a small markdown text of each part."""
+    w, b, c = F.col("w"), F.col("b").cast("string"), F.col("c").cast("string")
+    text = F.concat(F.repeat(F.lit("#"), (F.col("a") + 1).cast("int")), F.lit(" "), w, F.lit("  one\n\nfirst "), w, F.lit("\n  second\n- item "), b, F.lit("\n  goes on\n  * inner "), c, F.lit("\n \n> said "), w, F.lit("\n> again\n\n"))
+    return _some(spark, d).select("p_partkey", F.posexplode(markup.markdown_blocks(text)).alias("place", "m")).select("p_partkey", F.col("place").cast("long").alias("place"), "m.kind", F.col("m.depth").cast("long").alias("depth"), "m.text")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN a = b THEN '#' || a ELSE '#' || a || ' #' || b END AS links, CASE WHEN b = 0 THEN '#0' ELSE '' END AS kept FROM {_SOME} WHERE a > 0""")
+def links_kept(spark, d):
+    """Links of two paragraphs, and those to a known target."""
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    found = _some(spark, d).where("a > 0").withColumn("blocks", markup.blocks(F.concat(F.lit('<p>x <a href="#'), a, F.lit('">y</a></p><div><a href="#'), b, F.lit('">z</a></div>'))))
+    kept = markup.links_kept(F.col("blocks"), F.array(F.lit("#0"), F.lit("#9")))
+    return found.select("p_partkey", F.array_join(markup.links(F.col("blocks")), " ").alias("links"), F.array_join(markup.links(kept), " ").alias("kept"))
