@@ -118,17 +118,15 @@ def clipped_ring(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Co
     return F.udf(clip, "array<struct<x:double,y:double>>", useArrow=True)(ring)
 
 
-def label_point(rings: Column, precision: float = 1e-4, most_cells: int = 20_000) -> Column:
+def label_point(rings: Column, precision: float = 1e-3) -> Column:
     """struct<x,y>: the inner point (even-odd rule over all rings of three points or more) farthest from any edge, or null.
 
-    Squares that cover the bounds are halved, most promising first: a square can't hold a point farther
-    from the edges than its middle's signed distance plus half its diagonal.  The search ends when no
-    square can beat the best point by more than ``precision`` of the larger side, or after most_cells.
+    Squares that cover the bounds are halved again and again: a square can't hold a point farther from the
+    edges than its middle's signed distance plus half its diagonal, and goes when that can't beat the best
+    point so far by more than ``precision`` of the larger side.
     """
 
     def find(given):
-        import heapq
-
         import numpy as np
 
         rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in given or [] if len(r) > 2]
@@ -154,27 +152,15 @@ def label_point(rings: Column, precision: float = 1e-4, most_cells: int = 20_000
         if (high - low).min() <= 0:
             return None
         half = side / 2
-        firsts = np.array([(x, y) for x in np.arange(low[0] + half, high[0] + half, side) for y in np.arange(low[1] + half, high[1] + half, side)])
-        middle = (low + high) / 2
-        best_at, best = middle, float(signed(middle[None])[0])
-        queue, made = [], 0
-
-        def add(points, half):
-            nonlocal best_at, best, made
-            for p, d in zip(points, signed(points)):
-                made += 1
-                if d > best:
-                    best_at, best = p, float(d)
-                heapq.heappush(queue, (-(d + half * 2**0.5), made, half, p))
-
-        for k in range(0, len(firsts), 256):
-            add(firsts[k : k + 256], half)
-        while queue and made < most_cells:
-            bound, _, half, p = heapq.heappop(queue)
-            if -bound <= max(best, 0) + precision * long_side:
-                break
-            half /= 2
-            add(p + half * np.array([(-1, -1), (-1, 1), (1, -1), (1, 1)]), half)
+        at = np.array([(x, y) for x in np.arange(low[0] + half, high[0] + half, side) for y in np.arange(low[1] + half, high[1] + half, side)])
+        best_at, best = at[0], -np.inf
+        while len(at):
+            d = np.concatenate([signed(at[k : k + 4096]) for k in range(0, len(at), 4096)])
+            k = int(d.argmax())
+            if d[k] > best:
+                best_at, best = at[k], float(d[k])
+            at, half = at[d + half * 2**0.5 > max(best, 0) + precision * long_side], half / 2
+            at = (at[:, None, :] + half * np.array([(-1, -1), (-1, 1), (1, -1), (1, 1)])).reshape(-1, 2)
         return {"x": float(best_at[0]), "y": float(best_at[1])} if best > 0 else None
 
     return F.udf(find, "struct<x:double,y:double>", useArrow=True)(rings)

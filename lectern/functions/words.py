@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"
 
 
+def _starts(lengths: Column, block: int = 256) -> Column:
+    """Where each part begins: sums of the lengths before it, inside blocks and over the blocks, since an array grows by copying."""
+
+    def scan(some: Column) -> Column:
+        return F.aggregate(some, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / block).cast("int") - 1, F.lit(0))), lambda k: scan(F.slice(lengths, k * block + 1, block)))
+    joined = lambda parts: F.flatten(F.zip_with(parts, F.slice(scan(F.transform(parts, lambda p: F.element_at(p, -1))), F.lit(1), F.size(parts)), lambda p, base: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda n: n + base)))
+    return F.get(F.transform(F.array(blocks), joined), F.lit(0))
+
+
 def placed(text: Column) -> Column:
     """array<struct<word,pre,start>>: words with what stands before each and where they start, from 0.
 
@@ -16,13 +27,9 @@ def placed(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     gaps = F.split(text, WORD, -1)
     pairs = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("pre")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,pre:string,start:int>>").alias("out"))
-
-    def step(acc, p):
-        at = acc["at"] + F.length(p["pre"])
-        return F.struct((at + F.length(p["word"])).alias("at"), F.concat(acc["out"], F.array(F.struct(p["word"].alias("word"), p["pre"].alias("pre"), at.alias("start")))).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    begun = lambda p: _starts(F.transform(p, lambda x: F.length(x["pre"]) + F.length(x["word"])))
+    put = lambda p: F.zip_with(p, begun(p), lambda x, at: F.struct(x["word"].alias("word"), x["pre"].alias("pre"), (at + F.length(x["pre"])).alias("start")))
+    return F.get(F.transform(F.array(pairs), put), F.lit(0))
 
 
 def plain(word: Column) -> Column:

@@ -102,8 +102,8 @@ def chunked(weights: Column, limit: int) -> Column:
 def rows_packed(df: DataFrame, key: list[str], low: str, high: str, gap: float = 0, tie: str | None = None, bucket: Column | None = None) -> DataFrame:
     """df with row: the first display row that is free when an interval begins (greedy, by key, in the order of low, high and tie).
 
-    Where all intervals before have ended the rows are all free again, so each such stretch is a group of
-    its own: no group is longer than the intervals overlap.  bucket: as in running(), of the order of low.
+    Where all intervals before have ended the rows are all free again, so a key is cut there, into groups of
+    256 such stretches: one key may hold most intervals.  bucket: as in running(), of the order of low.
     """
     from pyspark.sql import types as T
 
@@ -112,6 +112,7 @@ def rows_packed(df: DataFrame, key: list[str], low: str, high: str, gap: float =
     reach = running(df, key, order, bucket, before=True, _reach=("max", F.col(high)))
     fresh = F.when(F.col("_reach") + F.lit(gap) > F.col(low), 0).otherwise(1)
     cut = running(reach.withColumn("_fresh", fresh), key, order, bucket, _stretch=("sum", F.col("_fresh"))).drop("_reach", "_fresh")
+    cut = cut.withColumn("_stretch", F.floor(F.col("_stretch") / 256))
 
     def pack(pdf):
         import heapq
