@@ -194,8 +194,8 @@ def edit_distance_pairs(spark, d):
     return a.join(b, ["p_type", "p_brand"]).where((F.col("a") < F.col("b")) & tx.one_edit(F.col("na"), F.col("nb"))).select("a", "b")
 
 
-@query()
+@query(f"SELECT trim(strip_accents(token)) AS fold, sum(n)::BIGINT AS n, count(*) AS spellings FROM (SELECT token, count(*) AS n FROM ({TOKENS}) GROUP BY 1) GROUP BY 1")
 def fold_words(spark, d):
-    """Distinct words without marks; no SQL function of both engines folds alike."""
+    """Distinct words without marks."""
     words = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").count()
     return words.groupBy(tx.folded(F.col("token")).alias("fold")).agg(F.sum("count").alias("n"), F.count("*").alias("spellings"))

@@ -73,7 +73,12 @@ def rings_simplified(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(ring).alias("points"), F.round(geo.signed_area(ring), 6).alias("area"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before FROM conversations),
+               p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(before), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b FROM t WHERE before IS NOT NULL),
+               r AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS row FROM p UNION ALL
+                     SELECT conv_id, turn, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda k: list_max(now[1:k])) FROM (
+                       SELECT *, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN b[j] = a[i + 1] THEN row[j] + 1 ELSE row[j + 1] END)) AS now FROM r WHERE i < len(a)))
+          SELECT conv_id, turn, ok, len(a) - ok AS missed, len(b) - ok AS extra, round(ok / nullif(len(a) + len(b) - ok, 0)::DOUBLE, 6) AS accuracy FROM (SELECT *, row[len(b) + 1] AS ok FROM r WHERE i = len(a))""")
 def lcs_diff(spark, d):
     """Each turn of a conversation against the one before it in the same role."""
     from pyspark.sql import Window
