@@ -162,3 +162,24 @@ def runs_joined(a: Column, b: Column) -> Column:
     """Two lists of text runs with a space between: the last of a and the first of b stay runs of their own."""
     spaced = F.transform(b, lambda r, i: F.when((i == 0) & (F.size(a) > 0), F.concat(F.lit(" "), r)).otherwise(r))
     return F.concat(a, spaced)
+
+
+def marker_range(text: Column, pattern: str) -> Column:
+    """struct<first,last>: the number of the first marker in a text and the highest of all; null without markers.  pattern: its only group is the number."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: n.try_cast("int"))
+    return F.when(F.size(numbers) > 0, F.struct(F.get(numbers, F.lit(0)).alias("first"), F.array_max(numbers).alias("last")))
+
+
+def headed(text: Column, pattern: str) -> Column:
+    """array<struct<head,body>>: a text cut before each header; what stands before the first one has no head."""
+    heads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    bodies = F.transform(F.split(text, pattern, -1), lambda b: F.trim(b))
+    pieces = F.zip_with(heads, bodies, lambda h, b: F.struct(F.trim(h).alias("head"), b.alias("body")))
+    return F.filter(pieces, lambda p: p["head"].isNotNull() | (p["body"] != ""))
+
+
+def paired_refs(refs: Column, labels: Column) -> Column:
+    """array<struct<ref,label>>: each reference with its own label where there are as many, else all labels for the first one."""
+    each = F.arrays_zip(refs.alias("ref"), labels.alias("label"))
+    whole = F.array(F.struct(F.get(refs, F.lit(0)).alias("ref"), F.array_join(labels, ", ").alias("label")))
+    return F.when(F.size(refs) == F.size(labels), F.transform(each, lambda e: F.struct(e["ref"].alias("ref"), e["label"].alias("label")))).when(F.size(refs) > 0, whole)

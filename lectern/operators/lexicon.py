@@ -16,10 +16,13 @@ def described(codes: DataFrame, code: str, parts: Column, table: DataFrame) -> D
     return met.groupBy(code).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "; ").alias("text"))
 
 
-def consecutive(df: DataFrame, key: list[str], order: list[str], value: str, item: str) -> DataFrame:
-    """(key, run, value, items): neighbours of equal value as one group; a later return starts another."""
+def consecutive(df: DataFrame, key: list[str], order: list[str], value: str, item: str, bucket: Column | None = None) -> DataFrame:
+    """(key, run, value, items): neighbours of equal value as one group; a later return starts another.
+
+    Without a key the whole table is one order; bucket (as in ordered.running) keeps it from one task.
+    """
     listed = F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item"))))
-    return runs(df, key, order, value).groupBy(*key, "run", value).agg(F.transform(listed, lambda x: x["_item"]).alias("items"))
+    return runs(df, key, order, value, bucket).groupBy(*key, "run", value).agg(F.transform(listed, lambda x: x["_item"]).alias("items"))
 
 
 def numbered_ids(df: DataFrame, base: str, order: str) -> DataFrame:

@@ -92,3 +92,12 @@ def shapes_scanned(spark, d):
     found = table(spark, d, "part").select("p_partkey", geo.polygons(F.concat(F.lit('{"type":"Feature","properties":{"name":"x"},"geometry":'), shape, F.lit("}"))).alias("p"))
     first = F.get(F.get(F.get(F.get("p", F.lit(0)), F.lit(0)), F.lit(0)), F.lit(0))
     return found.select("p_partkey", F.size("p").cast("long").alias("polygons"), F.size(F.flatten("p")).cast("long").alias("rings"), first.alias("x"))
+
+
+@query("""SELECT p_partkey, greatest(0, least(w, 10) - 1) * greatest(0, least(h, 8) - 1) AS area FROM (SELECT p_partkey, CAST(p_size % 14 AS DOUBLE) AS w, CAST(p_partkey % 11 AS DOUBLE) AS h FROM part)""")
+def rings_clipped(spark, d):
+    """Area of rectangles, given clockwise with a point too many, in a box."""
+    w, h = (F.col("p_size") % 14).cast("double"), (F.col("p_partkey") % 11).cast("double")
+    ring = F.array(*[_point(x, y) for x, y in ((F.lit(0), F.lit(0)), (F.lit(0), h), (w, h), (w, F.lit(0)), (w / 2, F.lit(0)))])
+    clipped = geo.simplified(geo.clipped_ring(geo.oriented(ring), 1, 1, 10, 8), 0.001)
+    return table(spark, d, "part").select("p_partkey", F.round(F.coalesce(geo.signed_area(clipped), F.lit(0.0)), 6).alias("area"))

@@ -235,3 +235,42 @@ def variant_units(spark, d):
     units = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), (F.col("l_suppkey") % 4).alias("w"), kind.alias("kind"), text.alias("text"))
     words = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 4).alias("v"), (F.col("p_partkey") % 4).alias("w"), F.col("p_name").alias("word"))
     return lexicon.units_by_word(units, words, "v").withColumn("alts", F.array_join("alts", " "))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS n, o_orderkey // 40 % 3 AS part, o_orderkey // 6 % 7 + 1 AS c, o_orderkey % 9 + 1 AS v, o_orderkey % 3 AS kind FROM orders),
+               f AS (SELECT *, CASE WHEN part = lag(part) OVER (ORDER BY n) THEN 0 ELSE 1 END AS new FROM o), r AS (SELECT *, sum(new) OVER (ORDER BY n) AS run FROM f)
+          SELECT CAST(run AS BIGINT) AS run, 'Part ' || any_value(part) AS title, count(*) AS sections, string_agg(n || ' ' || 'ALF.' || c || '.' || v || CASE kind WHEN 0 THEN '' WHEN 1 THEN '-' || (v + 2) ELSE '-' || (c + 1) || '.2' END, '; ' ORDER BY n) AS refs FROM r GROUP BY run""")
+def harmony_nested(spark, d):
+    """Sections in their order, nested in the parts that they follow each other in, with their references."""
+    n = F.col("o_orderkey")
+    c, v, kind = F.floor(n / 6) % 7 + 1, n % 9 + 1, n % 3
+    ref = refs.collapsed(refs.ref(F.lit("ALF"), c, v, F.when(kind == 2, c + 1).otherwise(c), F.when(kind == 0, v).when(kind == 1, v + 2).otherwise(2)))
+    sections = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Part "), (F.floor(n / 40) % 3).cast("string")).alias("title"), F.concat(n.cast("string"), F.lit(" "), refs.compact(ref)).alias("section"))
+    found = lexicon.consecutive(sections, [], ["o_orderkey"], "title", "section", F.floor(n / 4096))
+    return found.select("run", "title", F.size("items").cast("long").alias("sections"), F.array_join("items", "; ").alias("refs"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 END AS first, CASE WHEN o_orderkey % 4 > 0 THEN greatest(o_orderkey % 9, o_custkey % 12, 3) END AS last FROM orders""")
+def marker_ranges(spark, d):
+    """The first and the highest marker of texts."""
+    mark = lambda k: F.concat(F.lit('<verse osisID="ALF.1.'), k.cast("string"), F.lit('"/> text '))
+    text = F.when(F.col("o_orderkey") % 4 > 0, F.concat(mark(F.col("o_orderkey") % 9), mark(F.col("o_custkey") % 12), mark(F.lit(3)))).otherwise("no marker")
+    found = table(spark, d, "orders").select("o_orderkey", readings.marker_range(text, 'osisID="[^"]*\\.([0-9]+)"').alias("m"))
+    return found.select("o_orderkey", F.col("m.first").cast("long").alias("first"), F.col("m.last").cast("long").alias("last"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_orderkey % 3 AS a, o_custkey AS c FROM orders)
+          SELECT o_orderkey, NULL AS head, 'before ' || c AS body FROM p WHERE a > 0 UNION ALL SELECT o_orderkey, 'Verse ' || c || '.', 'one' FROM p UNION ALL SELECT o_orderkey, 'Verse ' || (c + 1) || '.', CASE a WHEN 2 THEN '' ELSE 'two' END FROM p""")
+def headers_split(spark, d):
+    """Comments cut at their verse headers."""
+    a, c = F.col("o_orderkey") % 3, F.col("o_custkey")
+    text = F.concat(F.when(a > 0, F.concat(F.lit("before "), c.cast("string"))).otherwise(""), F.lit(" Verse "), c.cast("string"), F.lit(". one Verse "), (c + 1).cast("string"), F.when(a == 2, ".").otherwise(". two "))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(readings.headed(text, "Verse [0-9]+\\.")).alias("p")).select("o_orderkey", "p.head", "p.body")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = o_custkey % 3 THEN array_to_string(list_transform(range(o_orderkey % 3 + 1), lambda i: 'R' || i || '=L' || i), ' ') ELSE 'R0=' || array_to_string(list_transform(range(o_custkey % 3 + 1), lambda i: 'L' || i), ', ') END AS pairs FROM orders""")
+def refs_paired(spark, d):
+    """Displayed labels with the references behind them."""
+    listed = lambda mark, k: F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) % 3), lambda i: F.concat(F.lit(mark), i.cast("string")))
+    found = table(spark, d, "orders").select("o_orderkey", readings.paired_refs(listed("R", "o_orderkey"), listed("L", "o_custkey")).alias("p"))
+    return found.select("o_orderkey", F.array_join(F.transform("p", lambda e: F.concat(e["ref"], F.lit("="), e["label"])), " ").alias("pairs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import markup, practice, readings, words
 from lectern.functions import text as tx
+from lectern.operators import resolving, sequences
 from lectern.plans.catalog import query
 from lectern.tables import table
 
@@ -253,3 +254,35 @@ def links_kept(spark, d):
     found = _some(spark, d).where("a > 0").withColumn("blocks", markup.blocks(F.concat(F.lit('<p>x <a href="#'), a, F.lit('">y</a></p><div><a href="#'), b, F.lit('">z</a></div>'))))
     kept = markup.links_kept(F.col("blocks"), F.array(F.lit("#0"), F.lit("#9")))
     return found.select("p_partkey", F.array_join(markup.links(F.col("blocks")), " ").alias("links"), F.array_join(markup.links(kept), " ").alias("kept"))
+
+
+@query(f"""SELECT p_partkey, CASE a WHEN 0 THEN '1|2,3|4' WHEN 1 THEN '0|1|2|' ELSE '0|0|2' END AS places FROM {_SOME}""")
+def segments_placed(spark, d):
+    """The words that the segments of a small text take: in order, further on, and again."""
+    numbers = lambda *of: F.array(*[F.concat(F.lit("H"), (F.col("b") + n).cast("string")) for n in of])
+    segment = lambda *of: F.struct(numbers(*of).alias("numbers"), F.lit(False).alias("again"))
+    segments = F.when(F.col("a") == 0, F.array(segment(1), segment(2, 3), segment(4))).when(F.col("a") == 1, F.array(segment(1), segment(2), segment(1), segment(9))).otherwise(F.array(segment(1), segment(1), segment(3)))
+    found = F.when(F.col("a") == 0, F.array(numbers(8), numbers(1), numbers(2, 7), numbers(3), numbers(4, 2))).when(F.col("a") == 1, F.array(numbers(1), numbers(2), numbers(1))).otherwise(F.array(numbers(1), numbers(2), numbers(3)))
+    placed = _some(spark, d).select("p_partkey", resolving.segment_words(segments, found).alias("s"))
+    return placed.select("p_partkey", F.array_join(F.transform("s", lambda x: F.array_join(x.cast("array<string>"), ",")), "|").alias("places"))
+
+
+@query(f"""SELECT p_partkey, CASE a WHEN 0 THEN '4 5 6 1 2 3' WHEN 1 THEN '1 - 3 4 - -' ELSE '1 2 3 4 5' END AS tags FROM {_SOME}""")
+def tags_moved(spark, d):
+    """Tags on a version with a moved phrase, with words put in and left out, and with one word for another."""
+    w = [F.concat("w", F.lit(str(n))) for n in range(1, 7)]
+    tags = F.array(*[F.lit(str(n)) for n in range(1, 7)])
+    new = F.lit("new")
+    other = F.when(F.col("a") == 0, F.array(*w[3:], *w[:3])).when(F.col("a") == 1, F.array(w[0], new, w[2], w[3], new, new)).otherwise(F.array(w[0], w[1], new, w[3], w[4]))
+    found = _some(spark, d).select("p_partkey", sequences.tag_transfer(F.when(F.col("a") == 1, F.array(*w[:1], *w[2:4])).otherwise(F.slice(F.array(*w), F.lit(1), F.when(F.col("a") == 2, 5).otherwise(6))), F.when(F.col("a") == 1, F.array(F.lit("1"), F.lit("3"), F.lit("4"))).otherwise(tags), other).alias("t"))
+    return found.select("p_partkey", F.array_join("t", " ", "-").alias("tags"))
+
+
+@query(f"""SELECT p_partkey, place, kind, depth, text FROM (SELECT p_partkey, w, a, b, c FROM {_SOME}), LATERAL (SELECT * FROM (VALUES (0, 'h', 0, w || ' & more'), (1, 'p', 0, 'one ' || w || ' two'), (2, 'li', 1, 'item ' || b), (3, 'li', 2, 'inner ' || c), (4, 'q', 0, 'said')) AS v(place, kind, depth, text))""")
+def html_blocks_read(spark, d):
+    """Blocks of a small page of each part."""
+    w, b, c = F.col("w"), F.col("b").cast("string"), F.col("c").cast("string")
+    page = F.concat(F.lit("<script>x</script><h2>"), w, F.lit(" &amp; more</h2>\n<p>one <b>"), w, F.lit("</b>\n two</p><ul><li>item "), b, F.lit("<ol><li>inner "), c, F.lit("</li></ol></li></ul><blockquote>said</blockquote>"))
+    found = _some(spark, d).select("p_partkey", F.posexplode(markup.blocks(page)).alias("place", "m"))
+    text = F.trim(F.array_join(F.transform("m.runs", lambda r: r["t"]), ""))
+    return found.select("p_partkey", F.col("place").cast("long").alias("place"), "m.kind", F.col("m.depth").cast("long").alias("depth"), text.alias("text"))
