@@ -282,7 +282,7 @@ def identify(docs: DataFrame, model: ByteTagger | None, window: int = 64) -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: ByteTagger | None, most_noise: float = 0.8, least_bytes: int = 64) -> DataFrame:
+def accepted(docs: DataFrame, model: ByteTagger | None, most_noise: float = 0.8, least_bytes: int = 128) -> DataFrame:
     """The rows of docs in a language that the model knows, with lang_pred, score and noise.
 
     Texts without a letter go, and those of least_bytes or more whose mean noise exceeds most_noise;
