@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import embeddings, exact, language, lm, mixing, packing, secret_scan, simhash, toxicity, urls
+from lectern.llm import bpe, embeddings, exact, language, lm, mixing, packing, secret_scan, simhash, toxicity, urls
 from lectern.llm.common import remainder
 
 # Host, path, verdict.
@@ -65,8 +65,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True))
+    return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash, op12_byte_bpe)
 } | {"pipeline": corpus_pipeline.run}
 
 # Kind, pattern for RE2 (letters of either case spelled out), group of the value, least length.
