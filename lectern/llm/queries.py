@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import bpe, embeddings, exact, language, lm, mixing, packing, secret_scan, simhash, toxicity, urls
+from lectern.llm import bpe, embeddings, exact, language, lexical, lm, mixing, packing, secret_scan, simhash, toxicity, urls
 from lectern.llm.common import remainder
 
 # Host, path, verdict.
@@ -70,8 +70,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash, op12_byte_bpe)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash, op12_byte_bpe, op13_lexical_search)
 } | {"pipeline": corpus_pipeline.run}
 
 # Kind, pattern for RE2 (letters of either case spelled out), group of the value, least length.
@@ -84,6 +88,9 @@ _SECRET_KINDS = [
 ]
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 def _secret_sql() -> str:
     texts = "(SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"
     kinds = " UNION ALL ".join(
@@ -116,6 +123,18 @@ ORACLE_SQL: dict[str, str] = {
                    FROM p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY 1)
         SELECT p.page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
     "op9_secret_scan": _secret_sql(),
+    "op13_lexical_search": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+             q AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+             s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+             f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+             g AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY term, docs),
+             b AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+             m AS (SELECT r, doc_id, 25 + (75 * len(w) * docs) // terms AS m FROM d, s),
+             h AS (SELECT i, item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+                   FROM b JOIN g USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+             o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank FROM h WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op1_embedding_near_dedup": r"""
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
                              WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
