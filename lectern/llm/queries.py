@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import bpe, embeddings, exact, language, lexical, lm, mixing, packing, secret_scan, simhash, toxicity, urls
+from lectern.llm import bpe, embeddings, exact, language, lexical, lm, mixing, packing, secret_scan, simhash, toxicity, trie, urls
 from lectern.llm.common import remainder
 
 # Host, path, verdict.
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.numbered(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True))
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -75,7 +79,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash, op12_byte_bpe, op13_lexical_search)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_url_filters, op5_language_id, op6_packing, op7_mixing, op8_exact_dedup, op9_secret_scan, op10_simhash, op11_prefix_trie, op12_byte_bpe, op13_lexical_search)
 } | {"pipeline": corpus_pipeline.run}
 
 # Kind, pattern for RE2 (letters of either case spelled out), group of the value, least length.
@@ -123,6 +127,29 @@ ORACLE_SQL: dict[str, str] = {
                    FROM p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY 1)
         SELECT p.page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
     "op9_secret_scan": _secret_sql(),
+    "op11_prefix_trie": r"""
+        WITH RECURSIVE bits AS (SELECT range AS b, 0 AS i, range AS v FROM range(256)
+                                UNION ALL SELECT b, i + 1, xor(v >> 1, 3988292384 * (v & 1)) FROM bits WHERE i < 8),
+             crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE i = 8),
+             t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             z AS (SELECT DISTINCT c, c::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS v FROM t
+                   UNION ALL SELECT c, s, i + 1, xor(v >> 8, crc.t[(xor(v, ord(s[i + 1])) & 255) + 1]) FROM z, crc WHERE i < len(s)),
+             k AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM z WHERE i = len(s)),
+             r AS (SELECT k.c, 0 AS part, p, role, text FROM k JOIN t ON t.c = k.c - k.c % 5 WHERE p <= h
+                   UNION ALL SELECT k.c, 1, p, role, text FROM k JOIN t ON t.c = k.c WHERE p > h),
+             s AS (SELECT c, strlen(text) AS b, sha256(strlen(role) || ':' || role || text) AS id, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM r),
+             w AS (SELECT c, d, b, string_agg(id, '') OVER (PARTITION BY c ORDER BY d) AS path FROM s UNION ALL SELECT c, 0, 0, '' FROM k),
+             m AS (SELECT path, any_value(d) AS d, any_value(b) AS b, min(c) AS low, count(*) AS n, left(path, greatest(len(path) - 64, 0)) AS up FROM w GROUP BY path),
+             f AS (SELECT up AS path, count(*) AS fan FROM m WHERE d > 0 GROUP BY up),
+             a AS (SELECT m.*, coalesce(fan, 0) AS fan FROM m LEFT JOIN f USING (path)),
+             u AS (SELECT left(path, 64 * x) AS path, sum((n - 1) * b)::BIGINT AS kept, count(*) FILTER (fan = 0) AS leaves
+                   FROM (SELECT *, unnest(range(0, d + 1)) AS x FROM a) GROUP BY 1),
+             l AS (SELECT c, arg_max(path, d) AS path FROM w GROUP BY c),
+             e AS (SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM l GROUP BY path)
+        SELECT a.low AS conv_id, a.d AS depth, q.low AS parent_conv_id, a.n AS n_convs, a.fan AS n_children, leaves AS n_leaves, kept AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+        FROM a JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN a q ON a.d > 0 AND q.path = a.up""",
     "op13_lexical_search": rf"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
              q AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
