@@ -72,7 +72,7 @@ class Transducer:
         start = (-1, 0, ())
         self.start = _State((start,))
         self.states = {self.start.readings: self.start}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, spelled: bytes, steps: list | None = None) -> list[int]:
         """Ids after merging neighbours, the lowest id first and of equal ones the leftmost, until no two form a token.
@@ -119,7 +119,7 @@ class Transducer:
         Merges go by rising id, so a part that left ends with and one that right begins with lie side by
         side until the lower of the ids that take them in; of equal ids the leftmost merge is first.
         """
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             heads, tails = self.edges[right][0], self.edges[left][1]
             h = t = 0
@@ -137,7 +137,7 @@ class Transducer:
                     h += tail_end == head_end
                 else:
                     h += 1
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
     def arc(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
@@ -172,8 +172,10 @@ class Transducer:
 
     def encode(self, spelled: bytes) -> list[int]:
         """Ids of one stretch of bytes, in one pass over it."""
-        if len(self.states) + len(self.pairs) // 8 > self.most_states:
+        if len(self.states) > self.most_states:
             self.forget()
+        if len(self.pairs) > 2 * self.most_states:
+            self.pairs.clear()
         state, out = self.start, []
         for byte in spelled:
             arc = state.arcs.get(byte)
@@ -190,43 +192,42 @@ class Transducer:
 class TextEncoder:
     """Ids of whole texts: each match of the pattern goes through the transducer by itself.
 
-    Stretches of up to 64 bytes that were read before are looked up (most_known of them at most).
+    Stretches of up to 64 bytes that were read before are looked up; when most_known are kept, those not met
+    since the last time go.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_known: int = 200_000):
         import regex
 
         self.split, self.transducer = regex.compile(pattern), Transducer(ranks)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most_known = most_known
 
-    def ids(self, text: str):
-        from array import array
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit words."""
         from itertools import batched
 
         if len(text) <= 1 << 20:
-            return self._read(self.split.findall(text), array("I"))
-        out = array("I")
-        for pieces in batched((m.group() for m in self.split.finditer(text)), 1 << 16):  # a very long text by parts
-            self._read(pieces, out)
-        return out
-
-    def _read(self, pieces, out):
-        from array import array
-
-        known = self.known
-        for piece, found in zip(pieces, map(known.get, pieces)):
-            if found is None:
-                found = known.get(piece)
-            if found is None:
-                spelled = piece.encode()
-                found = array("I", self.transducer.encode(spelled))
-                if len(spelled) <= 64:
-                    if len(known) >= self.most_known:
-                        known.clear()
-                    known[piece] = found
-            out += found
-        return out
+            return self._read(self.split.findall(text))
+        parts = batched((m.group() for m in self.split.finditer(text)), 1 << 16)  # a very long text by parts
+        return b"".join(map(self._read, parts))
+
+    def _read(self, pieces) -> bytes:
+        found = list(map(self.known.get, pieces))
+        for at in [k for k, ids in enumerate(found) if ids is None]:
+            found[at] = self.known.get(pieces[at]) or self._new(pieces[at])
+        return b"".join(found)
+
+    def _new(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = b"".join([i.to_bytes(4, "little") for i in self.transducer.encode(piece.encode())])
+        if len(piece) <= 64:
+            if len(self.known) >= self.most_known // 2:
+                self.known, self.older = {}, self.known
+            self.known[piece] = found
+        return found
 
 
 # What UTF-8 allows (fixed values of the encoding): (lowest lead, highest lead, lowest and highest second byte, bytes after it).
@@ -328,6 +329,12 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", ranks: str | N
     number, so repeated rows and null ids stay; other columns are kept, and one named like out is
     replaced.  An empty table gives an empty result.
     """
+    plain, schema, run = _encoding(docs, text, out, ranks, pattern, packed)
+    return plain.mapInArrow(run, schema)
+
+
+def _encoding(docs: DataFrame, text: str, out: str, ranks: str | None, pattern: str | None, packed: bool):
+    """What encode() runs on: the rows with the text first, the schema and the function over batches."""
     import pyarrow as pa
 
     kept = [f for f in docs.schema if f.name not in (text, out)]
@@ -345,17 +352,16 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", ranks: str | N
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
-                found = [encoder.ids(t.as_py() or "") for t in piece.column(0)]
+                found = [encoder.packed(t.as_py() or "") for t in piece.column(0)]
                 if packed:
-                    ids = pa.array([np.asarray(f, "<u4").tobytes() for f in found], pa.binary())
+                    ids = pa.array(found, pa.binary())
                 else:
-                    ends = np.cumsum([0, *map(len, found)])
-                    flat = np.concatenate([np.asarray(f, np.int32) for f in found])
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                    ends = np.cumsum([0, *(len(f) // 4 for f in found)])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*piece.columns[1:], ids], names=names)
 
     valid = F.make_valid_utf8(F.col(f"`{text}`").cast("string")).alias("_text")
-    return docs.select(valid, *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(valid, *[F.col(f"`{f.name}`") for f in kept]), schema, run
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str | None = None) -> DataFrame:
@@ -363,9 +369,24 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: st
 
     Null ids give an empty text; bytes that are no UTF-8 become U+FFFD; an id without a token raises.
     """
+    schema, run = _decoding(encoded.schema, ids, out, ranks)
+    return encoded.select(*[F.col(f"`{f.name}`") for f in encoded.schema if f.name != out]).mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded", ranks: str | None = None, pattern: str | None = None, packed: bool = False) -> DataFrame:
+    """decode(encode(docs)), batch by batch in one worker."""
+    plain, schema, first = _encoding(docs, text, ids, ranks, pattern, packed)
+    schema, then = _decoding(T.StructType([f for f in schema if f.name != out]), ids, out, ranks)
+    if out in plain.columns[1:]:
+        return decode(encode(docs, text, ids, ranks, pattern, packed), ids, out, ranks)
+    return plain.mapInArrow(lambda batches: then(first(batches)), schema)
+
+
+def _decoding(given: T.StructType, ids: str, out: str, ranks: str | None):
+    """What decode() runs: the schema and the function over batches."""
     import pyarrow as pa
 
-    kept = [f for f in encoded.schema if f.name != out]
+    kept = [f for f in given if f.name != out]
     at = [f.name for f in kept].index(ids)
     packed = isinstance(kept[at].dataType, T.BinaryType)
     schema = T.StructType([*kept, T.StructField(out, T.StringType(), False)])
@@ -385,4 +406,4 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: st
                     texts.append(decoder.feed(words) + decoder.finish())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=names)
 
-    return encoded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return schema, run

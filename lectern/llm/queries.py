@@ -70,7 +70,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True))
+    found = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True)
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
