@@ -108,13 +108,19 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
 
+    def same(left: DataFrame, right: DataFrame) -> bool:
+        return left.join(right, ["a", "b"], "left_anti").isEmpty() and right.join(left, ["a", "b"], "left_anti").isEmpty()
+
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(now)
-    before = None
-    while seen[0] and seen != before:
+    while seen[0]:
         after = saved(star(star(now, True), False))
+        marked = mark(after)
+        settled = marked == seen and same(now, after)  # equal sums alone could be chance
         dropped(now)
-        now, before, seen = after, seen, mark(after)
+        now, seen = after, marked
+        if settled:
+            break
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 

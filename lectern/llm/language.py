@@ -87,10 +87,10 @@ class ByteTagger:
         logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
-    def gradients(self, x, y) -> dict:
-        """Of the mean cross-entropy of all positions but zero bytes (the padding), by backpropagation through time.
+    def gradients(self, x, y, sizes=None) -> dict:
+        """Of the mean cross-entropy of all positions but the padding, by backpropagation through time.
 
-        x: (windows, length) bytes, y: the class of each window.
+        x: (windows, length) bytes, y: the class of each window, sizes: bytes of each before its padding.
         """
         import numpy as np
 
@@ -101,7 +101,7 @@ class ByteTagger:
         states = self.states(part, keep)
         error = self.positions(states)
         error[:, y, np.arange(count)] -= 1
-        real = part[:, None, :] != 0
+        real = np.ones((length, 1, count), bool) if sizes is None else (np.arange(length)[:, None] < sizes)[:, None, :]
         error *= real / np.float32(max(1, real.sum()))
         grad = {n: np.zeros_like(getattr(self, n)) for n in self.names}
         grad["out"] = np.einsum("tlc,thc->lh", error, states, optimize=True)
@@ -126,7 +126,7 @@ class ByteTagger:
             grad["w"][side] = dw.T
         return grad
 
-    def fit(self, x, y, steps: int, batch: int = 128, rate: float = 0.02, seed: int = 3) -> None:
+    def fit(self, x, y, sizes, steps: int, batch: int = 128, rate: float = 0.02, seed: int = 3) -> None:
         """Adam on the gradients of random batches, clipped to norm 1."""
         import numpy as np
 
@@ -134,7 +134,7 @@ class ByteTagger:
         moments = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in self.names}
         for step in range(1, steps + 1):
             i = rng.integers(0, len(y), min(batch, len(y)))
-            grad = self.gradients(x[i], y[i])
+            grad = self.gradients(x[i], y[i], sizes[i])
             size = sum(float((g * g).sum()) for g in grad.values()) ** 0.5
             pace = rate * min(1, 3 * (1 - step / (steps + 1)))
             for n in self.names:
@@ -188,41 +188,47 @@ def learn(docs: DataFrame, training: Column, per_language: int = 2400, window: i
     """A tagger fitted to about per_language windows of each language among the training rows, None without any.
 
     training: Boolean column; of its rows those with text and lang count.  Whole texts are cut into
-    windows of that many characters, and windows are picked from all of them by a hash of the text and
-    their place, so copies of a text give its windows once and any language with a text is picked from.
+    windows of that many bytes, and windows are picked from all of them by a hash of the text and
+    their place, so copies of a text give its windows once and any language with a text is picked from:
+    of somewhat more than per_language, those with the lowest hashes.
     Only windows by language and the picked ones reach the driver.
     """
     import numpy as np
 
     known = docs.where(F.coalesce(training, F.lit(False)) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    many = F.ceil(F.length("text") / window).cast("int")
-    known = known.select("lang", "text", F.xxhash64("text").alias("h"), many.alias("many"))
+    many = F.ceil(F.octet_length("text") / window).cast("int")
+    known = known.select("lang", F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("h"), many.alias("many"))
     distinct = known.groupBy("lang", "h").agg(F.max("many").alias("many"))
     sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.sum("many").alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    steps_of = 1_000_003
-    quota = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_language / n) * steps_of))])
-    places = F.filter(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.pmod(F.xxhash64("h", k), F.lit(steps_of)) < quota[F.col("lang")])
-    parts = F.transform(places, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * window + 1, F.lit(window)).alias("part")))
-    picked = known.select("lang", "h", F.explode(parts).alias("p")).groupBy("lang", "h", "p.k").agg(F.first("p.part").alias("part"))
-    x, y = [], []
-    for r in sorted(picked.select("lang", "h", "k", "part").collect()):
-        raw = r["part"].encode("utf-8", "surrogatepass")[:window]
-        x.append(np.frombuffer(raw.ljust(window, b"\0"), np.uint8))
-        y.append(languages.index(r["lang"]))
+    span = (1 << 63) - 1  # hashes have 63 bits, so a quota is never rounded to nothing
+    wanted = per_language + 6 * int(per_language**0.5) + 10
+    quota = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, span * min(wanted, n) // n)])
+    draw = lambda k: F.xxhash64("h", k).bitwiseAND(F.lit(span))
+    places = F.filter(F.sequence(F.lit(0), F.col("many") - 1), lambda k: draw(k) <= quota[F.col("lang")])
+    parts = F.transform(places, lambda k: F.struct(k.alias("k"), draw(k).alias("draw"), F.substring(F.col("raw"), k * window + 1, F.lit(window)).alias("part")))
+    picked = known.select("lang", "h", F.explode(parts).alias("p")).groupBy("lang", "p.draw", "h", "p.k").agg(F.first("p.part").alias("part"))
+    x, y, ends, taken = [], [], [], dict.fromkeys(languages, 0)
+    for r in sorted(picked.select("lang", "draw", "h", "k", "part").collect()):
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= per_language:
+            x.append(np.resize(np.frombuffer(bytes(r["part"]), np.uint8), window))
+            y.append(languages.index(r["lang"]))
+            ends.append(len(r["part"]))
     model = ByteTagger(languages, hidden)
     # languages, and noise, in equal parts, so that none is preferred for being frequent
-    x, y = np.array(x), np.array(y)
+    x, y, ends = np.array(x), np.array(y), np.array(ends)
     most = np.bincount(y, minlength=len(languages)).max()
     order = np.concatenate([np.resize(np.nonzero(y == k)[0], most) for k in range(len(languages)) if (y == k).any()])
     none = noise(x[order[:: len(languages)]])
     x, y = np.concatenate([x[order], none]), np.concatenate([y[order], np.full(len(none), len(languages))])
+    ends = np.concatenate([ends[order], np.full(len(none), window)])
     rng = np.random.default_rng(19)  # a third of the windows are cut short, as short texts are
-    ends = np.where(rng.random(len(x)) < 1 / 3, rng.integers(6, window, len(x)), window)
+    ends = np.minimum(ends, np.where(rng.random(len(x)) < 1 / 3, rng.integers(6, window, len(x)), window))
     x[np.arange(window) >= ends[:, None]] = 0
-    model.fit(x.astype(np.intp), y, steps)
+    model.fit(x.astype(np.intp), y, ends, steps)
     return model
 
 
@@ -282,14 +288,18 @@ def identify(docs: DataFrame, model: ByteTagger | None, window: int = 64) -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: ByteTagger | None, most_noise: float = 0.8, least_bytes: int = 128) -> DataFrame:
+def accepted(docs: DataFrame, model: ByteTagger | None, most_noise: float = 0.7, chance: float = 1e-6) -> DataFrame:
     """The rows of docs in a language that the model knows, with lang_pred, score and noise.
 
-    Texts without a letter go, and those of least_bytes or more whose mean noise exceeds most_noise;
-    shorter ones hold too little to tell.  Without a model, a letter is enough.
+    Texts without a letter go, and those whose mean noise exceeds most_noise by more than the mean of so many bytes
+    could by chance (Hoeffding's bound for that probability): the shorter a text, the more it may stray.
+    Without a model, a letter is enough.
     """
+    import math
+
     found = identify(docs, model)
     pred, _, other = (F.col(f"`{c}`") for c in found.columns[-3:])
     if model is None:
         return found.where(F.col("text").rlike(r"\p{L}"))
-    return found.where((pred != "und") & ((other <= most_noise) | (F.octet_length("text") < least_bytes)))
+    stray = F.sqrt(F.lit(math.log(1 / chance) / 2) / F.greatest(F.octet_length("text"), F.lit(1)))
+    return found.where((pred != "und") & (other <= most_noise + stray))

@@ -128,8 +128,11 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return lowered.select("key", F.explode(found).alias("gram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, kinds): documents whose postings satisfy the Boolean query of a rule."""
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], most_broadcast: int = 100_000) -> DataFrame:
+    """(key, kinds): documents whose postings satisfy the Boolean query of a rule.
+
+    The query has a row for each trigram of an alternative; beyond most_broadcast rows it is shuffled.
+    """
     spark = docs.sparkSession
     asked = []
     for r in rules:
@@ -138,10 +141,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                 alt = alt[:62]  # a weaker condition; matches are verified in any case
             asked += [(g, r.kind, k, 1 << i, (1 << len(alt)) - 1) for i, g in enumerate(alt)]
     query = spark.createDataFrame(asked, "gram string, kind string, alt int, bit long, whole long")
-    assert len(asked) <= 100_000, "too many trigrams to broadcast"
+    if len(asked) <= most_broadcast:
+        query = F.broadcast(query)
     return (
         postings(docs, rules)
-        .join(F.broadcast(query), "gram")  # a row for each trigram of a rule, at most 100,000
+        .join(query, "gram")
         .groupBy("key", "kind", "alt", "whole")
         .agg(F.bit_or("bit").alias("has"))
         .where("has = whole")

@@ -70,25 +70,53 @@ def test_language_with_a_hot_copy(spark):
     assert all(r["lang_pred"] == (r["lang"] if r["text"] else "und") for r in got.collect())
 
 
+def test_languages_are_picked_however_small_the_share(tongues, spark, monkeypatch):
+    """Few windows of many: each language still gives as many as asked for, of whole texts, in bytes."""
+    seen = {}
+    monkeypatch.setattr(language.ByteTagger, "fit", lambda self, x, y, ends, steps: seen.update(x=x, y=y, ends=ends))
+    _, docs, _ = tongues
+    for per_language in (1, 3, 50):
+        model = language.learn(docs, F.lit(True), per_language=per_language)
+        assert np.bincount(seen["y"])[: len(model.languages)].tolist() == [per_language] * len(model.languages)
+    wide = spark.createDataFrame([(i, "漢字の文章" * 300 + "終", "ja") for i in range(3)], "doc_id long, text string, lang string")
+    language.learn(wide, F.lit(True), per_language=10_000)
+    raw = ("漢字の文章" * 300 + "終").encode()
+    windows = {raw[k : k + 64] for k in range(0, len(raw), 64)}
+    mine = [(bytes(x[:n].astype(np.uint8)), n) for x, n, y in zip(seen["x"], seen["ends"], seen["y"]) if y == 0]
+    assert len(mine) == len(range(0, len(raw), 64)) and all(any(w.startswith(m) for w in windows) for m, _ in mine)
+
+
+def test_noise_goes_at_any_length_by_one_rule(spark):
+    df = spark.createDataFrame([(n, "a" * n) for n in (1, 20, 60, 70, 127, 128, 129, 500, 5000)], "doc_id long, text string")
+    for level in (0.69, 0.72, 0.8, 0.95, 0.9999):
+        model = language.ByteTagger(["en"], 2)
+        model.out[:] = 0
+        model.bias[:, 0] = [np.log(1 - level), np.log(level)]
+        found = sorted(r["doc_id"] for r in language.accepted(df, model).collect())
+        assert found == [n for n in (1, 20, 60, 70, 127, 128, 129, 500, 5000) if level <= 0.7 + (np.log(1e6) / 2 / n) ** 0.5]
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(0)
     x, y = rng.integers(1, 256, (4, 6)), np.array([0, 1, 1, 2])
     x[1, 4:] = 0
+    x[2, 1] = 0  # a zero byte of a text is no padding
+    sizes = np.array([6, 4, 6, 6])
 
     def loss(m):
         p = m.positions(m.states(np.ascontiguousarray(x.T)))
-        real = x.T != 0
+        real = np.arange(6)[:, None] < sizes
         return -(np.log(p[:, y, np.arange(4)]) * real).sum() / real.sum()
 
     model = language.ByteTagger(["a", "b"], 3)
     before = loss(model)
-    model.fit(x, y, steps=60)
+    model.fit(x, y, sizes, steps=60)
     assert loss(model) < before / 2
 
     model = language.ByteTagger(["a", "b"], 3)
     for name in model.names:
         setattr(model, name, getattr(model, name).astype(np.float64))
-    grad = model.gradients(x, y)
+    grad = model.gradients(x, y, sizes)
     for name in model.names:
         values = getattr(model, name)
         for at in [tuple(rng.integers(0, n) for n in values.shape) for _ in range(12)] + ([(0, k, int(x[0, 0])) for k in range(9)] if name == "w" else []):

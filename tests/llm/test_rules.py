@@ -103,3 +103,10 @@ def test_rule_paths_need_not_end_at_a_slash(spark):
     df = spark.createDataFrame([(1, "http://a.b/english"), (2, "http://a.b/e")], "page_id long, url string")
     rules = spark.createDataFrame([("b", "/en", "block"), (None, "/", "block"), ("B", "/en", "allow")], "host string, path string, verdict string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, rules).collect()} == {1: "block", 2: "allow"}
+
+
+def test_many_trigrams_are_shuffled_instead_of_broadcast(docs):
+    wide = secret_scan.candidates(docs, secret_scan.BASE[:2])
+    plain = secret_scan.candidates(docs, secret_scan.BASE[:2], most_broadcast=0)
+    listed = lambda df: sorted(str((r["key"], sorted(r["kinds"]))) for r in df.collect())
+    assert listed(wide) == listed(plain)
