@@ -43,7 +43,7 @@ class Transducer:
     rule all but one out.  most_states bounds the sets and pairs kept at a time: beyond it they are made anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for byte {missing[0]}")
@@ -196,7 +196,7 @@ class TextEncoder:
     since the last time go.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_known: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_known: int = 400_000):
         import regex
 
         self.split, self.transducer = regex.compile(pattern), Transducer(ranks)
@@ -256,7 +256,17 @@ class StreamDecoder:
     """
 
     def __init__(self, spelling: dict[int, bytes]):
+        import numpy as np
+
         self.spelling = spelling
+        self.alone = np.zeros(max(spelling, default=-1) + 1, bool)  # tokens of whole characters: between characters they change no state
+        self.bytes = np.zeros(len(self.alone), object)
+        for token, spelled in spelling.items():
+            self.bytes[token] = spelled
+            try:
+                self.alone[token] = bool(spelled.decode()) or not spelled
+            except UnicodeDecodeError:
+                pass
         self.steps: dict[tuple, dict[int, tuple]] = {}
         self.state, self.held = WHOLE, b""
 
@@ -286,24 +296,34 @@ class StreamDecoder:
 
     def feed(self, ids: Iterable[int]) -> bytes:
         """The characters, in UTF-8, that these ids complete."""
+        import numpy as np
+
+        ids = np.asarray(ids, np.int64)
+        known = (ids >= 0) & (ids < len(self.alone))
+        parts = np.nonzero(~(known & self.alone[np.where(known, ids, 0)]))[0].tolist() if len(self.alone) else range(len(ids))
         out: list[bytes] = []
-        give, state, kept = out.append, self.state, self.held
-        table = self.steps.setdefault(state, {})
-        for token in ids:
-            after, fate, given, held = table.get(token) or self.step(state, token)
-            if fate is None:
-                kept += held
-            else:
-                if kept:
-                    give(kept if fate else _BROKEN)
-                give(given)
-                kept = held
-            if after is not state:
-                state = after
-                table = self.steps.setdefault(state, {})
-        self.state, self.held = state, kept
+        at = 0
+        for part in [*parts, len(ids)]:
+            if at < part and self.held:  # what is held turns out to be cut short, or not, by the next token
+                out.append(self._one(int(ids[at])))
+                at += 1
+            if at < part:
+                out.append(b"".join(self.bytes[ids[at:part]]))
+            if part < len(ids):
+                out.append(self._one(int(ids[part])))
+            at = part + 1
         return b"".join(out)
 
+    def _one(self, token: int) -> bytes:
+        known = self.steps.get(self.state, {}).get(token) or self.step(self.state, token)
+        self.state, fate, given, held = known
+        if fate is None:
+            self.held += held
+            return b""
+        out = (self.held if fate else _BROKEN) + given if self.held else given
+        self.held = held
+        return out
+
     def finish(self) -> bytes:
         """What is left at the end of the stream: U+FFFD for a character cut short."""
         left, self.state, self.held = self.held, WHOLE, b""
@@ -402,7 +422,7 @@ def _decoding(given: T.StructType, ids: str, out: str, ranks: str | None):
                 piece = batch.slice(k, 256)
                 texts = []
                 for value in piece.column(at):
-                    words = (np.frombuffer(value.as_py() or b"", "<u4") if packed else value.values.to_numpy() if value.is_valid else np.empty(0)).tolist()
+                    words = (np.frombuffer(value.as_py() or b"", "<u4") if packed else value.values.to_numpy() if value.is_valid else np.empty(0))
                     texts.append(decoder.feed(words) + decoder.finish())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=names)
 
