@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import aggregates
 from lectern.plans.catalog import query
 from lectern.sources import files, sinks
-from lectern.streaming import state
+from lectern.streaming import groups, state
 from lectern.tables import scratch, table
 
 _PART = "SELECT p_partkey, p_name, p_size FROM part"
@@ -114,3 +114,36 @@ def stream_upserts(spark, d):
     writer = latest.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     writer.foreachBatch(lambda batch, number: batch.write.mode("append").parquet(path)).start().awaitTermination()
     return aggregates.latest(spark.read.schema(latest.schema).parquet(path), "user_id", ["event_id"], "event_type").select("user_id", "event_id", "event_type")
+
+
+_LINES = "SELECT user_id % 7 AS source, event_id AS line, CASE WHEN event_type IN ('view', 'click') THEN event_type || event_id // 500 ELSE 'other' || event_id // 900 END AS value FROM events"
+_STRETCHES = f"""WITH l AS ({_LINES}), c AS (SELECT *, CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS c FROM l WINDOW w AS (PARTITION BY source ORDER BY line)),
+                 g AS (SELECT source, line, value, sum(c) OVER (PARTITION BY source ORDER BY line) AS g FROM c),
+                 s AS (SELECT source, value, min(line) AS first, max(line) AS last, count(*) AS n FROM g GROUP BY source, g, value)"""
+
+
+def _lines_streamed(spark, d):
+    """Lines of sources in four files, one a batch, and an end for each source; what they have left when all are read."""
+    path, rows = scratch(spark), table(spark, d, "events").select(
+        (F.col("user_id") % 7).alias("source"), F.col("event_id").alias("line"),
+        F.when(F.col("event_type").isin("view", "click"), F.concat("event_type", F.expr("cast(event_id div 500 as string)"))).otherwise(F.concat(F.lit("other"), F.expr("cast(event_id div 900 as string)"))).alias("value"),
+    )
+    last = rows.agg(F.max("line")).first()[0] or 0
+    ends = rows.select("source").distinct().select("source", F.lit(last + 1).alias("line"), F.lit(None).cast("string").alias("value"))
+    for k in range(4):  # files one after another, so that batches follow the order of lines
+        rows.unionByName(ends).where((F.col("line") > (last * k // 4 if k else -1)) & (F.col("line") <= last * (k + 1) // 4 + k // 3)).coalesce(1).write.mode("append").parquet(f"{path}-in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    groups.written(groups.stretches(stream, "source", "line", "value"), path, f"{path}-state")
+    return path
+
+
+@query(f"{_STRETCHES} SELECT CAST(source AS VARCHAR) AS source, value, first, last, n FROM s")
+def stream_stretches(spark, d):
+    """Stretches of equal values in each source, closed as the stream goes on."""
+    return groups.read_written(spark, _lines_streamed(spark, d)).select("source", "value", "first", "last", "n")
+
+
+@query(f"{_STRETCHES} SELECT CAST(source AS VARCHAR) AS source, 'back' AS kind, value, first FROM (SELECT *, row_number() OVER (PARTITION BY source, value ORDER BY first) AS k FROM s) WHERE k > 1")
+def stream_returned(spark, d):
+    """The side output: values that come back after their stretch has ended."""
+    return groups.read_written(spark, _lines_streamed(spark, d), problems=True).select("source", "kind", "value", "first")
