@@ -9,12 +9,6 @@ from lectern.functions import refs, words
 
 _POINT = "struct<book:string,chapter:int,out:array<string>>"
 
-# Spellings of one word, older ones first, as pattern and replacement.
-SPELLINGS = [("æ", "e"), ("our(?=s?$|able|ed|ing|eth|est|ers?$)", "or"), ("^shew", "show"), ("^enqui", "inqui"), ("ims$", "im")]
-# Words that a definition may begin with before its first sense.
-QUALIFIERS = ["properly", "literally", "figuratively", "i.e.", "by implication"]
-
-
 def refs_listed(text: Column) -> Column:
     """Compact references of a list with semicolons; what is none is left out."""
     found = F.transform(F.split(text, ";"), lambda t: refs.from_compact(F.trim(t)))
@@ -64,10 +58,18 @@ def long_passage(whole: Column, verses: Column, least: int = 6) -> Column:
     return whole | (verses >= least)
 
 
-def respelled(word: Column) -> Column:
-    """One spelling for words that differ only in it."""
-    for pattern, letters in SPELLINGS:
-        word = F.regexp_replace(word, pattern, letters)
+def respelled(word: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The word after each rule in turn: (``start``, ``end`` or ``any``, letters, letters in their place)."""
+    for where, old, new in rules:
+        n = F.length(word)
+        if where == "start":
+            word = F.when(word.startswith(old), F.concat(F.lit(new), F.substring(word, F.lit(len(old) + 1), n))).otherwise(word)
+        elif where == "end":
+            word = F.when(word.endswith(old), F.concat(F.substring(word, F.lit(1), n - len(old)), F.lit(new))).otherwise(word)
+        elif where == "any":
+            word = F.replace(word, F.lit(old), F.lit(new))
+        else:
+            raise ValueError(f"no place in a word: {where}")
     return word
 
 
@@ -86,71 +88,113 @@ def is_affix(tag: Column) -> Column:
     return F.coalesce(F.upper(tag).rlike("^H9[0-9]{3}[A-Z]?$"), F.lit(False))
 
 
-def spoken(cell: Column) -> Column:
-    """struct<text,sound> of ``λόγος (logos)``; paragraph marks go, without brackets sound is empty."""
-    inner = F.regexp_extract(cell, r" \(([^(]*)$", 1)
-    text = F.when(F.contains(cell, F.lit(" (")), F.regexp_replace(cell, r" \([^(]*$", "")).otherwise(cell)
-    return F.struct(F.trim(F.replace(text, F.lit("¶"), F.lit(""))).alias("text"), F.trim(F.regexp_replace(inner, r"\)\s*$", "")).alias("sound"))
+def spoken(cell: Column, marks: str = "¶") -> Column:
+    """struct<text,sound> of ``λόγος (logos)``: what stands before the last opening bracket, and inside it; marks go from both.
+
+    Without a bracket all is text and the sound is empty.
+    """
+    clean = F.translate(cell, marks, "")
+    inside = F.element_at(F.split(clean, r"\("), -1)
+    text = F.left(clean, F.length(clean) - F.length(inside) - 1)
+    has = F.contains(clean, F.lit("("))
+    return F.struct(F.trim(F.when(has, text).otherwise(clean)).alias("text"), F.trim(F.when(has, F.substring_index(inside, ")", 1)).otherwise("")).alias("sound"))
+
+
+def tag_pairs(tags: Column, between: str = " + ", alternative: str = "|", note: str = "«") -> Column:
+    """struct<ids,codes> of pairs ``id=code`` in a list: of alternative ids the last, without a note behind it; a pair may lack its code."""
+    pairs = F.filter(F.transform(F.split(tags, _literal(between)), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("id"), F.trim(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).alias("code"))), lambda p: (p["id"] != "") | (p["code"] != ""))
+    ids = F.transform(pairs, lambda p: F.trim(F.substring_index(F.substring_index(p["id"], note, 1), alternative, -1)))
+    codes = F.filter(F.transform(pairs, lambda p: p["code"]), lambda c: c != "")
+    return F.struct(ids.alias("ids"), F.array_join(codes, between).alias("codes"))
+
+
+def _literal(text: str) -> str:
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in text)
 
 
-def tag_pairs(tags: Column) -> Column:
-    """struct<ids,codes> of ``G1473=P-1NS + G2532=CONJ``: the id last of alternatives, before any note of its source."""
-    parts = F.filter(F.transform(F.split(tags, r"\s\+\s"), lambda p: F.trim(p)), lambda p: p != "")
-    ids = F.transform(parts, lambda p: F.trim(F.element_at(F.split(F.split(F.split(p, "=")[0], "«")[0], r"\|"), -1)))
-    codes = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_extract(p, "=(.*)$", 1))), lambda c: c != "")
-    return F.struct(ids.alias("ids"), F.array_join(codes, " + ").alias("codes"))
+def _parted(text: Column, mark: str, last: bool = False) -> tuple[Column, Column]:
+    """Text before and after the first (or last) mark, trimmed; both null without it."""
+    head = F.substring_index(text, mark, 1)
+    tail = F.substring_index(text, mark, -1)
+    there = F.contains(text, F.lit(mark))
+    if last:
+        return F.when(there, F.trim(F.left(text, F.length(text) - F.length(tail) - len(mark)))), F.when(there, F.trim(tail))
+    return F.when(there, F.trim(head)), F.when(there, F.trim(F.substring(text, F.length(head) + len(mark) + 1, F.length(text))))
 
 
 def variants(cell: Column) -> Column:
-    """array<struct<text,gloss,ids,codes,editions>> of readings ``text (x=sound) gloss - tags in: editions`` between ¦; other readings are null."""
-    shape = r"^(.+?)\s+\([A-Za-z]=[^)]*\)\s+(.*?)\s+-\s+(\S.*?)\s+in:\s*(\S+)$"
-    part = lambda r, k: F.trim(F.regexp_extract(r, shape, k))
+    """array<struct<text,gloss,ids,codes,editions>> of readings ``text (sound) gloss - tags in: editions`` between ¦.
+
+    A reading that lacks one of these parts is null.
+    """
 
     def read(reading: Column) -> Column:
-        tags = tag_pairs(part(reading, 3))
-        return F.when(reading.rlike(shape), F.struct(part(reading, 1).alias("text"), part(reading, 2).alias("gloss"), tags["ids"].alias("ids"), tags["codes"].alias("codes"), words.editions(part(reading, 4)).alias("editions")))
+        front, editions = _parted(reading, " in: ", last=True)
+        said, tags = _parted(front, " - ", last=True)
+        text, rest = _parted(said, " (")
+        _, gloss = _parted(rest, ") ")
+        whole = (text != "") & (tags != "") & (editions != "") & gloss.isNotNull()
+        return F.when(whole, F.struct(text.alias("text"), gloss.alias("gloss"), tag_pairs(tags)["ids"].alias("ids"), tag_pairs(tags)["codes"].alias("codes"), words.editions(editions).alias("editions")))
 
     return F.transform(F.filter(F.transform(F.split(cell, "¦"), lambda r: F.trim(r)), lambda r: r != ""), read)
 
 
-def first_sense(definition: Column, instead: Column, most: int = 60) -> Column:
-    """A definition's first sense: up to the first semicolon outside brackets, without a qualifier before it.
+def fitting(candidates: list[Column], most: int) -> Column:
+    """The first of some texts that is shorter than most; where none is, the last one cut behind a word, with an ellipsis."""
+    fits = F.filter(F.array(*candidates), lambda c: F.length(c) < most)
+    words_left = F.split(F.left(candidates[-1], F.lit(most - 2)), r"\s+")
+    cut = F.when(F.size(words_left) > 1, F.array_join(F.slice(words_left, F.lit(1), F.greatest(F.size(words_left) - 1, F.lit(1))), " ")).otherwise(words_left[0])
+    return F.when(F.size(fits) > 0, F.get(fits, F.lit(0))).otherwise(F.concat(cut, F.lit("…")))
 
-    Where that is empty the first rendering of ``instead`` serves.  A longer text loses what is in
-    brackets, then what is behind its first comma, then is cut at a space.
-    """
-    squeezed = F.trim(F.regexp_replace(definition, r"\s+", " "))
-    opening = "|".join(q.replace(".", r"\.") for q in QUALIFIERS)
-    begun = F.regexp_replace(squeezed, rf"(?i)^(?:{opening}),?\s+", "")
-    sense = F.regexp_replace(F.coalesce(words.split_outside(begun, ";")["head"], begun), r"[\s,:;.]+$", "")
-    other = F.trim(F.regexp_replace(F.coalesce(words.split_outside(instead, ",")["head"], instead), r"^[X+]\s+", ""))
-    text = F.when(F.coalesce(sense, F.lit("")) == "", F.coalesce(other, F.lit(""))).otherwise(sense)
-    text = F.when(F.length(text) >= most, F.trim(F.regexp_replace(text, r"\s*\([^()]*\)", ""))).otherwise(text)
-    text = F.when(F.length(text) >= most, F.coalesce(words.split_outside(text, ",")["head"], text)).otherwise(text)
-    return F.when(F.length(text) >= most, F.concat(F.regexp_replace(F.substring(text, 1, most - 2), r"\s+\S*$", ""), F.lit("…"))).otherwise(text)
 
+def first_sense(definition: Column, instead: Column, openings: list[str], most: int = 60) -> Column:
+    """A definition's first sense: what stands before its first semicolon outside brackets, without one of the openings before it.
 
-def note_usable(text: Column, roles: list[str], openings: list[str], meanings: list[str]) -> Column:
-    """Whether a note tells a person apart: a role, a describing opening or a people's name; no digits, no meaning of the name, no name alone."""
-    any_of = lambda some: r"(?i)\b(" + "|".join(some) + r")\b"
-    people = text.rlike(r"\b[A-Z][a-z]+ites?\b")
-    alone = text.rlike(r"^[A-Z][\w-]*$") & ~people
-    return ~text.rlike("[0-9]") & ~text.rlike(any_of(meanings)) & ~alone & (people | text.rlike(any_of(roles)) | text.rlike(r"(?i)^(" + "|".join(openings) + r")\b"))
+    Where nothing stands there, the first of the renderings in ``instead`` (between commas, a leading + or X is a mark) serves.
+    A sense that is too long is given without what is in brackets, or only up to its first comma, or cut.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce(definition, F.lit("")), r"\s+", " "))
+    begins = lambda o: F.lower(text).startswith(o + " ") | F.lower(text).startswith(o + ", ")
+    skipped = F.coalesce(*[F.when(begins(o), F.ltrim(F.substring(text, F.lit(len(o) + 1), F.length(text)), F.lit(", "))) for o in openings], text) if openings else text
+    sense = F.rtrim(F.coalesce(words.split_outside(skipped, ";")["head"], skipped), F.lit(" ,:;."))
+    other = F.trim(F.coalesce(words.split_outside(instead, ",")["head"], instead, F.lit("")))
+    other = F.when(F.substring_index(other, " ", 1).isin("+", "X"), F.trim(F.substring(other, 2, 1 << 30))).otherwise(other)
+    said = F.when(sense == "", other).otherwise(sense)
+    bare_said = F.trim(F.regexp_replace(said, r"\s*\([^()]*\)", ""))
+    return fitting([said, bare_said, F.coalesce(words.split_outside(bare_said, ",")["head"], bare_said)], most)
 
 
-def person_title(own: Column, shared: Column, female: Column, parent: Column, child: Column, partner: Column, sibling: Column, note: Column) -> Column:
-    """What tells a person from namesakes: the title's own brackets, else (for shared names) the nearest relative, else the note."""
-    bracketed = F.nullif(F.trim(F.regexp_extract(own, r"\(([^()]+)\)\s*$", 1)), F.lit(""))
-    kin = lambda of, woman, man: F.concat(F.when(female, woman).otherwise(man), F.lit(" of "), of)
-    related = F.coalesce(kin(parent, "daughter", "son"), kin(child, "mother", "father"), kin(partner, "wife", "husband"), kin(sibling, "sister", "brother"), note)
-    return F.coalesce(bracketed, F.when(shared, related))
+def note_usable(text: Column, roles: list[str], openings: list[str], meanings: list[str]) -> Column:
+    """Whether a note tells a person apart: it names a role or a people, or opens as a description does; no numbers, no meaning of the name, no bare name."""
+    given = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != "")
+    low = F.transform(given, lambda w: F.lower(w))
+    names = lambda some: F.arrays_overlap(low, F.array(*[F.lit(x) for x in some]))
+    capital = lambda w: F.left(w, F.lit(1)) != F.lower(F.left(w, F.lit(1)))
+    people = F.exists(given, lambda w: capital(w) & (w.endswith("ite") | w.endswith("ites")))
+    opens = F.exists(F.array(*[F.lit(o) for o in openings]), lambda o: F.array_join(F.slice(low, F.lit(1), F.size(F.split(o, " "))), " ") == o)
+    bare_name = (F.size(given) == 1) & capital(F.coalesce(F.get(given, F.lit(0)), F.lit(""))) & ~people
+    digits = F.translate(text, "0123456789", "") != text
+    return ~digits & ~names(meanings) & ~bare_name & (people | names(roles) | opens)
+
+
+def person_title(own: Column, shared: Column, relations: list[tuple[Column, Column]], note: Column) -> Column:
+    """What tells a person from namesakes: what the own title has in brackets at its end, else, for a shared name, the first relative known, else a note.
+
+    relations: (label, name) in the order of preference.
+    """
+    tail = F.substring_index(F.rtrim(own), "(", -1)
+    bracketed = F.when(F.rtrim(own).endswith(")") & F.contains(own, F.lit("(")), F.nullif(F.trim(F.left(tail, F.length(tail) - 1)), F.lit("")))
+    known = F.filter(F.array(*[F.when(name.isNotNull(), F.concat(label, F.lit(" of "), name)) for label, name in relations], note), lambda t: t.isNotNull())
+    return F.coalesce(bracketed, F.when(shared, F.get(known, F.lit(0))))
 
 
 def significance(place: Column, description: Column, summary: Column) -> Column:
-    """A person's description, or the first clause of a place's summary; null if there is nothing to say."""
-    clause = F.trim(F.regexp_replace(F.regexp_extract(summary, "^[^;,(]*", 0), r"\s+(first|only)\s+mentioned\b.*$", ""))
-    said = F.when(place, F.when(clause != "A location", clause)).otherwise(F.when(F.trim(description) != ">", F.trim(description)))
-    return F.nullif(said, F.lit(""))
+    """What is said of a name: a person's description, or a place's summary up to its first mark and without where it is mentioned; null for nothing."""
+    clause = summary
+    for mark in (";", ",", "(", " first mentioned", " only mentioned"):
+        clause = F.substring_index(clause, mark, 1)
+    said = F.trim(F.when(place, clause).otherwise(description))
+    return F.when(~said.isin("", ">", "A location"), said)
 
 
 def family_ids(*members: Column) -> Column:

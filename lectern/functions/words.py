@@ -77,22 +77,21 @@ def titled(text: Column, small: tuple[str, ...] = ("a", "an", "and", "at", "by",
     return F.array_join(F.transform(words, one), " ")
 
 
-def _depths(text: Column) -> Column:
-    """array<struct<c,d>>: characters with the bracket depth after each (never below 0)."""
-    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<struct<c:string,d:int>>").alias("out"))
-
-    def step(acc, c):
-        d = F.greatest(F.lit(0), acc["d"] + F.when(c.isin("(", "["), 1).when(c.isin(")", "]"), -1).otherwise(0))
-        return F.struct(d.alias("d"), F.concat(acc["out"], F.array(F.struct(c.alias("c"), d.alias("d")))).alias("out"))
+def split_outside(text: Column, separator: str) -> Column:
+    """struct<head,tail>: the text before and after the first separator outside brackets; null without one.
 
-    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["out"])
+    One pass over the characters with a depth (never below 0) and a place, so it takes time in proportion to the text.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("at"))
 
+    def step(acc, c):
+        depth = F.when(c.isin("(", "["), acc["depth"] + 1).when(c.isin(")", "]"), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        found = (acc["at"] == 0) & (c == separator) & (acc["depth"] == 0)
+        return F.struct(depth.alias("depth"), (acc["seen"] + 1).alias("seen"), F.when(found, acc["seen"] + 1).otherwise(acc["at"]).alias("at"))
 
-def split_outside(text: Column, separator: str) -> Column:
-    """struct<head,tail>: the text before and after the first separator outside brackets; null without one."""
-    marks = _depths(text)
-    at = F.array_position(F.transform(marks, lambda m: (m["c"] == separator) & (m["d"] == 0)), F.lit(True)).cast("int")
-    return F.when(at > 0, F.struct(F.trim(F.substring(text, F.lit(1), at - 1)).alias("head"), F.trim(F.substring(text, at + 1, F.length(text))).alias("tail")))
+    at = F.aggregate(F.split(text, ""), start, step, lambda acc: acc["at"])
+    cut = lambda k: F.struct(F.trim(F.substring(text, F.lit(1), k - 1)).alias("head"), F.trim(F.substring(text, k + 1, F.length(text))).alias("tail"))
+    return F.get(F.transform(F.filter(F.array(at), lambda k: k > 0), cut), F.lit(0))
 
 
 def balanced(text: Column) -> Column:

@@ -67,25 +67,3 @@ def passage_words(verses: DataFrame, key: str, order: str, words: str) -> DataFr
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = verses.withColumn("_before", F.coalesce(F.sum(F.size(words)).over(w), F.lit(0)))
     return placed.select(key, order, "_before", F.posexplode(words).alias("_k", "word")).select(key, (F.col("_before") + F.col("_k")).alias("i"), order, "word", (F.col("_k") == 0).alias("verse_start"))
-
-
-def stage_order(deps: dict[str, list[str]], last: frozenset[str] = frozenset()) -> list[str]:
-    """Stages after what they need, those in last at the end; unknown names and cycles are errors."""
-    out: list[str] = []
-    state: dict[str, int] = {}
-
-    def visit(name: str) -> None:
-        if name not in deps:
-            raise KeyError(f"unknown stage {name}")
-        if state.get(name) == 1:
-            raise ValueError(f"stages need each other: {name}")
-        if name not in state:
-            state[name] = 1
-            for need in deps[name]:
-                visit(need)
-            state[name] = 2
-            out.append(name)
-
-    for name in deps:
-        visit(name)
-    return [n for n in out if n not in last] + [n for n in out if n in last]

@@ -84,19 +84,28 @@ def filled(df: DataFrame, key: list[str], order: list[str], value: str, bucket:
     return running(df, key, order, bucket, _filled=("last", F.col(value))).withColumn(value, F.col("_filled")).drop("_filled")
 
 
-def chunked(weights: Column, limit: int) -> Column:
+def chunked(weights: Column, limit: int, block: int = 512) -> Column:
     """array<int>: the chunk of each weight, in order; a chunk ends where the next would exceed limit.
 
-    A fold over one array: the greedy rule depends on what came before.
+    A fold, since the greedy rule depends on what came before: over blocks of weights, and inside each, so
+    that the arrays that grow stay short.
     """
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("load"))
+    kind = "struct<out:array<int>,chunk:int,load:bigint>"
+    begin = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("load")).cast(kind)
 
     def step(acc, w):
         over = (acc["load"] > 0) & (acc["load"] + w > limit)
         chunk = F.when(over, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), chunk.alias("chunk"), F.when(over, w.cast("long")).otherwise(acc["load"] + w).alias("load"))
+        return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), chunk.alias("chunk"), F.when(over, w.cast("long")).otherwise(acc["load"] + w).alias("load")).cast(kind)
 
-    return F.aggregate(weights, start, step, lambda acc: acc["out"])
+    def blocks(acc, some):
+        inner = F.aggregate(some, F.struct(F.array().cast("array<int>").alias("out"), acc["chunk"].alias("chunk"), acc["load"].alias("load")).cast(kind), step)
+        grown = lambda r: F.struct(F.concat(acc["out"], r["out"]).alias("out"), r["chunk"].alias("chunk"), r["load"].alias("load")).cast(kind)
+        return F.get(F.transform(F.array(inner), grown), F.lit(0))
+
+    last = F.greatest(F.ceil(F.size(weights) / block).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(weights, k * block + 1, block))
+    return F.aggregate(parts, begin, blocks, lambda acc: acc["out"])
 
 
 def rows_packed(df: DataFrame, key: list[str], low: str, high: str, gap: float = 0, tie: str | None = None, bucket: Column | None = None) -> DataFrame:

@@ -104,10 +104,15 @@ def editions_listed(spark, d):
     return _some(spark, d).select("p_partkey", F.array_join(words.editions(text), " ").alias("editions"), words.in_all(text, ["WH", "N1"]).alias("has"))
 
 
-@query("""SELECT o_orderkey, ['shorter', 'shewing', 'judea', 'hours', 'honored', 'cherubim', 'inquired'][o_orderkey % 7 + 1] AS word FROM orders""".replace("'shorter', 'shewing'", "'colors', 'showing'"))
+_RULES = [("any", "ou", "u"), ("start", "th", "z"), ("end", "ed", "t"), ("end", "tion", "shn")]
+
+
+@query(r"""SELECT w AS word, count(*) AS n, regexp_replace(regexp_replace(regexp_replace(replace(w, 'ou', 'u'), '^th', 'z'), 'ed$', 't'), 'tion$', 'shn') AS respelled
+           FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) GROUP BY 1""")
 def words_respelled(spark, d):
-    word = F.element_at(F.array(*[F.lit(x) for x in ("colours", "shewing", "judæa", "hours", "honoured", "cherubims", "enquired")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.when(word == "hours", word).otherwise(readings.respelled(word)).alias("word"))
+    """Every word of the documents in its new spelling, and how often it occurs."""
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return found.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", readings.respelled(F.col("word"), _RULES).alias("respelled"))
 
 
 @query(f"""SELECT p_partkey, w || '.' || b AS bare, w || ' ' || b || CASE WHEN a = 0 THEN ' east' ELSE '' END AS place, a = 1 AS affix FROM {_SOME}""")
@@ -119,11 +124,11 @@ def names_bare(spark, d):
     return _some(spark, d).select("p_partkey", readings.bare(F.concat(w, F.lit("."), b, F.lit(" .;”)"))).alias("bare"), readings.unnumbered(place).alias("place"), readings.is_affix(tag).alias("affix"))
 
 
-@query(f"""SELECT p_partkey, w || CASE WHEN a = 2 THEN ' (x) z' ELSE '' END AS text, CASE WHEN a = 0 THEN '' ELSE 's' || b || ')q' END AS sound FROM {_SOME}""")
+@query("SELECT page_id, trim(regexp_replace(replace(url, '¶', ''), '[(][^(]*$', '')) AS text, trim(regexp_extract(replace(url, '¶', ''), '[(]([^()]*)[^(]*$', 1)) AS sound FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN ' (' || substr(url, 1, 9) || ') ' WHEN 1 THEN '¶ (x) (y' ELSE '' END AS url FROM pages)")
 def cells_spoken(spark, d):
-    w, b = F.col("w"), F.col("b").cast("string")
-    cell = F.concat(F.lit(" "), w, F.when(F.col("a") == 2, " (x) z").otherwise(""), F.lit("¶"), F.when(F.col("a") == 0, "").otherwise(F.concat(F.lit(" (s"), b, F.lit(")q) "))))
-    return _some(spark, d).select("p_partkey", readings.spoken(cell).alias("s")).select("p_partkey", "s.text", "s.sound")
+    """Addresses with something in brackets behind them."""
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" ("), F.substring("url", 1, 9), F.lit(") "))).when(F.col("page_id") % 3 == 1, "¶ (x) (y").otherwise("")
+    return table(spark, d, "pages").select("page_id", readings.spoken(F.concat("url", more)).alias("s")).select("page_id", "s.text", "s.sound")
 
 
 @query(f"""SELECT p_partkey, 'G' || b || CASE WHEN a = 0 THEN '' ELSE ' G' || c END AS ids, CASE a WHEN 0 THEN 'N-' || w WHEN 1 THEN 'N-' || w || ' + V' ELSE 'V' END AS codes FROM {_SOME}""")
@@ -157,7 +162,7 @@ def first_senses(spark, d):
         .when(c == 4, F.concat(F.lit("i.e. a "), w, F.lit(", and much more than sixty letters can hold, as it goes on and on")))
         .when(c == 5, F.lit("one two three four five six seven eight nine ten eleven twelve thirteen"))
     )
-    return _some(spark, d).select("p_partkey", readings.first_sense(F.coalesce(given, F.lit("")), F.when(c == 2, F.concat(F.lit("+ first "), w, F.lit(", second")))).alias("gloss"))
+    return _some(spark, d).select("p_partkey", readings.first_sense(F.coalesce(given, F.lit("")), F.when(c == 2, F.concat(F.lit("+ first "), w, F.lit(", second"))), ["properly", "literally", "i.e."]).alias("gloss"))
 
 
 _NOTES = ("a king", "Xerxes", "Hittite 2", "Hittites", "god of war", "of the house", "blue")
@@ -169,16 +174,18 @@ def people_titled(spark, d):
     """Titles that tell namesakes apart, usable notes, and what is said of persons and places."""
     w, b, note = F.col("w"), F.col("b"), _pick("c", *_NOTES)
     usable = readings.note_usable(note, ["king", "son"], ["a", "the", "of the"], ["god", "lord"])
-    title = readings.person_title(F.when(b == 0, F.concat(F.lit("X (of "), w, F.lit(" ) "))).otherwise("X ()"), F.col("a") > 0, b % 2 == 1, F.when(b == 1, w), F.when(b == 2, w), F.lit(None).cast("string"), F.when(b == 3, w), note)
+    label = lambda woman, man: F.when(b % 2 == 1, woman).otherwise(man)
+    kin = [(label("daughter", "son"), F.when(b == 1, w)), (label("mother", "father"), F.when(b == 2, w)), (label("wife", "husband"), F.lit(None).cast("string")), (label("sister", "brother"), F.when(b == 3, w))]
+    title = readings.person_title(F.when(b == 0, F.concat(F.lit("X (of "), w, F.lit(" ) "))).otherwise("X ()"), F.col("a") > 0, kin, note)
     about = F.when(F.col("c") > 0, F.concat(F.lit("city of "), w, F.lit(" first mentioned at X, and more"))).otherwise("A location; unknown")
     said = readings.significance(F.col("a") > 0, F.when(b == 0, " > ").otherwise(F.concat(F.lit(" "), w)), about)
     return _some(spark, d).select("p_partkey", usable.alias("usable"), title.alias("title"), said.alias("significance"))
 
 
-@query("""SELECT conv_id, turn, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(left(text, 40), ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS BIGINT) AS seed FROM conversations""")
+@query("""SELECT conv_id, turn, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS BIGINT) AS seed FROM conversations""")
 def seed_hashes(spark, d):
-    """Seeds from the first forty characters of a turn, as a search box would hold them."""
-    return table(spark, d, "conversations").select("conv_id", "turn", tx.fnv1a(F.left("text", F.lit(40))).alias("seed"))
+    """Seeds from the whole text of each turn."""
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.fnv1a(F.col("text")).alias("seed"))
 
 
 @query(f"""SELECT p_partkey, '<' || w || '> & "' || b || '" ''' || a || ''' é' AS text FROM {_SOME}""")
@@ -225,7 +232,7 @@ def prose_references(spark, d):
 @query("SELECT conv_id, count(*) AS turns, true AS same, count(*) > 1 AS moved FROM conversations GROUP BY 1")
 def shuffles_hold(spark, d):
     """A seeded order holds all turns and is never the given one, unless there is one alone."""
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns")).withColumn("mixed", practice.shuffled(F.col("turns"), F.col("conv_id")))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns")).withColumn("mixed", practice.scrambled(F.col("turns"), F.col("conv_id")))
     return turns.select("conv_id", F.size("turns").cast("long").alias("turns"), (F.array_sort("mixed") == F.col("turns")).alias("same"), (F.col("mixed") != F.col("turns")).alias("moved"))
 
 

@@ -22,18 +22,26 @@ def plain_words(spark, d):
     return table(spark, d, "part").select("p_partkey", words.plain(F.col("p_type")).alias("plain"))
 
 
-@query("""SELECT event_id, list_min([100, user_id % 40 + 1]) AS words, CASE WHEN user_id % 40 + 1 >= 1 THEN 0 END AS none FROM events""")
+@query("""WITH n AS (SELECT event_id, user_id % 40 AS n FROM events), a AS (SELECT *, least(n, greatest(1, ceil(n * 0.2::DOUBLE))) AS a FROM n), b AS (SELECT *, least(n, greatest(a + 1, ceil(n * 0.4::DOUBLE))) AS b FROM a),
+          c AS (SELECT *, least(n, greatest(b + 1, ceil(n * 0.6::DOUBLE))) AS c FROM b), d AS (SELECT *, least(n, greatest(c + 1, ceil(n * 0.8::DOUBLE))) AS d FROM c)
+          SELECT event_id, array_to_string(list_transform(list_sort(list_distinct([0, a, b, c, d, n])), lambda x: x::INT), ',') AS counts FROM d""")
 def hide_start(spark, d):
-    total = (F.col("user_id") % 40 + 1).cast("int")
-    counts = practice.hide_counts(total)
-    return table(spark, d, "events").select("event_id", F.element_at(counts, -1).cast("long").alias("words"), counts[0].alias("none"))
-
-
-@query()
+    """How many words are hidden in each round."""
+    counts = practice.hide_counts((F.col("user_id") % 40).cast("int"))
+    return table(spark, d, "events").select("event_id", F.array_join(counts.cast("array<string>"), ",").alias("counts"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, list(turn ORDER BY turn) AS l FROM conversations GROUP BY 1),
+               r AS (SELECT conv_id, l AS o, l, len(l) - 1 AS i, 1 AS k FROM t
+                     UNION ALL SELECT conv_id, o, [CASE WHEN p = i + 1 THEN l[j + 1] WHEN p = j + 1 THEN l[i + 1] ELSE l[p] END FOR p IN range(1, len(l) + 1)], i - 1, k + 1
+                     FROM (SELECT *, (xor(t2, t2 >> 14)::HUGEINT * (i + 1) >> 32)::BIGINT AS j FROM (
+                             SELECT *, xor(t1, ((t1 + (xor(t1, t1 >> 7)::HUGEINT * (t1 | 61) % 4294967296)) % 4294967296)::BIGINT) AS t2 FROM (
+                               SELECT *, (xor(a, a >> 15)::HUGEINT * (a | 1) % 4294967296)::BIGINT AS t1 FROM (SELECT *, (conv_id + k::BIGINT * 1831565813) % 4294967296 AS a FROM r WHERE i > 0)))))
+          SELECT conv_id, array_to_string(CASE WHEN l = o AND len(l) > 1 THEN list_append(l[2:], l[1]) ELSE l END, ',') AS turns FROM r WHERE i <= 0""")
 def shuffled_turns(spark, d):
-    """Turns of each conversation in a seeded order."""
+    """Turns of each conversation in a seeded order that is never the given one, unless there is one alone."""
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return turns.select("conv_id", F.array_join(practice.shuffled(F.col("turns"), F.col("conv_id")), ",").alias("turns"))
+    return turns.select("conv_id", F.array_join(practice.scrambled(F.col("turns"), F.col("conv_id")), ",").alias("turns"))
 
 
 @query("SELECT vec_id, 8 AS points, true AS same FROM embeddings")

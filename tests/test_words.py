@@ -35,9 +35,9 @@ def test_paths(spark):
 
 def test_practice(spark):
     items = F.array(*[F.lit(i) for i in range(6)])
-    a, b, c, pair = one(spark, practice.shuffled(items, F.lit(1)), practice.shuffled(items, F.lit(1)), practice.shuffled(items, F.lit(2)), practice.shuffled(F.array(F.lit(1), F.lit(2)), F.lit(5)))
+    a, b, c, pair = one(spark, practice.scrambled(items, F.lit(1)), practice.scrambled(items, F.lit(1)), practice.scrambled(items, F.lit(2)), practice.scrambled(F.array(F.lit(1), F.lit(2)), F.lit(5)))
     assert a == b and sorted(a) == list(range(6)) and a != list(range(6)) and sorted(c) == sorted(a) and pair == [2, 1]
-    assert one(spark, practice.hide_counts(F.lit(10)), practice.hide_counts(F.lit(2))) == ([0, 2, 4, 6, 8, 10], [0, 1, 2, 2, 2, 2])
+    assert one(spark, practice.hide_counts(F.lit(10)), practice.hide_counts(F.lit(2))) == ([0, 2, 4, 6, 8, 10], [0, 1, 2])
     picked = one(spark, practice.blanks(F.array(*[F.lit(w) for w in "in the beginning God created the heaven and earth".split()]), ["the", "and"], F.lit(3)))[0]
     assert len(picked) == 1 and picked[0] in (2, 3, 4, 6, 8)
     state = one(spark, practice.typed(F.array(*[F.lit(w) for w in ("In", "the", "end")]), F.array(*[F.lit(k) for k in "ixxte"])))[0]
@@ -55,8 +55,3 @@ def test_markup(spark):
 def test_lexicon(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a")], "pos int, base string")
     assert {r["pos"]: r["id"] for r in lexicon.numbered_ids(rows, "base", "pos").collect()} == {1: "a", 2: "a-3", 3: "a-2", 4: "a-4"}
-    assert lexicon.stage_order({"m": ["a"], "b": ["a"], "a": []}, frozenset("m")) == ["a", "b", "m"]
-    with pytest.raises(ValueError):
-        lexicon.stage_order({"a": ["b"], "b": ["a"]})
-    with pytest.raises(KeyError):
-        lexicon.stage_order({"a": ["x"]})
