@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lectern.plans import indexed, keyed, ordering, placing, printed, referring, resolving, searching, shaping, sourcing, spelling, studying, wordwise  # noqa: E402, F401  they register their queries
+from lectern.plans import indexed, keyed, linking, ordering, placing, printed, referring, resolving, searching, shaping, sourcing, spelling, studying, wordwise  # noqa: E402, F401  they register their queries
