@@ -101,7 +101,10 @@ def label_model(votes, given, against=None, rounds: int = 15, settled: float = 1
 
 
 def fit_linear(votes, posterior, against=None, ridge: float = 1.0, steps: int = 300):
-    """Logistic regression on posterior labels: weights of voters, of log2(1 + number that fire for 1), and the bias."""
+    """Logistic regression on posterior labels: weights of voters, of log2(1 + number that fire for 1), and the bias.
+
+    A voter for 1 never lowers a score, one for 0 never raises it: each step ends at the nearest such weights.
+    """
     import numpy as np
 
     counted = votes if against is None else votes[:, ~against]
@@ -112,11 +115,14 @@ def fit_linear(votes, posterior, against=None, ridge: float = 1.0, steps: int =
     m, v = np.zeros_like(w), np.zeros_like(w)
     penalty = np.full(len(w), ridge / len(x))
     penalty[-2:] = 0
+    side = np.where(np.zeros(votes.shape[1], bool) if against is None else against, -1.0, 1.0)
     for step in range(1, steps + 1):
         g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - posterior) / len(x) + penalty * w
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w[:-2] = side * np.maximum(side * w[:-2], 0)
+        w[-2] = max(w[-2], 0)
     return w
 
 

@@ -267,3 +267,17 @@ def test_lm_weighs_light_and_heavy_batches_by_their_counts():
     model.fit(zero, zero, np.arange(64), n, unigram, epochs=400, batch=8)
     p = 10 ** model.log10(zero, zero, np.arange(64))
     assert abs(p[7] - n[7] / n.sum()) < 0.1
+
+
+def test_weights_keep_the_side_of_their_voter():
+    """One voter for 0 has the closed form of its table; a voter for 1 that speaks mostly in rows of 0 has no weight at all."""
+    rng = np.random.default_rng(6)
+    fired = rng.random(4000) < 0.4
+    posterior = np.where(fired, 0.1, 0.6)
+    w = toxicity.fit_linear(fired[:, None], posterior, np.array([True]), ridge=0.0, steps=4000)
+    logit = lambda p: np.log(p / (1 - p))
+    assert abs(w[0] - (logit(0.1) - logit(0.6))) < 1e-2 and abs(w[-1] - logit(0.6)) < 1e-2
+    good = rng.random(4000) < np.where(fired, 0.05, 0.5)
+    votes = np.stack([fired, good], axis=1)  # the first speaks for 1 and is wrong
+    w = toxicity.fit_linear(votes, posterior, np.array([False, False]))
+    assert w[0] == 0 and w[1] >= 0 and w[2] >= 0
