@@ -30,6 +30,18 @@ def edit_keys(word: Column, tag: str) -> Column:
     return F.array_distinct(F.concat(short, long, longer))
 
 
+def one_edit_pairs(rows: DataFrame, id: str, word: str, *same: str) -> DataFrame:
+    """(a, b), a < b: ids of rows whose words are at most one edit apart and whose other columns ``same`` are equal.
+
+    Rows meet on the keys of edit_keys, never all with all; null words meet nothing.
+    """
+    keyed = rows.where(F.col(word).isNotNull()).select(F.col(id).alias("a"), F.col(word).alias("_x"), *same, F.explode(F.array_append(edit_keys(F.col(word), ""), "")).alias("_key"))
+    # the key of all is for words of one letter and none; others need it not
+    keyed = keyed.where((F.col("_key") != "") | (F.length("_x") <= 1))
+    other = keyed.select(F.col("a").alias("b"), F.col("_x").alias("_y"), *same, "_key")
+    return keyed.join(other, ["_key", *same]).where((F.col("a") < F.col("b")) & (F.levenshtein("_x", "_y", 1) >= 0)).select("a", "b").distinct()
+
+
 def _trigrams(word: Column) -> Column:
     return F.when(F.length(word) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 

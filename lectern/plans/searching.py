@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import aggregates
+from lectern.operators import aggregates, fuzzy
 from lectern.plans.catalog import query
 from lectern.tables import table
 
@@ -188,10 +188,7 @@ def link_extract(spark, d):
           WHERE levenshtein(a.p_name, b.p_name) <= 1""")
 def edit_distance_pairs(spark, d):
     """Names one edit apart among parts of one type and brand."""
-    part = table(spark, d, "part")
-    a = part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "p_type", "p_brand")
-    b = part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "p_type", "p_brand")
-    return a.join(b, ["p_type", "p_brand"]).where((F.col("a") < F.col("b")) & tx.one_edit(F.col("na"), F.col("nb"))).select("a", "b")
+    return fuzzy.one_edit_pairs(table(spark, d, "part"), "p_partkey", "p_name", "p_type", "p_brand")
 
 
 @query(f"SELECT trim(strip_accents(token)) AS fold, sum(n)::BIGINT AS n, count(*) AS spellings FROM (SELECT token, count(*) AS n FROM ({TOKENS}) GROUP BY 1) GROUP BY 1")

@@ -124,3 +124,13 @@ def test_strong_then_weak_then_restored(spark):
     assert {tuple(r) for r in found.collect()} == {("S", 1, "strong"), ("S", 2, "dropped"), ("A", 3, "weak"), ("R", 3, "restored"), ("N", None, "missing"), ("E", None, "missing")}
     empty = spell(spark.createDataFrame([], "id int, place int, word string"), "word")
     assert {r["status"] for r in fuzzy.resolve_words(empty, spell(spark.createDataFrame(forms, "key string, form string"), "form")).collect()} == {"missing"}
+
+
+def test_pairs_one_edit_apart_equal_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 6))), rng.randrange(2)) for i in range(120)]
+    long = "".join(rng.choice("xyz") for _ in range(40))
+    rows += [(500, long, 0), (501, long[1:], 0), (502, long[:39] + "q", 0), (503, long[:10] + "--" + long[10:], 0), (504, None, 0), (505, long, 1)]
+    found = fuzzy.one_edit_pairs(spark.createDataFrame(rows, "id int, w string, g int"), "id", "w", "g")
+    want = {(a, b) for a, x, g in rows for b, y, h in rows if a < b and g == h and x is not None and y is not None and distance(x, y) <= 1}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
