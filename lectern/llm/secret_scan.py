@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re._constants as tokens
-import re._parser as grammar
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,6 +34,97 @@ MORE = (
 )
 
 
+class _Pattern:
+    """Reads a pattern of literals, classes, groups, alternatives and repeats: a list of alternatives, each a list of (atom, least, most).
+
+    An atom is a character, None for a class of them, or a list of alternatives again.  Anything else, such as anchors,
+    look-around or back references, is refused.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self.parts = self.alternatives()
+        if self.at < len(text):
+            raise ValueError(f"unbalanced ) in {text}")
+
+    def peek(self, *marks: str) -> str | None:
+        return next((m for m in marks if self.text.startswith(m, self.at)), None)
+
+    def take(self, *marks: str) -> str | None:
+        found = self.peek(*marks)
+        self.at += len(found or "")
+        return found
+
+    def alternatives(self) -> list:
+        out = [self.sequence()]
+        while self.take("|"):
+            out.append(self.sequence())
+        return out
+
+    def sequence(self) -> list:
+        out = []
+        while self.at < len(self.text) and not self.peek("|", ")"):
+            atom = self.atom()
+            out.append((atom, *self.repeat()))
+        return out
+
+    def atom(self):
+        if self.take("(?:", "(?i:", "("):
+            if self.peek("?", "*"):
+                raise ValueError(f"unknown group in {self.text}")
+            inner = self.alternatives()
+            if not self.take(")"):
+                raise ValueError(f"unbalanced ( in {self.text}")
+            return inner
+        if self.take("["):
+            self.take("^")
+            first = True
+            while first or not self.peek("]"):
+                first = False
+                self.escape() if self.peek("\\") else self.character()
+            self.at += 1
+            return None
+        if self.take("."):
+            return None
+        if self.peek("\\"):
+            return self.escape()
+        if self.peek("^", "$", "?", "*", "+", "{"):
+            raise ValueError(f"{self.text[self.at]} without meaning in {self.text}")
+        return self.character()
+
+    def character(self) -> str:
+        if self.at >= len(self.text):
+            raise ValueError(f"unbalanced [ in {self.text}")
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def escape(self) -> str | None:
+        """A character written with a backslash, or None for a class such as \\d."""
+        self.at += 1
+        c = self.character()
+        if c == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        if c in "dDwWsS":
+            return None
+        if c.isalnum():
+            raise ValueError(f"unknown escape {c} in {self.text}")
+        return c
+
+    def repeat(self) -> tuple[int, int | None]:
+        mark = self.take("?", "*", "+", "{")
+        if mark == "{":
+            end = self.text.index("}", self.at)
+            low, _, high = self.text[self.at : end].partition(",")
+            bounds = int(low), (int(high) if high else None if "," in self.text[self.at : end] else int(low))
+            self.at = end + 1
+        else:
+            bounds = {None: (1, 1), "?": (0, 1), "*": (0, None), "+": (1, None)}[mark]
+        if mark:
+            self.take("?", "+")
+        return bounds
+
+
 def trigram_query(pattern: str, most: int = 64) -> list[list[str]] | None:
     """Alternatives of lower-case trigrams: a match holds all trigrams of one alternative.
 
@@ -45,18 +134,21 @@ def trigram_query(pattern: str, most: int = 64) -> list[list[str]] | None:
     def closed(paths):
         return [(done | ({run} if len(run) >= 3 else frozenset()), "") for done, run in paths]
 
+    def once(atom, paths):
+        if atom is None:
+            return closed(paths)
+        if isinstance(atom, str):
+            return [(done, run + atom.lower()) for done, run in paths]
+        return [p for branch in atom for p in walk(branch, paths)]
+
     def walk(items, paths):
-        for op, arg in items:
-            if op is tokens.LITERAL:
-                paths = [(done, run + chr(arg).lower()) for done, run in paths]
-            elif op is tokens.SUBPATTERN:
-                paths = walk(arg[-1], paths)
-            elif op is tokens.BRANCH:
-                paths = [p for branch in arg[1] for p in walk(branch, paths)]
-            elif op is tokens.MAX_REPEAT and arg[:2] == (0, 1):
-                paths = paths + walk(arg[2], paths)
-            elif op is tokens.MAX_REPEAT and arg[0] >= 1:
-                paths = closed(walk(arg[2], paths)) if arg[0] == 1 and arg[1] == 1 else closed(walk(arg[2], closed(paths)))
+        for atom, low, high in items:
+            if (low, high) == (1, 1):
+                paths = once(atom, paths)
+            elif (low, high) == (0, 1):
+                paths = paths + once(atom, paths)
+            elif low >= 1:
+                paths = closed(once(atom, closed(paths)))
             else:
                 paths = closed(paths)
             paths = list(dict.fromkeys(paths))
@@ -65,7 +157,7 @@ def trigram_query(pattern: str, most: int = 64) -> list[list[str]] | None:
         return paths
 
     out = []
-    for runs, _ in closed(walk(grammar.parse(pattern), [(frozenset(), "")])):
+    for runs, _ in closed(once(_Pattern(pattern).parts, [(frozenset(), "")])):
         grams = sorted({run[i : i + 3] for run in runs for i in range(len(run) - 2)})
         if not grams:
             return None

@@ -110,3 +110,14 @@ def test_many_trigrams_are_shuffled_instead_of_broadcast(docs):
     plain = secret_scan.candidates(docs, secret_scan.BASE[:2], most_broadcast=0)
     listed = lambda df: sorted(str((r["key"], sorted(r["kinds"]))) for r in df.collect())
     assert listed(wide) == listed(plain)
+
+
+def test_patterns_give_what_their_matches_hold():
+    q = secret_scan.trigram_query
+    assert q("abcd") == [["abc", "bcd"]] and q("(?i:AbC|xyz)[0-9]+") == [["abc"], ["xyz"]]
+    assert q("ab?cde") == [["acd", "cde"], ["abc", "bcd", "cde"]] or q("ab?cde") == [["abc", "bcd", "cde"], ["acd", "cde"]]
+    assert q("[0-9a-f]{32,}") is None and q("(abc)*") is None and q("ab|abc") is None and q(r"a\x62c") == [["abc"]] and q(r"a\.b\dxyz") == [["a.b", "xyz"]]
+    assert q("(?:abc)+d") == [["abc"]] and q("[]a]bcd") == [["bcd"]] and q("x{3}yzw") == [["yzw"]]
+    for bad in ("^abc", "abc$", "(?=abc)", "(abc", "abc)", r"(a)\1", "[abc", "*a"):
+        with pytest.raises(ValueError):
+            q(bad)
