@@ -97,31 +97,89 @@ def moved(a: list, b: list, pairs: list[tuple[int, int]], least: int = 3) -> lis
     return out
 
 
-def carried(words: list | None, tags: list | None, other: list | None) -> list:
-    """Tags of words on the words of another version; null where nothing matches.
+def similar(a: str, b: str, swaps: dict[str, set[str]] | None = None, least: int = 5) -> bool:
+    """Equal, one the other with a common ending, one that stands for the other in swaps, or from ``least`` letters on one edit apart."""
+    if a == b or b in (swaps or {}).get(a, ()):
+        return True
+    short, long = sorted((a, b), key=len)
+    if long.startswith(short) and long[len(short) :] in ("s", "es", "d", "ed", "ing", "eth", "est"):
+        return True
+    if len(short) < least or len(long) - len(short) > 1:
+        return False
+    same = next((k for k in range(len(short)) if short[k] != long[k]), len(short))
+    return short[same + (len(short) == len(long)) :] == long[same + 1 :]
+
+
+def in_order(a: list, b: list, like) -> list[tuple[int, int]]:
+    """As many pairs (i, j), both rising, as can be of items that are alike; the first ones of several ways."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], 1 + best[i + 1][j + 1] if like(a[i], b[j]) else 0)
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if like(a[i], b[j]) and best[i][j] == 1 + best[i + 1][j + 1]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
-    Aligned words take their tag, then moved phrases, then a lone word that stands for a lone word between
-    two aligned ones.
+
+def aligned(words: list, other: list, swaps: dict | None = None, small: frozenset = frozenset()) -> list[tuple[int, str] | None]:
+    """For each word of the other version the place it answers to and how, or null.
+
+    same: aligned as it is, or part of a moved phrase; similar: alike in the stretch between two aligned words, in
+    order; position: what is left there is one word on each side, both among the small words or neither.
     """
+    pairs = {j: (i, "same") for i, j in common(words, other)}
+    for i, j, n in moved(words, other, [(i, j) for j, (i, _) in pairs.items()]):
+        pairs |= {j + k: (i + k, "same") for k in range(n)}
+    used = {i for i, _ in pairs.values()}
+
+    def gaps():
+        """Stretches of both versions, with no word matched, that begin behind matched neighbours or at the start."""
+        j = 0
+        while j < len(other):
+            if j in pairs:
+                j += 1
+                continue
+            end = j
+            while end < len(other) and end not in pairs:
+                end += 1
+            first = pairs[j - 1][0] + 1 if j else 0
+            last = first
+            while last < len(words) and last not in used:
+                last += 1
+            if end == len(other) or pairs[end][0] == last:  # what follows on both sides answers to each other
+                yield first, last, j, end
+            j = end
+
+    for a0, a1, b0, b1 in list(gaps()):
+        for i, j in in_order(words[a0:a1], other[b0:b1], lambda x, y: similar(x, y, swaps)):
+            pairs[b0 + j] = (a0 + i, "similar")
+            used.add(a0 + i)
+    for a0, a1, b0, b1 in list(gaps()):
+        if a1 - a0 == b1 - b0 == 1 and (words[a0] in small) == (other[b0] in small):
+            pairs[b0] = (a0, "position")
+            used.add(a0)
+    return [pairs.get(j) for j in range(len(other))]
+
+
+def carried(words: list | None, tags: list | None, other: list | None, swaps: dict | None = None, small: frozenset = frozenset()) -> list:
+    """Tags of words on the words of another version, by aligned(); null where nothing matches."""
     words, tags, other = words or [], tags or [], other or []
-    pairs = common(words, other)
-    for i, j, n in moved(words, other, pairs):
-        pairs += [(i + k, j + k) for k in range(n)]
-    used_a, at = {i for i, _ in pairs}, {j: i for i, j in pairs}
-    free = [j not in at for j in range(len(other))]
-    for j in range(len(other)):
-        alone = free[j] and not (j > 0 and free[j - 1]) and not (j + 1 < len(other) and free[j + 1])
-        if alone:
-            before = at.get(j - 1, -1)
-            if before + 1 < len(words) and before + 1 not in used_a and (before + 2 in used_a or before + 2 == len(words)):
-                pairs.append((before + 1, j))
-                used_a.add(before + 1)
-    out = [None] * len(other)
-    for i, j in pairs:
-        out[j] = tags[i] if i < len(tags) else None
-    return out
+    found = aligned(words, other, swaps, small)
+    return [tags[m[0]] if m and m[0] < len(tags) else None for m in found]
+
+
+def tag_transfer(words: Column, tags: Column, other: Column, swaps: dict[str, set[str]] | None = None, small: frozenset = frozenset()) -> Column:
+    """array<string>: a tag or null for each word of the other version.  swaps and small are tables that the caller bounds."""
+    return F.udf(lambda a, t, b: carried(a, t, b, swaps, small), "array<string>", useArrow=True)(words, tags, other)
 
 
-def tag_transfer(words: Column, tags: Column, other: Column) -> Column:
-    """array<string>: a tag or null for each word of the other version."""
-    return F.udf(carried, "array<string>", useArrow=True)(words, tags, other)
+def match_rules(words: Column, other: Column, swaps: dict[str, set[str]] | None = None, small: frozenset = frozenset()) -> Column:
+    """array<string>: how each word of the other version was matched (same, similar, position), or null."""
+    return F.udf(lambda a, b: [m and m[1] for m in aligned(a or [], b or [], swaps, small)], "array<string>", useArrow=True)(words, other)

@@ -25,3 +25,31 @@ def test_numbers_in_titles(spark):
 def test_ranges_split(spark):
     df = spark.createDataFrame([(8, 21), (30, 5)], "lo long, hi long")
     assert sorted((r["part_low"], r["part_high"]) for r in study.split_ranges(df, "lo", "hi", 10).collect()) == [(8, 9), (10, 19), (20, 21)]
+
+
+def test_words_in_gaps_match_by_likeness_then_by_place():
+    a, b = "he taketh the wells of honour and went unto them".split(), "he took the springs of honours and goes upon them".split()
+    small = frozenset("unto upon the of and he them".split())
+    found = sequences.aligned(a, b, {"taketh": {"took"}}, small)
+    assert [m and m[1] for m in found] == ["same", "similar", "same", "position", "same", "similar", "same", None, None, "same"] or [m and m[1] for m in found][:7] == ["same", "similar", "same", "position", "same", "similar", "same"]
+    assert all(m is None or m[0] == j for j, m in enumerate(found))
+    one = sequences.aligned("x the y".split(), "x stone y".split(), None, frozenset(["the"]))
+    assert one == [(0, "same"), None, (2, "same")]
+    assert sequences.aligned("x the y".split(), "x an y".split(), None, frozenset(["the", "an"]))[1] == (1, "position")
+    assert sequences.similar("heaven", "heavens") and sequences.similar("zidon", "sidon") and sequences.similar("maachah", "maacah") and not sequences.similar("the", "then")
+
+
+def test_alignment_uses_each_word_once():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(300):
+        a = [rng.choice(["aaaaa", "aaaab", "b", "bs", "c", "dd"]) for _ in range(rng.randrange(9))]
+        b = [rng.choice(["aaaaa", "aaaab", "b", "bs", "c", "ee"]) for _ in range(rng.randrange(9))]
+        found = sequences.aligned(a, b)
+        places = [m[0] for m in found if m]
+        assert len(places) == len(set(places)) and all(0 <= p < len(a) for p in places)
+        for m, word in zip(found, b):
+            assert m is None or (m[1] == "same") <= (a[m[0]] == word) and (m[1] != "similar" or sequences.similar(a[m[0]], word))
+        want = max((len(x) for x in [sequences.in_order(a, b, lambda x, y: x == y)]), default=0)
+        assert len(sequences.common(a, b)) == want
