@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import markup, paths, practice, words
+from lectern.functions import building, markup, paths, practice, words
 from lectern.operators import lexicon
 from lectern.plans.catalog import query
 from lectern.tables import table
@@ -91,3 +91,27 @@ def name_frequency(spark, d):
 def strong_before_weak(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("t"), "l_linenumber")
     return lexicon.strong_or_weak(items, "k", "t", "l_linenumber")
+
+
+@query(r"""WITH u AS (SELECT page_id, string_split(substr(url, strpos(url, '://') + 3), '/') AS t FROM pages),
+                m AS (SELECT page_id, t, [CASE WHEN regexp_matches(x, '^[0-9]') THEN 'J' WHEN x = '' THEN '' ELSE 'T' || len(x) END FOR x IN t] AS g FROM u)
+           SELECT page_id, CASE WHEN page_id % 7 > 0 THEN array_to_string([t[i] || ':' || g[i] || ':' || CASE WHEN page_id % 3 = 0 AND i = 1 THEN '' ELSE 'Hc' || len(t[i]) END || ':' || upper(t[i]) FOR i IN range(1, len(t) + 1) IF g[i] NOT IN ('', 'J')], '|') END AS parts,
+                  CASE WHEN page_id % 5 > 0 THEN g[1] END AS root, CASE WHEN page_id % 7 = 0 THEN 'uneven' WHEN page_id % 5 = 0 THEN 'no root' END AS problem FROM m""")
+def words_built(spark, d):
+    """Parts of each address as those of a word: tags by length, digits as joiners, codes and glosses beside them."""
+    k = F.col("page_id")
+    pages = table(spark, d, "pages").withColumn("t", F.split(F.substring_index("url", "://", -1), "/"))
+    joined = lambda f: F.array_join(F.transform("t", f), "/")
+    tags = joined(lambda x, i: F.when(x.rlike("^[0-9]"), "J").when(x == "", "").otherwise(F.concat(F.when((i == 0) & (k % 5 > 0), "{T").otherwise("T"), F.length(x).cast("string"), F.when((i == 0) & (k % 5 > 0), "}").otherwise(""))))
+    codes = F.concat(F.lit("H"), joined(lambda x, i: F.when((k % 3 == 0) & (i == 0), " ").otherwise(F.concat(F.lit("c"), F.length(x).cast("string")))), F.when(k % 7 == 0, "/more").otherwise(""))
+    found = pages.select("page_id", building.parts(F.array_join("t", "/"), tags, codes, joined(lambda x: F.upper(x)), ["J"]).alias("w"))
+    shown = F.transform("w.parts", lambda p: F.concat(p["text"], F.lit(":"), p["tag"], F.lit(":"), F.coalesce(p["code"], F.lit("")), F.lit(":"), F.coalesce(p["gloss"], F.lit(""))))
+    return found.select("page_id", F.array_join(shown, "|").alias("parts"), "w.root", "w.problem")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(u, '//', ' '), '\=', ' ='), '/', ''), '\', ''), '\s+', ' ', 'g')) AS surface, replace(u, '\', '') AS bare, translate(p, 'áàâéèêíìîóòôúùû', 'aaaeeeiiiooouuu') AS sound
+           FROM (SELECT page_id, replace(replace(url, '=', '\='), '?', '\?') AS u, left(html, 400) AS p FROM pages)""".replace("\\\\", "\\"))
+def marks_held(spark, d):
+    """Addresses as words with marks held to their parts: as printed, and without what holds them; pages' beginnings without accents."""
+    u = F.replace(F.replace("url", F.lit("="), F.lit("\\=")), F.lit("?"), F.lit("\\?"))
+    return table(spark, d, "pages").select("page_id", building.surface(u, "=").alias("surface"), building.without_marks(u, ";").alias("bare"), building.plain_sound(F.left("html", F.lit(400))).alias("sound"))
