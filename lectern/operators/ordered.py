@@ -84,6 +84,17 @@ def filled(df: DataFrame, key: list[str], order: list[str], value: str, bucket:
     return running(df, key, order, bucket, _filled=("last", F.col(value))).withColumn(value, F.col("_filled")).drop("_filled")
 
 
+def uncovered(keys: DataFrame, ranges: DataFrame, key: str, count: str, low: str, high: str) -> DataFrame:
+    """(key, gap_from, gap_to): whole numbers from 1 to a key's count that none of its ranges holds; a key without ranges lacks them all.
+
+    Ranges may overlap, and lie outside; ranges of unknown keys count for nothing.
+    """
+    ends = keys.where(F.col(count) > 0).select(key, F.explode(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), F.struct((F.col(count) + 1).cast("long").alias("a"), (F.col(count) + 1).cast("long").alias("b")))).alias("r")).select(key, "r.*")
+    inside = ranges.join(keys.where(F.col(count) > 0), key).where((F.col(high) >= 1) & (F.col(low) <= F.col(count)) & (F.col(low) <= F.col(high)))
+    inside = inside.select(key, F.greatest(F.col(low).cast("long"), F.lit(1).cast("long")).alias("a"), F.least(F.col(high).cast("long"), F.col(count).cast("long")).alias("b"))
+    return gaps(ends.unionByName(inside), [key], "a", "b")
+
+
 def chunked(weights: Column, limit: int, block: int = 512) -> Column:
     """array<int>: the chunk of each weight, in order; a chunk ends where the next would exceed limit.
 

@@ -102,3 +102,14 @@ def pause_sessions(spark, d):
     late = F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 1 day")
     marked = table(spark, d, "events").withColumn("c", F.when(late, 0).otherwise(1)).withColumn("session", F.sum("c").over(w))
     return marked.groupBy("user_id", "session").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 9 AS n FROM orders), x AS (SELECT o_orderkey, unnest(range(1, n + 1)) AS i FROM k),
+               f AS (SELECT x.* FROM x WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND i BETWEEN l_linenumber AND l_linenumber + l_quantity::INT % 3 - 1)),
+               g AS (SELECT *, i - row_number() OVER (PARTITION BY o_orderkey ORDER BY i) AS g FROM f)
+          SELECT o_orderkey, min(i) AS gap_from, max(i) AS gap_to FROM g GROUP BY o_orderkey, g""")
+def numbers_uncovered(spark, d):
+    """Numbers of an order, up to its count, that no line's range holds."""
+    keys = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).alias("n"))
+    ranges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3 - 1).alias("hi"))
+    return ordered.uncovered(keys, ranges, "o_orderkey", "n", "lo", "hi")

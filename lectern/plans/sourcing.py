@@ -147,3 +147,11 @@ def stream_stretches(spark, d):
 def stream_returned(spark, d):
     """The side output: values that come back after their stretch has ended."""
     return groups.read_written(spark, _lines_streamed(spark, d), problems=True).select("source", "kind", "value", "first")
+
+
+@query("SELECT n_regionkey, count(*) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY 1")
+def folders_counted(spark, d):
+    """Files and bytes of each folder: a folder a region, a file a nation."""
+    path = scratch(spark)
+    table(spark, d, "nation").select("n_regionkey", "n_name").repartition("n_name").write.option("maxRecordsPerFile", 1).partitionBy("n_regionkey").text(path)
+    return files.folder_stats(spark, path, ".txt").select(F.regexp_extract("folder", "n_regionkey=([0-9]+)$", 1).cast("int").alias("n_regionkey"), "files", "bytes")

@@ -33,6 +33,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def folder_stats(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(folder, files, bytes) of each folder below a path that holds files whose names end so; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").endswith(suffix))
+    return listed.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, name, content): the members of zip archives, one archive a row of the scan."""
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])
