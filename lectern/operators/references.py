@@ -124,6 +124,31 @@ def valid(df: DataFrame, ref: str, verses: DataFrame) -> DataFrame:
     return started.where(refs.well_formed(r)).join(b, (r["book"] == F.col("_b2")) & (F.coalesce(r["end_chapter"], r["chapter"]) == F.col("_c2")) & (F.coalesce(r["end_verse"], F.lit(1)) <= F.col("_n2")), "left_semi")
 
 
+def validity(df: DataFrame, ref: str, verses: DataFrame) -> DataFrame:
+    """df with forward, loose and strict: whether the reference's chapters and verses exist, by three rules for its end.
+
+    forward: the end has a start verse and does not come before it.  loose: the end is within its chapter, in any order, and
+    what stands behind a whole chapter is not looked at.  strict: the end comes after the start, and a named end chapter
+    is a later one.  A null reference is none of them.
+    """
+    size = lambda n: verses.select(F.col("book").alias(f"_b{n}"), F.col("chapter").alias(f"_c{n}"), F.col("n_verses").alias(f"_n{n}"))
+    r = F.col(ref)
+    last = F.coalesce(r["end_chapter"], r["chapter"])
+    met = df.join(size(1), (r["book"] == F.col("_b1")) & (r["chapter"] == F.col("_c1")), "left").join(size(2), (r["book"] == F.col("_b2")) & (last == F.col("_c2")), "left")
+    here, there = F.col("_n1").isNotNull(), F.col("_n2").isNotNull()
+    whole, open_end = r["verse"].isNull(), r["end_verse"].isNull()
+    begins = here & r["verse"].between(1, F.col("_n1"))
+    ends = there & (last >= r["chapter"])
+    inside = r["end_verse"].between(1, F.col("_n2"))
+    same = last == r["chapter"]
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return met.withColumns({
+        "forward": sure(here & (whole | begins) & ends & (open_end | (~whole & inside & (~same | (r["end_verse"] >= r["verse"]))))),
+        "loose": sure(here & (whole | (begins & there & (open_end | (r["end_verse"] <= F.col("_n2")))))),
+        "strict": sure(here & F.when(whole, open_end).otherwise(begins & ends & (open_end | (inside & (~same | (r["end_verse"] > r["verse"])))) & (r["end_chapter"].isNull() | (r["end_chapter"] > r["chapter"])))),
+    }).drop("_b1", "_c1", "_n1", "_b2", "_c2", "_n2")
+
+
 def verses_of(df: DataFrame, ref: str, verses: DataFrame) -> DataFrame:
     """df with chapter and verse, a row for each verse that the reference covers."""
     r, t = F.col(ref), verses.select(F.col("book").alias("_b"), F.col("chapter").alias("_chapter"), F.col("n_verses").alias("_n"))

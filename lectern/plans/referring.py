@@ -96,6 +96,20 @@ def refs_valid(spark, d):
     return references.valid(given, "ref", _verses(spark)).select("o_orderkey")
 
 
+@query(f"""WITH {_DRAWN}, r AS (SELECT o_orderkey, i, n, c, CASE WHEN o_orderkey % 7 > 0 THEN v END AS v, CASE o_orderkey % 5 WHEN 0 THEN c + 1 WHEN 1 THEN c WHEN 2 THEN c - 1 END AS ec, CASE WHEN o_orderkey % 3 > 0 THEN w END AS ev FROM k),
+                e AS (SELECT *, coalesce(ec, c) AS l, c BETWEEN 1 AND n AS here, coalesce(ec, c) BETWEEN 1 AND n AS there FROM r),
+                f AS (SELECT *, here AND v BETWEEN 1 AND 9 + i * c AS begins, there AND l >= c AS ends, ev BETWEEN 1 AND 9 + i * l AS inside FROM e)
+           SELECT o_orderkey, coalesce(here AND (v IS NULL OR begins) AND ends AND (ev IS NULL OR (v IS NOT NULL AND inside AND (l <> c OR ev >= v))), false) AS forward,
+                  coalesce(here AND (v IS NULL OR (begins AND there AND (ev IS NULL OR ev <= 9 + i * l))), false) AS loose,
+                  coalesce(here AND CASE WHEN v IS NULL THEN ev IS NULL ELSE begins AND ends AND (ev IS NULL OR (inside AND (l <> c OR ev > v))) AND (ec IS NULL OR ec > c) END, false) AS strict FROM f""")
+def refs_valid_by_rule(spark, d):
+    """Which references exist by each of three rules for their end."""
+    k, c = F.col("o_orderkey"), F.col("c")
+    end = F.when(k % 5 == 0, c + 1).when(k % 5 == 1, c).when(k % 5 == 2, c - 1)
+    ref = refs.ref(F.col("code"), c, F.when(k % 7 > 0, F.col("v")), end, F.when(k % 3 > 0, F.col("w")))
+    return references.validity(_drawn(spark, d).withColumn("ref", ref), "ref", _verses(spark)).select("o_orderkey", "forward", "loose", "strict")
+
+
 @query(f"""WITH {_DRAWN}, r AS (SELECT *, unnest(range(c, c + CASE WHEN kind < 3 THEN 1 ELSE 2 END)) AS chapter FROM k), s AS (SELECT *, CASE WHEN chapter = c AND kind > 0 THEN v ELSE 1 END AS lo,
                   CASE WHEN kind = 0 THEN 9 + i * chapter WHEN kind < 3 OR chapter = c + 1 THEN least(w, 9 + i * chapter) ELSE 9 + i * chapter END AS hi FROM r WHERE chapter BETWEEN 1 AND n)
            SELECT o_orderkey, chapter, unnest(range(lo, hi + 1)) AS verse FROM s WHERE lo <= hi""")
