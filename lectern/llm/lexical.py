@@ -52,6 +52,12 @@ class _Index:
         self.times = np.array(times, np.int64)[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(np.array(term, np.int64), minlength=len(self.number)))]).astype(np.int64)
 
+    @classmethod
+    def restored(cls, values: dict) -> _Index:
+        out = cls.__new__(cls)
+        vars(out).update(values)
+        return out
+
     def counts(self, batch) -> tuple:
         """Of a batch of texts: (number of terms of each; row, term number and times of each term of the index in each row)."""
         import numpy as np
@@ -97,7 +103,7 @@ def _tally(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        index = shared.value
+        index = _Index.restored(shared.value)
         holding, with_terms, terms = np.zeros(len(index.number), np.int64), 0, 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -122,7 +128,7 @@ def _heaps(docs: DataFrame, shared, worth, documents: int, terms: int, k: int) -
         import numpy as np
         from pyspark import TaskContext
 
-        index, weight = shared.value, worth.value
+        index, weight = _Index.restored(shared.value), worth.value
         value = np.repeat(weight, np.diff(index.starts)) * index.times  # of one posting
         heaps: list[list] = [[] for _ in range(index.items)]
         least = np.ones(index.items, np.int64)  # what a document needs to be among the best of an item
@@ -212,12 +218,12 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, block_terms:
     result = None
     for block in blocks:
         mine = placed.where(F.col("block") == block).orderBy("row").select("item_id", "terms", "times").collect()
-        shared = spark.sparkContext.broadcast(_Index([(r["terms"], r["times"]) for r in mine]))
+        shared = spark.sparkContext.broadcast(vars(_Index([(r["terms"], r["times"]) for r in mine])))  # plain values need no module to load
         found = dict(map(tuple, _tally(docs, shared).collect()))
         documents, terms = found.pop(-1, 0), found.pop(-2, 0)
         if not terms:
             break
-        weights = [math.floor(1000 * math.log((2 * documents + 2) / (2 * found.get(t, 0) + 1))) for t in range(len(shared.value.number))]
+        weights = [math.floor(1000 * math.log((2 * documents + 2) / (2 * found.get(t, 0) + 1))) for t in range(len(shared.value["number"]))]
         import numpy as np
 
         worth = spark.sparkContext.broadcast(np.array(weights, np.int64))
