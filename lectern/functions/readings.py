@@ -139,12 +139,19 @@ def variants(cell: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(cell, "¦"), lambda r: F.trim(r)), lambda r: r != ""), read)
 
 
-def fitting(candidates: list[Column], most: int) -> Column:
-    """The first of some texts that is shorter than most; where none is, the last one cut behind a word, with an ellipsis."""
-    fits = F.filter(F.array(*candidates), lambda c: F.length(c) < most)
-    words_left = F.split(F.left(candidates[-1], F.lit(most - 2)), r"\s+")
-    cut = F.when(F.size(words_left) > 1, F.array_join(F.slice(words_left, F.lit(1), F.greatest(F.size(words_left) - 1, F.lit(1))), " ")).otherwise(words_left[0])
-    return F.when(F.size(fits) > 0, F.get(fits, F.lit(0))).otherwise(F.concat(cut, F.lit("…")))
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fitting(candidates: Column, most: int) -> Column:
+    """The first of an array of texts that is shorter than most; where none is, the last one cut behind a word, with an ellipsis."""
+
+    def cut(text: Column) -> Column:
+        kept = F.split(F.left(text, F.lit(most - 2)), r"\s+")
+        return F.concat(F.when(F.size(kept) > 1, F.array_join(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))), " ")).otherwise(kept[0]), F.lit("…"))
+
+    return _once(candidates, lambda some: F.coalesce(F.get(F.filter(some, lambda c: F.length(c) < most), F.lit(0)), cut(F.element_at(some, -1))))
 
 
 def first_sense(definition: Column, instead: Column, openings: list[str], most: int = 60) -> Column:
@@ -153,15 +160,18 @@ def first_sense(definition: Column, instead: Column, openings: list[str], most:
     Where nothing stands there, the first of the renderings in ``instead`` (between commas, a leading + or X is a mark) serves.
     A sense that is too long is given without what is in brackets, or only up to its first comma, or cut.
     """
-    text = F.trim(F.regexp_replace(F.coalesce(definition, F.lit("")), r"\s+", " "))
-    begins = lambda o: F.lower(text).startswith(o + " ") | F.lower(text).startswith(o + ", ")
-    skipped = F.coalesce(*[F.when(begins(o), F.ltrim(F.substring(text, F.lit(len(o) + 1), F.length(text)), F.lit(", "))) for o in openings], text) if openings else text
-    sense = F.rtrim(F.coalesce(words.split_outside(skipped, ";")["head"], skipped), F.lit(" ,:;."))
-    other = F.trim(F.coalesce(words.split_outside(instead, ",")["head"], instead, F.lit("")))
-    other = F.when(F.substring_index(other, " ", 1).isin("+", "X"), F.trim(F.substring(other, 2, 1 << 30))).otherwise(other)
-    said = F.when(sense == "", other).otherwise(sense)
-    bare_said = F.trim(F.regexp_replace(said, r"\s*\([^()]*\)", ""))
-    return fitting([said, bare_said, F.coalesce(words.split_outside(bare_said, ",")["head"], bare_said)], most)
+
+    def opened(text: Column) -> Column:
+        begins = lambda o: F.lower(text).startswith(o + " ") | F.lower(text).startswith(o + ", ")
+        return F.coalesce(*[F.when(begins(o), F.ltrim(F.substring(text, F.lit(len(o) + 1), F.length(text)), F.lit(", "))) for o in openings], text)
+
+    before = lambda text, mark: F.coalesce(words.split_outside(text, mark)["head"], text)
+    squeezed = F.trim(F.regexp_replace(F.coalesce(definition, F.lit("")), r"\s+", " "))
+    sense = _once(_once(squeezed, opened), lambda t: F.rtrim(before(t, ";"), F.lit(" ,:;.")))
+    other = _once(F.trim(before(F.coalesce(instead, F.lit("")), ",")), lambda o: F.when(F.substring_index(o, " ", 1).isin("+", "X"), F.trim(F.substring(o, 2, 1 << 30))).otherwise(o))
+    said = _once(sense, lambda s: F.when(s == "", other).otherwise(s))
+    bare_said = lambda s: F.trim(F.regexp_replace(s, r"\s*\([^()]*\)", ""))
+    return _once(said, lambda s: _once(bare_said(s), lambda b: fitting(F.array(s, b, before(b, ",")), most)))
 
 
 def note_usable(text: Column, roles: list[str], openings: list[str], meanings: list[str]) -> Column:
