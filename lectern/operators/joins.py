@@ -104,23 +104,52 @@ def swapped(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return one.join(other, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).where(F.col(a) < F.col(b)).select(a, b)
 
 
-def best_overlap(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, least: float = 0.5, frequent: int = 1024) -> DataFrame:
     """(left, right, share): for each left set the right set that holds most of it.
 
-    Both tables are (id, item).  A best share below least, or that two sets reach, gives no row.
+    Both tables are (id, item).  A best share below least, or that two sets reach, gives no row.  An item brings the list of
+    its right sets to each left set, where they are counted, so what is shuffled is a list for each item of a left set, never a
+    pair.  Left sets with an item of more than ``frequent`` right sets are met on their rarest items instead.
+    """
+    sides = right.where("id is not null").select(F.col("id").alias("right"), "item").repartition("item").distinct()
+    often = sides.groupBy("item").agg(F.count("*").alias("often"))
+    hot = often.where(F.col("often") > frequent).select("item")
+    a = left.where("id is not null").select(F.col("id").alias("left"), "item").repartition("item").distinct()
+    among = a.join(hot, "item", "left_semi").select("left").distinct()
+    return _counted_overlap(a.join(among, "left", "left_anti"), sides.join(hot, "item", "left_anti"), least).unionByName(_rarest_overlap(a.join(among, "left", "left_semi"), sides, often, least))
+
+
+def _counted_overlap(a: DataFrame, sides: DataFrame, least: float) -> DataFrame:
+    """best_overlap of distinct rows whose items have short lists of right sets."""
+    id_type = sides.schema["right"].dataType.simpleString()
+    lists = sides.groupBy("item").agg(F.sort_array(F.collect_list("right")).alias("rights"))
+    met = a.join(lists, "item", "left").groupBy("left").agg(F.count("*").alias("size"), F.sort_array(F.flatten(F.collect_list("rights"))).alias("rights"))
+
+    def longest(state, right):
+        """Runs of one set in sorted order: the longest so far, whose it is, and if another is as long."""
+        run = F.when(right == state["last"], state["run"] + 1).otherwise(1)
+        more = run > state["most"]
+        return F.struct(right.alias("last"), run.alias("run"), F.greatest(run, state["most"]).alias("most"), F.when(more, right).otherwise(state["whose"]).alias("whose"), (~more & (state["tied"] | (run == state["most"]))).alias("tied"))
+
+    none = F.lit(None).cast(id_type)
+    start = F.struct(none.alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), none.alias("whose"), F.lit(False).alias("tied"))
+    best = met.select("left", "size", F.aggregate("rights", start, longest).alias("b"))
+    return best.where("b.most > 0 and not b.tied").select("left", F.col("b.whose").alias("right"), (F.col("b.most") / F.col("size")).alias("share")).where(F.col("share") >= least)
+
+
+def _rarest_overlap(a: DataFrame, sides: DataFrame, often: DataFrame, least: float) -> DataFrame:
+    """best_overlap of distinct rows with frequent items.
+
     A right set that holds k of n items of a left set holds one of its n - k + 1 rarest, so candidates are met on those
     only: a frequent item is joined just where a left set has nothing rarer.
     """
-    a, b = left.distinct(), right.distinct()
-    size = a.groupBy(F.col("id").alias("left")).agg(F.count("*").alias("size"))
-    often = b.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("_often"))
-    ranked = a.join(often, F.col("item") == F.col("_item"), "left").select(F.col("id").alias("left"), "item", F.coalesce("_often", F.lit(0)).alias("often"))
+    size = a.groupBy("left").agg(F.count("*").alias("size"))
+    ranked = a.join(often, "item", "left").select("left", "item", F.coalesce("often", F.lit(0)).alias("often"))
     place = F.row_number().over(Window.partitionBy("left").orderBy("often", "item"))
     ranked = ranked.join(size, "left").withColumn("place", place)
     rare = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    sides = b.withColumnRenamed("id", "right")
     candidates = rare.select("left", "size", "item").join(sides, "item").select("left", "size", "right").distinct()
-    both = candidates.join(a.withColumnRenamed("id", "left"), "left").join(sides, ["right", "item"])
+    both = candidates.join(a, "left").join(sides, ["right", "item"])
     shares = both.groupBy("left", "right", "size").agg(F.count("*").alias("common")).withColumn("share", F.col("common") / F.col("size")).where(F.col("share") >= least)
     most = shares.groupBy("left").agg(F.max("share").alias("share"), F.max_by(F.struct("right"), "share").alias("_top"))
     tied = shares.select(F.col("left").alias("_l"), F.col("share").alias("_s")).groupBy("_l", "_s").agg(F.count("*").alias("_n")).where("_n = 1")

@@ -1,6 +1,7 @@
 """Column functions and operators on small inline tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,18 @@ def test_best_overlap_matches_brute_force(spark):
     assert {r["left"]: (r["right"], r["share"]) for r in got.collect()} == want and want
 
 
+def test_best_overlap_shuffles_no_pairs(spark):
+    """Only left sets with a frequent item go by candidates; both ways give the same rows."""
+    rng = random.Random(9)
+    left = spark.createDataFrame(sorted({(i, rng.randrange(12)) for i in range(60) for _ in range(4)}) + [(60, None), (60, 1), (None, 1)], "id int, item int")
+    right = spark.createDataFrame(sorted({(j, rng.choice([0, rng.randrange(12)])) for j in range(20) for _ in range(4)}) + [(None, 1), (3, None)], "id int, item int")
+    got = [sorted(map(tuple, joins.best_overlap(left, right, frequent=n).collect())) for n in (1024, 7, 0)]
+    assert got[0] == got[1] == got[2] and got[0]
+    a, sides = left.where("id is not null").withColumnRenamed("id", "left"), right.where("id is not null").withColumnRenamed("id", "right")
+    plan = joins._counted_overlap(a, sides, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(left#\d+, right#\d+", plan)
+
+
 def test_word_diff(spark):
     assert sequences.diff("in the beginning was the word".split(), "in beginning was a word".split()) == {"ok": 4, "missed": 2, "extra": 1, "ops": "=-==-+="}
     assert sequences.diff(None, None)["ops"] == "" and sequences.diff([], ["a"])["extra"] == 1
