@@ -80,3 +80,14 @@ def boxes_on_rings(boxes: DataFrame, rings: DataFrame, ring: str = "ring", salts
     """Rows of boxes (column ``box``) with the rings that share a point with them; the box comes back as ``shown``."""
     areas = rings.where(F.size(ring) >= 3).withColumn("box", geo.bounds(F.col(ring)))
     return boxes_meeting(boxes.withColumn("shown", F.col("box")), areas, salts).where(box_meets_ring(F.col("shown"), F.col(ring)))
+
+
+def label_points(shapes: DataFrame, rings: str = "rings", name: str = "point", precision: float = 1e-3) -> DataFrame:
+    """shapes with geo.label_point of the column rings (array<array<struct<x,y>>>).
+
+    Equal shapes are computed once, and the distinct ones are dealt to all cores, however few files hold them.
+    """
+    tasks = 4 * shapes.sparkSession.sparkContext.defaultParallelism
+    distinct = shapes.select(F.col(rings).alias("_rings")).where(F.col(rings).isNotNull()).distinct().repartition(tasks, "_rings")
+    found = distinct.withColumn(name, geo.label_point(F.col("_rings"), precision))
+    return shapes.join(found, F.col(rings) == F.col("_rings"), "left").drop("_rings")

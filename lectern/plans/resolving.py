@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import codes, geo
-from lectern.operators import aggregates, ordered, resolving
+from lectern.operators import aggregates, ordered, resolving, spatial
 from lectern.plans.catalog import query
 from lectern.tables import table
 
@@ -146,5 +146,5 @@ def label_points(spark, d):
     w, h = F.col("p_size").cast("double") + 2, (F.col("p_partkey") % 13).cast("double") + 2
     points = [(F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, F.lit(1.0)), (F.lit(1.0), F.lit(1.0)), (F.lit(1.0), h), (F.lit(0.0), h)]
     ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points])
-    found = table(spark, d, "part").select("p_partkey", ring.alias("ring")).withColumn("p", geo.label_point(F.array("ring"), 1e-6))
-    return found.select("p_partkey", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"), geo.in_ring(F.col("p.x"), F.col("p.y"), F.col("ring")).alias("inside"))
+    found = spatial.label_points(table(spark, d, "part").select("p_partkey", F.array(ring).alias("rings")), "rings", "p", 1e-6)
+    return found.select("p_partkey", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"), geo.in_ring(F.col("p.x"), F.col("p.y"), F.get("rings", F.lit(0))).alias("inside"))

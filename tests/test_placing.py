@@ -108,3 +108,23 @@ def test_titles_by_base_letters_and_numbers(spark):
     df = spark.createDataFrame(titles, "id int, t string").repartition(3)
     got = [r["id"] for r in study.collated_places(df, "t", "id").orderBy("place").collect()]
     assert got == [7, 8, 4, 5, 6, 2, 3, 9, 1, 11, 10]
+
+
+def test_label_points_computes_equal_shapes_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    find = spatial.geo.label_point
+
+    def counted(rings, precision):
+        one = F.udf(lambda r: made.add(1) or r, "array<array<struct<x:double,y:double>>>")
+        return find(one(rings), precision)
+
+    ring = lambda n: [[(0.0, 0.0), (n, 0.0), (n, n), (0.0, n)]]
+    rows = [(i, ring(float(i % 3 + 1))) for i in range(60)] + [(60, None), (61, []), (62, [[(0.0, 0.0)]])]
+    df = spark.createDataFrame(rows, "id int, rings array<array<struct<x:double,y:double>>>").coalesce(1)
+    spatial.geo.label_point = counted
+    try:
+        got = {r["id"]: r["point"] and tuple(r["point"]) for r in spatial.label_points(df).collect()}
+    finally:
+        spatial.geo.label_point = find
+    assert got == {i: ((i % 3 + 1) / 2,) * 2 if i < 60 else None for i in range(63)}
+    assert made.value == 5
