@@ -33,13 +33,20 @@ def edit_keys(word: Column, tag: str) -> Column:
 def one_edit_pairs(rows: DataFrame, id: str, word: str, *same: str) -> DataFrame:
     """(a, b), a < b: ids of rows whose words are at most one edit apart and whose other columns ``same`` are equal.
 
-    Rows meet on the keys of edit_keys, never all with all; null words meet nothing.
+    Distinct words meet on the keys of edit_keys, never all with all, and the ids of their rows follow; null words meet nothing.
+    A row has as many keys as its word has letters, of which Spark's estimate by file size knows nothing, so these joins are
+    sorted, never broadcast.
     """
-    keyed = rows.where(F.col(word).isNotNull()).select(F.col(id).alias("a"), F.col(word).alias("_x"), *same, F.explode(F.array_append(edit_keys(F.col(word), ""), "")).alias("_key"))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    known = rows.where(F.col(word).isNotNull()).select(F.col(id).alias("a"), F.col(word).alias("_x"), *same).repartition(tasks, "_x", *same)
+    keyed = known.select("_x", *same).distinct().select("*", F.explode(F.array_append(edit_keys(F.col("_x"), ""), "")).alias("_key"))
     # the key of all is for words of one letter and none; others need it not
     keyed = keyed.where((F.col("_key") != "") | (F.length("_x") <= 1))
-    other = keyed.select(F.col("a").alias("b"), F.col("_x").alias("_y"), *same, "_key")
-    return keyed.join(other, ["_key", *same]).where((F.col("a") < F.col("b")) & (F.levenshtein("_x", "_y", 1) >= 0)).select("a", "b").distinct()
+    other = keyed.withColumnRenamed("_x", "_y")
+    near = keyed.join(other.hint("merge"), ["_key", *same]).where(F.levenshtein("_x", "_y", 1) >= 0).select("_x", "_y", *same).distinct()
+    left = near.join(known.hint("merge"), ["_x", *same])
+    right = known.select(F.col("a").alias("b"), F.col("_x").alias("_y"), *same)
+    return left.join(right.hint("merge"), ["_y", *same]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
 def _trigrams(word: Column) -> Column:

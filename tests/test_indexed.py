@@ -134,3 +134,12 @@ def test_pairs_one_edit_apart_equal_all_pairs(spark):
     found = fuzzy.one_edit_pairs(spark.createDataFrame(rows, "id int, w string, g int"), "id", "w", "g")
     want = {(a, b) for a, x, g in rows for b, y, h in rows if a < b and g == h and x is not None and y is not None and distance(x, y) <= 1}
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_pairs_one_edit_apart_are_not_broadcast(spark, tmp_path):
+    """A small file whose words have many keys and many copies."""
+    rows = [(i, f"some longer word {i % 4}", i % 2) for i in range(40)] + [(40, None, 0), (41, "some longer word 0", None)]
+    spark.createDataFrame(rows, "id int, w string, g int").write.parquet(f"{tmp_path}/rows")
+    found = fuzzy.one_edit_pairs(spark.read.parquet(f"{tmp_path}/rows"), "id", "w", "g")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2]
