@@ -6,6 +6,9 @@ again as the next one's docs.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +81,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where(F.col(chosen)).repartitionByRange(F.col(slot), F.xxhash64("doc_id")).sortWithinPartitions(slot, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _in_files(docs: DataFrame) -> DataFrame:
+    """doc_id and text with the file of each row and its place there."""
+    return docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences of 2048 tokens, whose sequence_ids ascend in the order of the mix.
+
+    That order is the one of the rows in the written files of docs; rows that are not read from files are written first.
+    """
+    try:
+        rows = _in_files(docs)
+    except AnalysisException:
+        rows = _in_files(saved(docs))
+    counts = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}  # a row a file
+    files = sorted(counts)
+    first = list(zip(files, accumulate([0] + [counts[f] for f in files])))
+    starts = spark.createDataFrame(first, "file string, first long")
+    placed = rows.join(F.broadcast(starts), "file").select("doc_id", "text", (F.col("first") + F.col("row")).alias("place"))
+    return packing.pack(placed, place="place")
 
 
 STAGES = [

@@ -93,7 +93,7 @@ class _Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 1, fragment: int = 256, group_docs: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 1, fragment: int = 256, group_docs: int = 256, place: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer: path of a tokenizers file (its place on the executors), ranks: of a rank file of the same
@@ -104,7 +104,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     spread over windows by Karmarkar-Karp differencing; the number of windows rises from the least
     possible one while one exceeds capacity.
 
-    docs should be a written table: groups follow the place of a row in its task, so a task that runs
+    place: a column with the place of each document, from 0 and without gaps.  With it each group_docs places in turn are a
+    group, and sequence_ids ascend from group to group, so sequences come in the order of the documents.
+
+    Without place docs should be a written table: groups follow the place of a row in its task, so a task that runs
     again must find its rows in the same order.
 
     Null and empty texts are the end id alone.  Repeated rows and doc_ids are documents of their own;
@@ -114,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
 
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    groups = max(1, -(-docs.count() // group_docs))
+    groups = 1 if place else max(1, -(-docs.count() // group_docs))
 
     def cut(batches):
         import os
@@ -145,8 +148,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
                     if n > full:
                         many = -(-(n - full) // fragment)
                         cuts += [full + (n - full) * j // many for j in range(1, many + 1)]
-                    g = zlib.crc32(b"%d:%d" % (part, row)) % groups
-                    out += [(g, (part << 32) + row, at, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:])]
+                    if place:
+                        d = piece.column(2)[at].as_py()
+                        g = d // group_docs
+                    else:
+                        d = (part << 32) + row
+                        g = zlib.crc32(b"%d:%d" % (part, row)) % groups
+                    out += [(g, d, at, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:])]
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), piece.column(0).take(pa.array(cols[2])), *(pa.array(c, pa.int64()) for c in cols[3:])], names=names)
 
@@ -172,5 +180,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
         table = table.append_column("sequence_id", pa.array((g << 32) + window)).append_column("offset", pa.array(offset))
         return table.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    pieces = docs.select("doc_id", "text").mapInArrow(cut, f"g long, d long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = docs.select("doc_id", "text", *([F.col(place).cast("long")] if place else [])).mapInArrow(cut, f"g long, d long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     return pieces.groupBy("g").applyInArrow(deal, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -119,3 +119,21 @@ def test_near_stage_with_repeated_ids(spark):
     out = corpus_pipeline.drop_near_copies(spark, df, "")
     assert out.columns == df.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(5, a + " more"), (3, b + " end"), (7, c), (0, "alone"), (9, "single")])
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """The stretches of sequences hold the documents in the order of their slots, from written files or not."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["red", "green", "blue"], k=rng.randrange(20, 300))), "abc"[i * i % 7 % 3]) for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    slots = {r["doc_id"]: r["slot"] for r in mixing.mix(docs).collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    for given in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        groups = defaultdict(set)
+        for r in corpus_pipeline.pack_sequences(spark, given, "").select("doc_id", "sequence_id").collect():
+            groups[r["sequence_id"] >> 32].add(r["doc_id"])
+        of = [sorted(slots[i] for i in groups[g]) for g in sorted(groups)]
+        assert [len(x) for x in of] == [256] * 4 + [76] and of[0][0] < of[-1][-1]
+        assert all(a[-1] <= b[0] for a, b in zip(of, of[1:]))
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), "").count() == 0
