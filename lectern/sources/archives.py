@@ -17,13 +17,24 @@ class _Share(InputPartition):
         self.path, self.number, self.of = path, number, of
 
 
+def _listed(store, path: str, size: int) -> int:
+    """Bytes of an archive's list of members by the record at its end; 1 if no record is there."""
+    with store.open_input_file(path) as file:
+        file.seek(max(0, size - 22))
+        end = file.read(22)
+    return max(1, int.from_bytes(end[12:16], "little")) if end[:4] == b"PK\5\6" else 1
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.name = options["path"], options.get("member")
         self.share = int(options.get("sharebytes", 64 << 20))
 
     def partitions(self) -> list[_Share]:
-        """Only names and sizes of archives are listed here; their members are not."""
+        """Only names and sizes of archives are listed here, and of those to share out the size of their list of members.
+
+        Each share reads the whole list, so an archive has no more shares than keep all these reads within four times its size.
+        """
         from pyarrow import fs
 
         store, where = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
@@ -31,7 +42,7 @@ class _Reader(DataSourceReader):
         files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(where, recursive=True))
         prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
         archives = sorted((f.path, f.size) for f in files if f.type == fs.FileType.File and f.path.lower().endswith(".zip"))
-        shares = [(prefix + path, max(1, -(-size // self.share))) for path, size in archives]
+        shares = [(prefix + path, max(1, min(-(-size // self.share), 4 * size // _listed(store, path, size)) if size > self.share else 1)) for path, size in archives]
         return [_Share(path, k, n) for path, n in shares for k in range(n)] or [_Share("", 0, 1)]
 
     def read(self, partition: _Share) -> Iterator[tuple]:
@@ -79,7 +90,7 @@ class ZipMembers(DataSource):
 def zip_members(spark: SparkSession, path: str, member: str | None = None, share_bytes: int = 64 << 20) -> DataFrame:
     """(archive, member, size, content, problem) of all members, or of those of one name.
 
-    An archive of more than share_bytes is read by several tasks, each some of its members.  A member whose size or sum is wrong, and a file
+    An archive of more than share_bytes is read by several tasks, each some of its members; by few if it has many small ones.  A member whose size or sum is wrong, and a file
     that is no archive, is a row without content that names the problem; nothing is dropped.  path must be one that all executors reach.
     """
     spark.dataSource.register(ZipMembers)

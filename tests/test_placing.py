@@ -128,3 +128,15 @@ def test_label_points_computes_equal_shapes_once(spark):
         spatial.geo.label_point = find
     assert got == {i: ((i % 3 + 1) / 2,) * 2 if i < 60 else None for i in range(63)}
     assert made.value == 5
+
+
+def test_archives_of_small_members_have_few_shares(spark, tmp_path):
+    """Every share reads the list of all members, so with a share for each few bytes that work would grow with the square."""
+    for n in (500, 4000):
+        (tmp_path / str(n)).mkdir()
+        with zipfile.ZipFile(tmp_path / str(n) / "a.zip", "w") as z:
+            for k in range(n):
+                z.writestr(f"m{k}", str(k))
+        found = archives.zip_members(spark, str(tmp_path / str(n)), share_bytes=4096)
+        assert 1 < found.rdd.getNumPartitions() <= 16
+        assert {(r["member"], bytes(r["content"])) for r in found.collect()} == {(f"m{k}", str(k).encode()) for k in range(n)}
