@@ -44,15 +44,20 @@ def numbers_listed(text: Column, most: int = 8674, widest: int = 12) -> Column:
 
 def verses_named(span: Column) -> Column:
     """array<struct<chapter,verse>> of ``18:1``, ``10:4-5`` (each verse) or ``25:19-26:1`` (both ends); null for other text."""
-    part = lambda pattern, k: F.nullif(F.regexp_extract(span, pattern, k), F.lit("")).cast("int")
     point = lambda c, v: F.struct(c.alias("chapter"), v.alias("verse"))
-    one, some, two = "^(\\d{1,9}):(\\d{1,9})$", "^(\\d{1,9}):(\\d{1,9})-(\\d{1,9})$", "^(\\d{1,9}):(\\d{1,9})-(\\d{1,9}):(\\d{1,9})$"
-    first, last = part(some, 2), part(some, 3)
-    return (
-        F.when(span.rlike(one), F.array(point(part(one, 1), part(one, 2))))
-        .when(span.rlike(some) & (last >= first), F.transform(F.sequence(first, F.greatest(first, last)), lambda v: point(part(some, 1), v)))
-        .when(span.rlike(two), F.array(point(part(two, 1), part(two, 2)), point(part(two, 3), part(two, 4))))
-    )
+    shape = "^\\d{1,9}:\\d{1,9}(-\\d{1,9}(:\\d{1,9})?)?$"
+    numbers = F.when(span.rlike(shape), F.split(span, "[:-]").cast("array<int>"))
+
+    def named(n: Column) -> Column:
+        at = lambda k: F.get(n, F.lit(k))
+        return (
+            F.when(F.size(n) == 2, F.array(point(at(0), at(1))))
+            .when((F.size(n) == 3) & (at(2) >= at(1)), F.transform(F.sequence(at(1), F.greatest(at(1), at(2))), lambda v: point(at(0), v)))
+            .when(F.size(n) == 4, F.array(point(at(0), at(1)), point(at(2), at(3))))
+        )
+
+    # an array of one binds the numbers, which are then read once a text and not once a verse
+    return F.get(F.transform(F.array(numbers), named), F.lit(0))
 
 
 def verse_span(verses: Column) -> Column:

@@ -187,3 +187,13 @@ def test_links(spark):
     assert [tuple(r) for r in aggregates.strongest(links, "a", "b", "votes").collect()] == [(1, 2, 7)]
     got = aggregates.accounted(links, low=F.col("votes") <= 0, self=F.col("a") == F.col("b")).first()
     assert tuple(got) == (5, 2, 1, 2)
+
+
+def test_verses_named_reads_a_text_once(spark):
+    from lectern.functions import codes
+
+    texts = ["18:1", "10:4-6", "25:19-26:1", "10:6-4", "1:2-2", "1:2:3", "x", "", None, "1:2-", "1234567890:1", "1:2-3:4:5", "7:1\n", "-1:2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(codes.verses_named(F.col("t")).alias("v"))
+    got = [r["v"] and [tuple(v) for v in r["v"]] for r in rows.collect()]
+    assert got == [[(18, 1)], [(10, 4), (10, 5), (10, 6)], [(25, 19), (26, 1)], None, [(1, 2)], None, None, None, None, None, None, None, [(7, 1)], None]
+    assert "regexp_extract" not in rows._jdf.queryExecution().optimizedPlan().toString()
