@@ -12,7 +12,7 @@ from lectern.functions import text as tx
 TERM = r"[\p{L}\p{N}]+"
 #: What may stand between the words of a phrase is blanks and punctuation; anything else cuts a text into stretches.
 BREAK = r"[^\p{L}\p{N}\s\p{P}]+"
-SCHEMA = "term string, key {key}, positions array<bigint>, lead string"
+SCHEMA = "term string, key {key}, positions array<int>, lead string"
 
 
 def lead(term: Column) -> Column:
@@ -22,21 +22,30 @@ def lead(term: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, positions) of the lower-case words of each document; neighbours in a stretch have positions one apart."""
-    stretches = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(F.lower(text), BREAK, -1)).alias("s", "part"))
-    words = stretches.select("key", "s", F.posexplode(F.regexp_extract_all("part", F.lit(TERM), F.lit(0))).alias("i", "term"))
-    place = F.shiftleft(F.col("s").cast("long"), 32) + F.col("i")
-    return words.groupBy("term", "key").agg(F.array_sort(F.collect_list(place)).alias("positions"))
+    """(term, key, positions) of the lower-case words of each row; neighbours in a stretch have positions one apart.
+
+    What cuts a text takes a position of its own.  The words of a row are sorted and grouped inside the row,
+    so nothing is shuffled and a word is never a row by itself.
+    """
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"{TERM}|{BREAK}"), F.lit(0)), lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.sort_array(found).alias("w"))
+    first = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("w", i)["term"] != F.get("w", i - 1)["term"]))
+    group = lambda i, k: F.struct(F.get("w", i)["term"].alias("term"), F.slice("w", i + 1, F.coalesce(F.get("first", k + 1), F.size("w")) - i)["at"].alias("positions"))
+    groups = words.select("key", "w", first.alias("first")).select("key", F.explode(F.transform("first", group)).alias("g"))
+    return groups.select("g.term", "key", "g.positions").where(F.col("term").rlike(r"^[\p{L}\p{N}]"))
 
 
-def write_index(docs: DataFrame, path: str, key: str, text: str) -> None:
-    """Write the postings in folders by the first character, sorted by term and key in them.
+def write_index(docs: DataFrame, path: str, key: str, text: str, salts: int = 16) -> None:
+    """Write the postings in folders by the first character, sorted by term and key in each file.
 
-    Ranges of (term, key) go to tasks, so a term that most documents hold is cut into many files, and
-    the terms of a file are few enough for its statistics to rule it out.  Rows that repeat a key add up.
+    A term's documents go to as many tasks as salts at most, so one that most documents hold is cut into several files,
+    and statistics rule out the row groups of other terms.  Rows that repeat a key add up.
     """
-    found = postings(docs, key, text).withColumn("lead", lead(F.col("term")))
-    found.repartitionByRange("lead", "term", "key").sortWithinPartitions("lead", "term", "key").write.partitionBy("lead").parquet(path)
+    found = postings(docs, key, text)
+    if not docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty():
+        found = found.groupBy("term", "key").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    dealt = found.repartition("term", F.pmod(F.xxhash64("key"), F.lit(salts))).withColumn("lead", lead(F.col("term")))
+    dealt.sortWithinPartitions("lead", "term", "key").write.partitionBy("lead").parquet(path)
 
 
 def _shifted(positions: Column, by: int) -> Column:

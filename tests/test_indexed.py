@@ -143,3 +143,16 @@ def test_pairs_one_edit_apart_are_not_broadcast(spark, tmp_path):
     found = fuzzy.one_edit_pairs(spark.read.parquet(f"{tmp_path}/rows"), "id", "w", "g")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2]
+
+
+def test_words_are_grouped_inside_their_row(spark, tmp_path):
+    """A word by itself is never a row, so nothing but whole postings is sorted and shuffled, once."""
+    df = spark.createDataFrame([(1, "b a + a b b"), (2, None), (3, " ++ "), (None, "a")], "k int, t string").repartition(2)
+    df.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = postings.postings(docs, "k", "t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["term"], r["key"], r["positions"]) for r in found.collect()) == [("a", 1, [1, 3]), ("b", 1, [0, 4, 5])]
+    postings.write_index(docs, f"{tmp_path}/index", "k", "t")
+    words = postings.WordIndex(spark, f"{tmp_path}/index", "int")
+    assert [words.phrase(p).count() for p in ("b a", "a a", "a b b", "b a b")] == [1, 0, 1, 0]
