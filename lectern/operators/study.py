@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 def senses(rows: DataFrame, base: str, id: str, wanted: DataFrame) -> DataFrame:
     """(wanted, id, place): all rows of the wanted id's base, the wanted one first, then by id.
 
-    wanted is a table of (wanted, base).
+    wanted is a table of (wanted, base), a wanted id once.  The pairs are as many as the result asks for; they are made last, so
+    none of them is sorted or shuffled.
     """
-    met = wanted.join(rows.withColumnRenamed(base, "_base"), F.col("base") == F.col("_base"))
-    w = Window.partitionBy("wanted").orderBy(F.when(F.col(id) == F.col("wanted"), 0).otherwise(1), id)
-    return met.select("wanted", id, F.row_number().over(w).alias("place"))
+    # rows are numbered once a base; a pair's place follows from the row's number and how many rows have the wanted id
+    w = Window.partitionBy("_base").orderBy(id)
+    same = F.row_number().over(Window.partitionBy("_base", id).orderBy(id))
+    placed = rows.withColumnRenamed(base, "_base").where("_base IS NOT NULL").select("_base", id, F.row_number().over(w).alias("_n"), same.alias("_k"))
+    held = placed.groupBy("_base", F.col(id).alias("_id")).agg(F.count("*").alias("_held"))
+    asked = wanted.join(held, (F.col("base") == F.col("_base")) & (F.col("wanted") == F.col("_id")), "left").select("wanted", "base", F.coalesce("_held", F.lit(0)).alias("_held"))
+    met = asked.join(placed, F.col("base") == F.col("_base"))
+    before = F.col(id).isNull() | (F.col(id) < F.col("wanted"))
+    place = F.when(F.col(id) == F.col("wanted"), F.col("_k")).when(before, F.col("_n") + F.col("_held")).otherwise(F.col("_n"))
+    return met.select("wanted", id, place.cast("int").alias("place"))
 
 
 def single_period(points: DataFrame, key: str, at: str, periods: DataFrame, name: str, low: str, high: str) -> DataFrame:

@@ -53,3 +53,17 @@ def test_alignment_uses_each_word_once():
             assert m is None or (m[1] == "same") <= (a[m[0]] == word) and (m[1] != "similar" or sequences.similar(a[m[0]], word))
         want = max((len(x) for x in [sequences.in_order(a, b, lambda x, y: x == y)]), default=0)
         assert len(sequences.common(a, b)) == want
+
+
+def test_senses_are_placed_before_they_are_paired(spark):
+    rows = [(1, 7), (2, 7), (2, 7), (5, 7), (None, 7), (3, 8), (4, None), (6, 8)]
+    wanted = [(2, 7), (5, 7), (9, 7), (3, 8), (4, None), (8, 99)]
+    found = study.senses(spark.createDataFrame(rows, "id int, number int"), "number", "id", spark.createDataFrame(wanted, "wanted int, base int"))
+    got = sorted((r["wanted"], r["place"], r["id"]) for r in found.collect())
+    want = []
+    for w, base in wanted:
+        own = sorted((i for i, n in rows if n == base and base is not None), key=lambda i: (i != w, i is not None, i or 0))
+        want += [(w, k + 1, i) for k, i in enumerate(own)]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Window") and plan.index("Join") < plan.index("Sort ")
