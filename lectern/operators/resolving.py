@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: So many rows of a batch are Python objects at a time.
+ROWS = 50
+
+
 def alias_targets(records: DataFrame, key: str, link: str, most: int = 5) -> DataFrame:
     """(key, target, steps, status): where each record's chain of links ends.
 
@@ -116,7 +121,7 @@ def paired(segments: list | None, words: list | None, kin: dict | None = None) -
     before, alike, at, out = {}, {}, 0, []
 
     def free(numbers):
-        places = sorted({i for n in numbers for i in carrying.get(n, ())} - taken)
+        places = carrying.get(numbers[0], []) if len(numbers) == 1 else sorted({i for n in numbers for i in carrying.get(n, ())})
         return places[bisect_left(places, at) % len(places)] if places else None
 
     for segment in segments or []:
@@ -130,6 +135,8 @@ def paired(segments: list | None, words: list | None, kin: dict | None = None) -
             if place not in taken:
                 taken.add(place)
                 at = place + 1
+                for other in set(words[place]):
+                    del carrying[other][bisect_left(carrying[other], place)]
         if numbers:
             before = mine
         if mine:
@@ -140,4 +147,11 @@ def paired(segments: list | None, words: list | None, kin: dict | None = None) -
 
 def segment_words(segments: Column, words: Column, kin: dict | None = None) -> Column:
     """array<array<int>>: ``paired`` for each row; kin is a small fixed table of kindred numbers."""
-    return F.udf(lambda s, w: paired(s, w, kin), "array<array<int>>", useArrow=True)(segments, words)
+    kind = pa.list_(pa.list_(pa.int32()))
+
+    @F.arrow_udf("array<array<int>>")
+    def places(s: pa.Array, w: pa.Array) -> pa.Array:
+        few = lambda k: zip(s.slice(k, ROWS).to_pylist(), w.slice(k, ROWS).to_pylist())
+        return pa.concat_arrays([pa.array([paired(*row, kin) for row in few(k)], kind) for k in range(0, len(s), ROWS)] or [pa.array([], kind)])
+
+    return places(segments, words)

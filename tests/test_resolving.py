@@ -62,3 +62,52 @@ def test_places(spark):
     got = {r["id"]: r for r in resolving.located(spark.createDataFrame(rows, schema), spark.createDataFrame([], "basis string, custom_lonlat string")).collect()}
     assert (got["far"]["lon"], got["far"]["lat"], got["far"]["score"], got["far"]["custom"]) == (35.5, 31.7, 1000, False)
     assert [got[k]["reason"] for k in ("far", "none", "odd", "lost")] == [None, "no identification", "bad coordinates", "not a place"]
+
+
+def test_words_of_many_copies_are_paired_in_order():
+    """The free words of a number are not listed anew for each segment."""
+    import random
+    import time
+
+    def plain(segments, words, kin):
+        taken, before, alike, at, out = set(), {}, {}, 0, []
+        for s in segments:
+            mine = {}
+            for n in s["numbers"]:
+                def free(numbers):
+                    places = [i for i, own in enumerate(words) if i not in taken and set(own) & set(numbers)]
+                    return next((p for p in places if p >= at), places[0] if places else None)
+
+                tries = [before.get(n) if s["again"] else None, free([n]), free(kin.get(n, ())), alike.get(tuple(s["numbers"]), {}).get(n)]
+                place = next((p for p in tries if p is not None), None)
+                if place is not None:
+                    mine[n] = place
+                    if place not in taken:
+                        taken.add(place)
+                        at = place + 1
+            if s["numbers"]:
+                before = mine
+            if mine:
+                alike[tuple(s["numbers"])] = mine
+            out.append(sorted(set(mine.values())))
+        return out
+
+    rng = random.Random(4)
+    kin = {"a": ["b"], "b": ["c", "d"]}
+    for _ in range(200):
+        draw = lambda most: [rng.choice("abcde") for _ in range(rng.randrange(most))]
+        segments = [{"numbers": draw(4), "again": rng.random() < 0.2} for _ in range(rng.randrange(12))]
+        words = [draw(4) for _ in range(rng.randrange(12))]
+        assert resolving.paired(segments, words, kin) == plain(segments, words, kin)
+    began = time.time()
+    many = [{"numbers": ["a"], "again": False}] * 20_000
+    assert resolving.paired(many, [["a"]] * 20_000) == [[i] for i in range(20_000)]
+    assert time.time() - began < 5
+
+
+def test_segments_of_a_batch_are_objects_a_few_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(2 * resolving.ROWS + 7).coalesce(1).select("id", F.array(F.struct(F.array(F.lit("a")).alias("numbers"), F.lit(False).alias("again"))).alias("s"), F.array(F.array((F.when(F.col("id") % 2 == 0, "a").otherwise("b")))).alias("w"))
+    got = {r["id"]: r["p"] for r in df.select("id", resolving.segment_words(F.col("s"), F.when(F.col("id") > 0, F.col("w"))).alias("p")).collect()}
+    assert got == {i: [[0]] if i and i % 2 == 0 else [[]] for i in range(2 * resolving.ROWS + 7)}
