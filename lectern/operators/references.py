@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,16 @@ def books(spark: SparkSession, rows: list[tuple[str, int, list[str]]]) -> DataFr
     return given.withColumn("names", F.transform("names", refs.book_key))
 
 
-def chapter_table(counts: DataFrame) -> DataFrame:
+def chapter_table(counts: DataFrame, ranges: int = 256) -> DataFrame:
     """(book, book_index, chapter, n_verses, start_ord, end_ord) from (book, book_index, chapter, n_verses).
 
-    Ordinals run over the totals of books first and within a book then, so no task needs all chapters.
+    Ordinals run over the totals of ranges of books first and within a range then, so no task needs all chapters, nor all
+    books: the ranges are at most ``ranges``, by quantiles of the books.
     """
-    placed = running_total(counts.withColumn("_order", F.struct("book_index", "chapter")), "_order", "n_verses", F.col("book_index"), "start_ord")
+    at = counts.where("book_index IS NOT NULL").withColumn("_at", F.col("book_index").cast("double"))
+    cuts = sorted(set(at.approxQuantile("_at", [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
+    at = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="_range").transform(at) if cuts else at.withColumn("_range", F.lit(0.0))
+    placed = running_total(at.drop("_at").withColumn("_order", F.struct("book_index", "chapter")), "_order", "n_verses", F.col("_range"), "start_ord").drop("_range")
     return placed.withColumn("end_ord", F.col("start_ord") + F.col("n_verses") - 1).drop("_order")
 
 
@@ -171,6 +178,7 @@ def kin(people: DataFrame) -> DataFrame:
     """(person, relative, kind): parents, children, partners, siblings and grandparents from a table of
     id, father, mother, partners; nobody is kin of themselves, and nearer kinds win."""
     parents = people.select(F.col("id").alias("person"), F.explode(F.array("father", "mother")).alias("relative")).where("relative is not null")
+    parents = parents.hint("merge")  # a row has several relatives, of which an estimate by file size knows nothing
     children = parents.select(F.col("relative").alias("person"), F.col("person").alias("relative"))
     partners = people.select(F.col("id").alias("person"), F.explode("partners").alias("relative"))
     siblings = parents.select("person", F.col("relative").alias("_p")).join(children.select(F.col("person").alias("_p"), "relative"), "_p").select("person", "relative")
@@ -178,9 +186,11 @@ def kin(people: DataFrame) -> DataFrame:
     kinds = [("parent", parents), ("child", children), ("partner", partners), ("sibling", siblings), ("grandparent", grand)]
     rows = None
     for rank, (kind, df) in enumerate(kinds):
-        one = df.select("person", "relative", F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind")).alias("k"))
+        one = df.select("person", "relative", F.lit(rank).alias("rank"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.where("person <> relative").groupBy("person", "relative").agg(F.min("k").alias("k")).select("person", "relative", "k.kind")
+    # dealt before they are grouped: few pairs are repeated, so grouping them where they were read would only fill that task's memory
+    nearest = rows.where("person <> relative").repartition("person", "relative").groupBy("person", "relative").agg(F.min("rank").alias("rank"))
+    return nearest.select("person", "relative", F.get(F.array(*[F.lit(kind) for kind, _ in kinds]), F.col("rank")).alias("kind"))
 
 
 def from_dotted(df: DataFrame, column: str, codes: dict[str, str], verses: DataFrame) -> DataFrame:

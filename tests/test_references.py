@@ -62,3 +62,28 @@ def test_kin(spark):
     people = spark.createDataFrame([("a", None, None, ["b"]), ("c", "a", "b", []), ("d", "a", "b", []), ("e", "c", None, ["e"])], "id string, father string, mother string, partners array<string>")
     got = {(r["person"], r["relative"]): r["kind"] for r in references.kin(people).collect()}
     assert got == {("a", "b"): "partner", ("c", "a"): "parent", ("c", "b"): "parent", ("d", "a"): "parent", ("d", "b"): "parent", ("a", "c"): "child", ("a", "d"): "child", ("b", "c"): "child", ("b", "d"): "child", ("c", "d"): "sibling", ("d", "c"): "sibling", ("e", "c"): "parent", ("c", "e"): "child", ("e", "a"): "grandparent", ("e", "b"): "grandparent"}
+
+
+def test_kin_is_dealt_before_it_is_grouped(spark, tmp_path):
+    """Few pairs are repeated: grouping or broadcasting them before they are dealt fills the memory of one task."""
+    spark.createDataFrame([(i, i // 4 or None, None, [i + 1 - i % 2 * 2]) for i in range(1, 200)], "id long, father long, mother long, partners array<long>").write.parquet(f"{tmp_path}/people")
+    found = references.kin(spark.read.parquet(f"{tmp_path}/people"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortAggregate" not in plan
+    assert plan.rindex("HashAggregate") < plan.index("Exchange")
+    got = {(r["person"], r["relative"]): r["kind"] for r in found.collect()}
+    assert got[20, 5] == "parent" and got[5, 20] == "child" and got[20, 21] == "partner" and got[20, 22] == "sibling" and got[20, 1] == "grandparent" and len(got) == found.count()
+
+
+def test_ordinals_of_many_books_are_summed_by_ranges(spark, monkeypatch):
+    rows = [(f"b{b}", b, c, 1 + (b * 7 + c) % 5) for b in [*range(0, 600, 3), 10**12] for c in range(1, 4)]
+    counts = spark.createDataFrame(rows, "book string, book_index long, chapter int, n_verses int").repartition(3)
+    seen, total = [], references.running_total
+    monkeypatch.setattr(references, "running_total", lambda df, order, value, bucket, out: seen.append(df.select(bucket.alias("b")).distinct().count()) or total(df, order, value, bucket, out))
+    got = {(r["book_index"], r["chapter"]): (r["start_ord"], r["end_ord"]) for r in references.chapter_table(counts, ranges=7).collect()}
+    at, want = 0, {}
+    for _, b, c, n in rows:
+        want[b, c] = at, at + n - 1
+        at += n
+    assert got == want and 3 <= seen[0] <= 8
+    assert references.chapter_table(counts.limit(0)).count() == 0
