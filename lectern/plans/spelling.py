@@ -15,8 +15,9 @@ _SOME = "(SELECT p_partkey, p_partkey % 3 AS a, p_partkey % 5 AS b, p_partkey %
 
 
 def _some(spark, d):
+    """Parts dealt to all cores, however few splits their file has: what is done with a row here takes much longer than to move it."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").select("p_partkey", (k % 3).alias("a"), (k % 5).alias("b"), (k % 7).alias("c"), F.split("p_name", " ")[0].alias("w"), "p_name")
+    return table(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", (k % 3).alias("a"), (k % 5).alias("b"), (k % 7).alias("c"), F.split("p_name", " ")[0].alias("w"), "p_name")
 
 
 def _pick(number: str, *of: str) -> Column:

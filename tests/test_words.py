@@ -55,3 +55,13 @@ def test_markup(spark):
 def test_lexicon(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a")], "pos int, base string")
     assert {r["pos"]: r["id"] for r in lexicon.numbered_ids(rows, "base", "pos").collect()} == {1: "a", 2: "a-3", 3: "a-2", 4: "a-4"}
+
+
+def test_parts_are_dealt_to_all_cores(spark):
+    """The file of parts is one split, and each row takes long."""
+    from lectern.plans import spelling
+    from lectern.plans.catalog import QUERIES
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert spelling._some(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks
+    assert QUERIES["tags_moved"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks
