@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,144 @@ def points_in_rings(points: DataFrame, rings: DataFrame, x: str = "x", y: str =
     return boxes_meeting(spots, areas, salts).where(geo.in_ring(F.col(x), F.col(y), F.col(ring)))
 
 
+def _expanded(starts, lengths, block: int = 1 << 20):
+    """Blocks of (index, place) of the places starts[i] to starts[i] + lengths[i]."""
+    import numpy as np
+
+    ends = np.cumsum(lengths)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, block):
+        flat = np.arange(a, min(a + block, int(ends[-1])))
+        i = np.searchsorted(ends, flat, "right")
+        yield i, starts[i] + flat - (ends[i] - lengths[i])
+
+
+def _sums_in_tile(spots, areas):
+    """Arrow table of (key, n, total): what the points of a tile (x, y, n, v) add up to in each ring (key, ring).
+
+    Points lie in bands of y, sorted by x.  Inside a band only points level with an edge are tested one by one; no edge comes between
+    those from one such stretch to the next, so the first of them is tested for all, and running sums tell the rest.  Tests
+    and ends of stretches use the arithmetic of geo.in_ring, whose crossing never turns back as y rises.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kept = areas["ring"].combine_chunks()
+    size, corners = np.asarray(kept.value_lengths()), kept.flatten()
+    px, py = (np.asarray(corners.field(c)) for c in ("x", "y"))
+    x, y, n, v = (np.asarray(spots[c].combine_chunks()) for c in ("x", "y", "n", "v"))
+    many, rings = len(x), len(size)
+    out_n, out_v = np.zeros(rings, np.int64), np.zeros(rings)
+    bands = max(1, math.isqrt(many))
+    band = np.empty(many, np.int64)
+    band[np.argsort(y, kind="stable")] = np.arange(many) * bands // many
+    order = np.lexsort((x, band))
+    x, y, n, v, band = x[order], y[order], n[order], v[order], band[order]
+    begin = np.searchsorted(band, np.arange(bands))
+    low, high = np.minimum.reduceat(y, begin), np.maximum.reduceat(y, begin)
+    xs = np.sort(x)
+    places = band * (many + 1) + np.searchsorted(xs, x)
+    sum_n, sum_v = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(v, dtype=np.longdouble)])
+    first = np.cumsum(size) - size
+    of = np.repeat(np.arange(rings), size)
+    after = np.arange(len(px)) + 1
+    after[first + size - 1] = first
+    qx, qy = px[after], py[after]
+    rise = np.where(qy != py, qy - py, 1.0)
+    bottom, top = np.minimum(py, qy), np.maximum(py, qy)
+    from_band = np.searchsorted(high, bottom)
+    n_bands = np.maximum(np.searchsorted(low, top, "right") - from_band, 0)
+    crossing = lambda e, at: (qx[e] - px[e]) * (at - py[e]) / rise[e] + px[e]
+
+    def add(ring, start, end):
+        """Add the runs of points from start to end to their rings if their first point is inside."""
+        inside = np.zeros(len(ring), bool)
+        at_x, at_y = x[start], y[start]
+        for k in range(int(size[ring].max()) if len(ring) else 0):
+            e = first[ring] + np.minimum(k, size[ring] - 1)
+            inside ^= (k < size[ring]) & ((py[e] > at_y) != (qy[e] > at_y)) & (at_x < crossing(e, at_y))
+        ring, start, end = ring[inside], start[inside], end[inside]
+        np.add.at(out_n, ring, sum_n[end] - sum_n[start])
+        np.add.at(out_v, ring, (sum_v[end] - sum_v[start]).astype(float))
+
+    load = np.add.reduceat(n_bands, first) if rings else n_bands
+    share = np.cumsum(load) // (1 << 19)
+    for some in np.split(np.arange(rings), np.flatnonzero(np.diff(share)) + 1):
+        if not len(some):
+            continue
+        edges = np.arange(first[some[0]], first[some[-1]] + size[some[-1]])
+        e = np.repeat(edges, n_bands[edges])
+        if not len(e):
+            continue
+        b = from_band[e] + np.arange(len(e)) - np.repeat(np.cumsum(n_bands[edges]) - n_bands[edges], n_bands[edges])
+        one, two = crossing(e, np.maximum(low[b], bottom[e])), crossing(e, np.minimum(high[b], top[e]))
+        left, right = np.minimum(one, two), np.maximum(one, two)
+        for cx, cy in ((px[e], py[e]), (qx[e], qy[e])):
+            held = (low[b] <= cy) & (cy <= high[b])
+            left, right = np.where(held, np.minimum(left, cx), left), np.where(held, np.maximum(right, cx), right)
+        start = np.searchsorted(places, b * (many + 1) + np.searchsorted(xs, left))
+        end = np.searchsorted(places, b * (many + 1) + np.searchsorted(xs, right, "right"))
+        group = (of[e] - some[0]) * bands + b
+        order = np.argsort(group * (many + 1) + start)
+        group, ring, start, end = group[order], of[e][order], start[order], end[order]
+        reach = np.maximum.accumulate(group * (many + 1) + end)
+        before = start.copy()
+        before[1:] = np.where(group[1:] == group[:-1], reach[:-1] - group[1:] * (many + 1), start[1:])
+        gap = before < start
+        add(ring[gap], before[gap], start[gap])
+        level = np.maximum(start, before)
+        for i, place in _expanded(level, np.maximum(end - level, 0)):
+            add(ring[i], place, place + 1)
+    met = out_n > 0
+    return pa.table({"key": areas["key"].combine_chunks().filter(pa.array(met)), "n": out_n[met], "total": out_v[met]})
+
+
+def _ordinary(v: Column) -> Column:
+    return F.coalesce(F.abs(v) < 1e150, F.lit(False))
+
+
+def sums_in_rings(points: DataFrame, rings: DataFrame, key: str, value: str, x: str = "x", y: str = "y", ring: str = "ring", most: int = 1 << 17, shared: int = 1 << 15) -> DataFrame:
+    """(key, n, total): how many points each ring holds by the even-odd rule, and the sum of their column value, without a row for each pair.
+
+    Rings that hold none have no row.  Equal points count as one with its number.  Points lie in strips of x with about ``most`` of them, strips with twice as many
+    are dealt again; a strip goes, once for each ``shared`` rings that touch it, to tasks that count as _sums_in_tile does.
+    Rings with a corner that is null or not finite meet the points one by one.
+    """
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    all_spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("v"))
+    spots = all_spots.where(_ordinary(F.col("x")) & _ordinary(F.col("y"))).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "n", F.coalesce("v", F.lit(0.0)).alias("v"))
+    fine = F.coalesce(F.forall(ring, lambda p: _ordinary(p["x"]) & _ordinary(p["y"])), F.lit(False))
+    areas = rings.where(F.size(ring) >= 3).select(F.col(key).alias("key"), F.col(ring).cast("array<struct<x:double,y:double>>").alias("ring"), fine.alias("fine"))
+
+    strips = math.ceil(spots.count() / most)
+    cuts = sorted(set(spots.approxQuantile("x", [i / strips for i in range(1, strips)], 0.1 / strips))) if strips > 1 else []
+    known = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    strip = lambda v: F.size(F.filter(known, lambda c: c <= v))
+    box = geo.bounds(F.col("ring"))
+    areas_met = areas.where("fine").select("key", "ring", F.explode(F.sequence(strip(box["x0"]), strip(box["x1"]))).alias("strip"))
+    spots = spots.withColumn("strip", strip(F.col("x")))
+    parts = {s: math.ceil(c / (2 * most)) for s, c in spots.groupBy("strip").count().collect()}  # a row a strip
+    asked = dict(areas_met.groupBy("strip").count().collect())
+    shared = min(shared, max(1 << 11, sum(asked.values()) // (4 * cores)))
+    per_strip = lambda number: F.element_at(F.array(*[F.lit(max(1, number(s))) for s in range(len(cuts) + 1)]), F.col("strip") + 1)
+    n_parts, n_shares = per_strip(lambda s: parts.get(s, 1)), per_strip(lambda s: math.ceil(asked.get(s, 0) / shared))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = spots.select("x", "y", "n", "v", "strip", F.pmod(F.xxhash64("x", "y"), n_parts).cast("int").alias("part"), upto(n_shares).alias("share"))
+    b = areas_met.select("key", "ring", "strip", upto(n_parts).alias("part"), F.pmod(F.xxhash64("ring"), n_shares).cast("int").alias("share"))
+    tile = ["strip", "part", "share"]
+    tasks = max(cores, min(32 * cores, sum(parts.get(s, 1) * math.ceil(c / shared) for s, c in asked.items())))
+    kind = areas.schema["key"].dataType.simpleString()
+    empty = f"key {kind}, n long, total double"
+    tiled = a.repartition(tasks, *tile).groupBy(*tile).cogroup(b.repartition(tasks, *tile).groupBy(*tile)).applyInArrow(lambda p, r: _sums_in_tile(p, r) if len(p) and len(r) else _no_sums(r), empty)
+    odd = all_spots.join(areas.where("NOT fine"), geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("total"))
+    return tiled.unionByName(odd).groupBy(F.col("key").alias(key)).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def _no_sums(areas):
+    import pyarrow as pa
+
+    return pa.table({"key": areas["key"].slice(0, 0), "n": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+
+
 def _side(p: Column, q: Column, x: Column, y: Column) -> Column:
     return F.signum((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]))
 

@@ -31,7 +31,7 @@ def _shapes(spark, d):
 def points_on_rings(spark, d):
     """How many points of all lie inside each ring."""
     points, rings = _shapes(spark, d)
-    return spatial.points_in_rings(points, rings).groupBy("vec_id").agg(F.count("*").alias("points"), F.round(F.sum("x"), 6).alias("sum_x"))
+    return spatial.sums_in_rings(points, rings, "vec_id", "x").select("vec_id", F.col("n").alias("points"), F.round("total", 6).alias("sum_x"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT vec_id, {_RING_SQL} AS r FROM v),

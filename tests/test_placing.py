@@ -140,3 +140,18 @@ def test_archives_of_small_members_have_few_shares(spark, tmp_path):
         found = archives.zip_members(spark, str(tmp_path / str(n)), share_bytes=4096)
         assert 1 < found.rdd.getNumPartitions() <= 16
         assert {(r["member"], bytes(r["content"])) for r in found.collect()} == {(f"m{k}", str(k).encode()) for k in range(n)}
+
+
+def test_sums_in_rings_equal_all_pairs(spark):
+    """Over strips, parts of strips and shares of rings, with copies of points, flat edges, corners on points and odd coordinates."""
+    points, rings = shapes(4)
+    points += [(1000 + i, float(i % 7), float(i % 5)) for i in range(200)] + [(2000, float("nan"), 0.0), (2001, 0.0, float("inf"))]
+    rings += [(200 + i, [(float(i), 0.0), (float(i + 4), 0.0), (float(i + 4), 3.0), (float(i), float(3 - i % 2))]) for i in range(5)] + [(300, [(0.0, 0.0), (9.0, float("nan")), (9.0, 9.0)]), (301, [(0.0, 0.0), (None, 4.0), (9.0, 9.0), (0.0, 9.0)])]
+    p, r = tables(spark, points, rings)
+    pairs = p.where("x IS NOT NULL AND y IS NOT NULL").crossJoin(r.where("size(ring) >= 3")).where(spatial.geo.in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    want = {row["k"]: (row["n"], row["total"]) for row in pairs.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("id"), 6).cast("double").alias("total")).collect()}
+    assert {300, 301} <= set(want) and len(want) > 20
+    for most, shared in ((1 << 17, 1 << 15), (40, 7), (5, 1000)):
+        got = {row["k"]: (row["n"], row["total"]) for row in spatial.sums_in_rings(p, r, "k", "id", most=most, shared=shared).collect()}
+        assert got == want
+    assert spatial.sums_in_rings(p.limit(0), r, "k", "id").count() == 0 and spatial.sums_in_rings(p, r.limit(0), "k", "id").count() == 0
