@@ -17,14 +17,26 @@ def reading(text: Column, books: dict[str, str]) -> Column:
     else a verse.
     """
     known = F.create_map(*[F.lit(x) for pair in books.items() for x in pair])
-    head = F.nullif(F.regexp_extract(F.trim(text), r"^([1-3]?\s?\p{L}+)[.]?\s*(?:[0-9]|$)", 1), F.lit(""))
-    rest = F.substring(F.trim(text), F.coalesce(F.length(head), F.lit(0)) + 1, F.length(text))
-    numbers = F.transform(F.regexp_extract_all(rest, F.lit("[0-9]{1,9}"), F.lit(0)), lambda n: n.cast("int"))
-    head = F.when(known[F.lower(head)].isNotNull() | (F.size(numbers) > 0), head)  # a word alone is a name only if it is known
-    first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    chapter = F.when(head.isNotNull() | second.isNotNull(), first)
-    verse = F.when(second.isNotNull(), second).when(head.isNull(), first)
-    return F.struct(head.alias("name"), known[F.lower(head)].alias("book"), chapter.alias("chapter"), verse.alias("verse"))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    # each pattern is met once a text: what a lambda is given is never computed again by those who use it
+    def numbered(text: Column, head: Column) -> Column:
+        rest = F.substring(text, F.coalesce(F.length(head), F.lit(0)) + 1, F.length(text))
+        numbers = F.transform(F.regexp_extract_all(rest, F.lit("[0-9]{1,9}"), F.lit(0)), lambda n: n.cast("int"))
+        return F.struct(head.alias("head"), known[F.lower(head)].alias("book"), numbers.alias("numbers"))
+
+    def parts(s: Column) -> Column:
+        head = F.when(s["book"].isNotNull() | (F.size(s["numbers"]) > 0), s["head"])  # a word alone is a name only if it is known
+        first, second = F.get(s["numbers"], F.lit(0)), F.get(s["numbers"], F.lit(1))
+        chapter = F.when(head.isNotNull() | second.isNotNull(), first)
+        verse = F.when(second.isNotNull(), second).when(head.isNull(), first)
+        return F.struct(head.alias("name"), s["book"].alias("book"), chapter.alias("chapter"), verse.alias("verse"))
+
+    def headed(text: Column) -> Column:
+        head = F.regexp_extract(text, r"^([1-3]?\s?\p{L}+)[.]?\s*(?:[0-9]|$)", 1)
+        return once(once(head, lambda h: numbered(text, F.nullif(h, F.lit("")))), parts)
+
+    return once(F.trim(text), headed)
 
 
 def carried(rows: DataFrame, entry: str, place: str, read: str, bucket: Column | None = None, out: str = "context") -> DataFrame:

@@ -86,3 +86,11 @@ def test_rules_need_all_their_conditions(spark):
     facts = spark.createDataFrame([(1, "g", "m", 5), (1, "g", "n", 1), (2, "g", "m", 5), (3, "h", "m", 5), (4, "g", "m", None), (4, "g", "n", 1)], "k int, grp string, measure string, value int")
     rules = spark.createDataFrame([(10, "g", "m", 1, 9), (10, "g", "n", 1, None), (11, "g", "m", None, 5), (12, "h", "m", 6, None)], "rule int, grp string, measure string, least int, most int")
     assert sorted(map(tuple, agreeing.rules_holding(facts, "k", "grp", rules).collect())) == [(1, 10), (2, 11)]
+
+
+def test_a_text_is_read_once(spark):
+    """Once where rows are scanned in order and once where buckets are summed up, however many parts of the reading are used."""
+    rows = spark.createDataFrame([("x", 1, "Alpha 2:3", None)], f"entry string, at int, text string, tag {linking.PLACE}")
+    chapters = spark.createDataFrame([("A", 2, 5)], "book string, chapter int, verses int")
+    plan = linking.linked(rows, "entry", "at", "text", "tag", BOOKS, chapters, F.expr("at div 20"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == plan.count("regexp_extract_all(") == 2
