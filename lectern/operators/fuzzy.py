@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.tables import scratch
+
 #: Up to this length, words one edit apart meet on what is left when a letter is taken out; longer ones on half of each.
 SHORT = 24
 
@@ -118,11 +120,20 @@ def resolved(keys: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFram
 def resolve_words(words: DataFrame, forms: DataFrame, near: int = 8, head: int = 3) -> DataFrame:
     """resolved() of words (id, place, word, bare, loose) against forms (key, form, bare, loose).
 
-    Only keys that no entry's first words speak for look at all words of all entries.
+    Only keys that no entry's first words speak for look at all words of all entries; of each word only its first
+    entry is kept, before the shuffle, since a key is restored to the first entry that mentions it.  What is used again and again
+    is written first, so that entries are read twice in all.
     """
-    first = words.where(F.col("place") < near)
-    found = evidence(first, forms, word_matches(first, forms), head)
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch(df.sparkSession)
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    first = written(words.where(F.col("place") < near))
+    found = written(evidence(first, forms, word_matches(first, forms), head))
     rest = forms.join(found.select("key").distinct(), "key", "left_anti")
-    strong = word_matches(words, rest).where("strong").select("word", "form")
-    mentions = words.select("id", "word").distinct().join(strong, "word").join(rest.select("key", "form").distinct(), "form").select("id", "key").distinct()
+    known = written(words.groupBy("word", "bare", "loose").agg(F.min("id").alias("id")))
+    strong = word_matches(known, rest).where("strong").select("word", "form")
+    mentions = known.select("id", "word").join(strong, "word").join(rest.select("key", "form").distinct(), "form").select("id", "key")
     return resolved(forms, found, mentions)

@@ -156,3 +156,16 @@ def test_words_are_grouped_inside_their_row(spark, tmp_path):
     postings.write_index(docs, f"{tmp_path}/index", "k", "t")
     words = postings.WordIndex(spark, f"{tmp_path}/index", "int")
     assert [words.phrase(p).count() for p in ("b a", "a a", "a b b", "b a b")] == [1, 0, 1, 0]
+
+
+def test_words_of_entries_are_read_twice(spark):
+    """Once for the first words and once for all: not again for each use of either."""
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda w: made.add(1) or w, "string").asNondeterministic()
+    words = [(i, p, w) for i in range(20) for p, w in enumerate(["stone", "river", f"other{i}", "cliff"] * 3)]
+    df = spark.createDataFrame(words, "id int, place int, word string").withColumn("word", seen("word"))
+    spell = lambda d, w: d.withColumns({"bare": F.col(w), "loose": F.regexp_replace(w, "[aeiou]", "")})
+    forms = spell(spark.createDataFrame([("a", "stone"), ("b", "missing"), ("c", "other19")], "key string, form string"), "form")
+    got = {(r["key"], r["id"], r["status"]) for r in fuzzy.resolve_words(spell(df, "word"), forms).collect()}
+    assert ("b", None, "missing") in got and ("a", 7, "strong") in got and ("c", 19, "strong") in got
+    assert made.value <= 2 * len(words)
