@@ -11,6 +11,8 @@ from lectern.functions import geo
 
 #: Grids have cells of a power of two; bounds smaller than the finest share its cells.
 FINEST, COARSEST = -40, 60
+#: Stands for no number.
+LEAST = -(1 << 63)
 
 
 def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -199,6 +201,175 @@ def _no_sums(areas):
     return pa.table({"key": areas["key"].slice(0, 0), "n": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
 
 
+def _sums_below(group, u, v, n, ask, most_u, most_v):
+    """For each question, the sum of n over the points of group ask whose ranks u and v lie below most_u and most_v.
+
+    u and v are permutations.  A wavelet matrix: points in the order of group and u are split by the bits of v, the highest first.
+    """
+    import numpy as np
+
+    size = len(u)
+    order = np.lexsort((u, group))
+    key = group[order] * (size + 1) + u[order]
+    start, end = np.searchsorted(key, ask * (size + 1)), np.searchsorted(key, ask * (size + 1) + most_u)
+    v, n, out = v[order], n[order], np.zeros(len(start), np.int64)
+    for bit in reversed(range(size.bit_length())):
+        zero = (v >> bit & 1) == 0
+        places, sums = np.concatenate([[0], np.cumsum(zero)]), np.concatenate([[0], np.cumsum(n * zero)])
+        up = (most_v >> bit & 1) == 1
+        out += np.where(up, sums[end] - sums[start], 0)
+        start, end = (np.where(up, places[-1] + at - places[at], places[at]) for at in (start, end))
+        order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        v, n = v[order], n[order]
+    return out
+
+
+def _counted_boxes(boxes, asked, few: int = 1 << 13):
+    """(n, last) for each box of asked (x0, y0, x1, y1): the sum of n and the greatest last of the boxes (those four, n, last) that share a point with it.
+
+    Of all that begin below an upper bound those are taken off that end below the lower one, which needs no pairs.  The last ones are looked for among
+    the greatest; if these leave more than a few questions open, such counts halve the rest for them again and again.
+    """
+    import numpy as np
+
+    order = np.argsort(boxes[5], kind="stable")
+    boxes, size, many = [c[order] for c in boxes], len(order), len(asked[0])
+    total, last = np.zeros(many, np.int64), np.full(many, LEAST)
+    if not size or not many:
+        return total, last
+    ranks, below = {}, {}
+    for name, mine, theirs, side in (("x0", 0, 2, "right"), ("x1", 2, 0, "left"), ("y0", 1, 3, "right"), ("y1", 3, 1, "left")):
+        by = np.argsort(boxes[mine], kind="stable")
+        ranks[name] = np.empty(size, np.int64)
+        ranks[name][by] = np.arange(size)
+        below[name] = np.searchsorted(boxes[mine][by], asked[theirs], side)
+
+    def counts(group, ask, some):
+        signed = ((x, y, (1 if x == "x0" else -1) * (1 if y == "y0" else -1)) for x in ("x0", "x1") for y in ("y0", "y1"))
+        return sum(sign * _sums_below(group, ranks[x], ranks[y], boxes[4], ask, below[x][some], below[y][some]) for x, y, sign in signed)
+
+    total[:] = counts(np.zeros(size, np.int64), np.zeros(many, np.int64), np.arange(many))
+    todo, upto = np.flatnonzero(total > 0), size
+    while len(todo) and upto:
+        start = max(0, upto - max(1, (1 << 20) // len(todo)))
+        level = lambda c: (ranks[c][start:upto], below[c][todo, None])  # noqa: E731, B023
+        meet = np.less(*level("x0")) & np.less(*level("y0")) & np.greater_equal(*level("x1")) & np.greater_equal(*level("y1"))
+        found = meet.any(1)
+        last[todo[found]] = boxes[5][upto - 1 - np.argmax(meet[found, ::-1], 1)]
+        slow = 2 * found.sum() < len(found)
+        todo, upto = todo[~found], start
+        if slow and len(todo) > few:
+            break
+    else:
+        return total, last
+    at, half = np.zeros(len(todo), np.int64), 1 << max(0, (upto - 1).bit_length() - 1)
+    place = np.arange(size)
+    while half:
+        upper = at + half
+        held = np.flatnonzero(upper < upto)
+        group = np.where(place < upto, place // half, size)
+        met = counts(group, upper[held] // half, todo[held]) > 0
+        at[held[met]] = upper[held[met]]
+        half //= 2
+    last[todo] = boxes[5][at]
+    return total, last
+
+
+def _strip_counts(boxes, asked):
+    """Arrow table (x0, y0, x1, y1, n, last) of the boxes asked of one strip, counting those pairs that share a point and no other strip tells apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    bounds = ["x0", "y0", "x1", "y1"]
+    if not len(boxes) or not len(asked):
+        return _no_counts(bounds, pa.float64())
+    b, q = ({c: t[c].to_numpy() for c in t.column_names} for t in (boxes, asked))
+    corners = ["bx0", "by0", "bx1", "by1"]
+    total, last = np.zeros(len(asked), np.int64), np.full(len(asked), LEAST)
+    turned = q["bx0"] > q["bx1"]
+    for mine, theirs in ((b["lower"], q["upper"]), (b["upper"] & ~b["lower"], q["lower"]), (b["upper"] & b["lower"], q["lower"] & ~q["upper"])):
+        for some, these in ((mine & ~b["flat"], theirs), (mine & b["flat"], theirs & ~turned)):
+            n, most = _counted_boxes([b[c][some] for c in (*corners, "n", "last")], [q[c][these] for c in corners])
+            total[these] += n
+            last[these] = np.maximum(last[these], most)
+    met = pa.array(total > 0)
+    return pa.table({c: asked[c].combine_chunks() for c in bounds} | {"n": total, "last": last}).filter(met)
+
+
+def _no_counts(keys, kind):
+    import pyarrow as pa
+
+    return pa.table({c: pa.array([], kind) for c in keys} | {c: pa.array([], pa.int64()) for c in ("n", "last")})
+
+
+def _cell_counts(cells, asked, side: int):
+    """Arrow table (qx0, qy0, qx1, qy1, n, last): the cells (ax0, ay0, ax1, ay1, n, last) that begin at the upper places asked or below and end at the lower ones or above."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(cells) or not len(asked):
+        return _no_counts(["qx0", "qy0", "qx1", "qy1"], pa.int32())
+    at = lambda t, p: tuple(side - 1 - t[p + c].to_numpy() if c[1] == "1" else t[p + c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    n, last = np.zeros((side,) * 4, np.int64), np.full((side,) * 4, LEAST)
+    n[at(cells, "a")], last[at(cells, "a")] = cells["n"].to_numpy(), cells["last"].to_numpy()
+    for axis in range(4):
+        n, last = np.cumsum(n, axis), np.maximum.accumulate(last, axis)
+    x0, y0, x1, y1 = (asked[c].to_numpy() for c in ("qx0", "qy0", "qx1", "qy1"))
+    held = (x1 >= 0) & (y1 >= 0) & (x0 < side) & (y0 < side)
+    some = (x1[held], y1[held], side - 1 - x0[held], side - 1 - y0[held])
+    out = asked.select(["qx0", "qy0", "qx1", "qy1"]).filter(pa.array(held))
+    return out.append_column("n", pa.array(n[some])).append_column("last", pa.array(last[some])).filter(pa.array(n[some] > 0))
+
+
+def boxes_counted(left: DataFrame, right: DataFrame, value: str, cuts: int = 12) -> DataFrame:
+    """Rows of left whose box shares a point with boxes of right, with n, how many those are, and last, the greatest of their whole numbers value, without a row for each pair.
+
+    Boxes (column ``box``) are as for boxes_meeting; those with a null bound or one below its opposite meet nothing.  Equal boxes count as one with its number.  Cuts
+    split each axis into strips of like many bounds; a cut is a strip of its own, so that one frequent bound is no long strip.  Two boxes are told apart on
+    an axis by strips alone unless one begins in the strip where the other ends.  Pairs told apart on both axes are counted by cells of
+    four strips, (2 * cuts + 1)**4 at most, others in the strip of x, or else of y, that does not tell them apart, which two bounds of a box send it to.
+    """
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    bounds = ["x0", "y0", "x1", "y1"]
+    flat = lambda df, *more: df.select(*[F.col(f"box.{c}").cast("double").alias(c) for c in bounds], *more).where("x0 <= x1 AND y0 <= y1")
+    boxes = flat(right, F.col(value).cast("long").alias("v")).groupBy(*bounds).agg(F.count("*").alias("n"), F.coalesce(F.max("v"), F.lit(LEAST)).alias("last"))
+    asked = flat(left).distinct()
+
+    both = flat(left).unionByName(flat(right)).select(F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("p.*")
+    chosen = both.approxQuantile(["x", "y"], [i / (cuts + 1) for i in range(1, cuts + 1)], 0.1 / cuts)
+    known = {axis: F.array(*[F.lit(c) for c in sorted(set(found))]).cast("array<double>") for axis, found in zip("xy", chosen, strict=True)}
+    place = lambda c: (F.size(F.filter(known[c[0]], lambda k: k < F.col(c))) + F.size(F.filter(known[c[0]], lambda k: k <= F.col(c)))).cast("int")
+    between = lambda c: F.pmod(F.col(c), F.lit(2)) == 0
+    boxes = boxes.select("*", *[place(c).alias("a" + c) for c in bounds])
+    asked = asked.select("*", *[place(c).alias("a" + c) for c in bounds])
+    inner = [F.when(between("a" + c), F.col("a" + c) + (1 if c[1] == "0" else -1)).otherwise(F.col("a" + c)).alias("q" + c) for c in bounds]
+    asked = asked.select("*", *inner)
+
+    def dealt(df: DataFrame, coded: str, *more: str) -> DataFrame:
+        """df with a row for each strip between cuts where a bound lies; on the axis y the places coded stand for x."""
+        at = F.explode(F.array_distinct(F.array(*[F.struct(F.lit(c[0]).alias("axis"), F.col("a" + c).alias("strip")) for c in bounds])))
+        rows = df.select("*", at.alias("at")).where("at.strip % 2 = 0")
+        on_x = F.col("at.axis") == "x"
+        here = lambda k: (F.when(on_x, F.col("ax" + k)).otherwise(F.col("ay" + k)) == F.col("at.strip"))
+        seen = [F.when(on_x, F.col(c)).otherwise(F.col(coded + c).cast("double")).alias("b" + c) for c in ("x0", "x1")]
+        return rows.select("at.*", here("0").alias("lower"), here("1").alias("upper"), *seen, F.col("y0").alias("by0"), F.col("y1").alias("by1"), (~on_x & (F.col("ax0") == F.col("ax1"))).alias("flat"), *more)
+
+    strip = ["axis", "strip"]
+    a = dealt(boxes, "a", "n", "last").repartition(8 * cores, *strip).groupBy(*strip)
+    b = dealt(asked, "q", *bounds).drop("flat").repartition(8 * cores, *strip).groupBy(*strip)
+    in_strips = a.cogroup(b).applyInArrow(_strip_counts, ", ".join(f"{c} double" for c in bounds) + ", n long, last long")
+
+    side, one = 2 * cuts + 1, F.lit(0).alias("one")
+    cells = boxes.groupBy(*["a" + c for c in bounds]).agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("*", one).groupBy("one")
+    places = ["q" + c for c in bounds]
+    wanted = asked.select(*places).distinct().select("*", one).groupBy("one")
+    in_cells = cells.cogroup(wanted).applyInArrow(lambda c, q: _cell_counts(c, q, side), ", ".join(f"{c} int" for c in places) + ", n long, last long")
+    found = in_strips.unionByName(asked.join(in_cells, places).select(*bounds, "n", "last")).groupBy(*bounds).agg(F.sum("n").alias("n"), F.nullif(F.max("last"), F.lit(LEAST)).alias("last"))
+    met = found.select(F.struct(*bounds).alias("_met"), "n", "last")
+    rows = left.withColumn("_box", F.struct(*[F.col(f"box.{c}").cast("double").alias(c) for c in bounds]))
+    return rows.join(met, F.col("_box") == F.col("_met")).drop("_box", "_met", "box")
+
+
 def _side(p: Column, q: Column, x: Column, y: Column) -> Column:
     return F.signum((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]))
 

@@ -18,9 +18,8 @@ _CROSSED = "list_sum([((r[k].y > p.y) <> (r[k % 8 + 1].y > p.y) AND p.x < (r[k %
 
 def _shapes(spark, d):
     """A point, and a ring of eight corners around another one, for each embedding."""
-    e = F.transform("embedding", lambda v: v.cast("double"))
-    rows = table(spark, d, "embeddings").select("vec_id", e.alias("e"))
-    at = lambda k: F.element_at("e", k)
+    rows = table(spark, d, "embeddings")
+    at = lambda k: F.element_at("embedding", k).cast("double")
     reach = lambda k: F.lit(0.05) + F.abs(at(5 + k))
     ring = F.array(*[F.struct((F.lit(4.0) * at(3) + reach(k) * c).alias("x"), (F.lit(4.0) * at(4) + reach(k) * s).alias("y")) for k, (c, s) in enumerate(_TURNS)])
     return rows.select(F.col("vec_id").alias("spot"), (F.lit(4.0) * at(1)).alias("x"), (F.lit(4.0) * at(2)).alias("y")), rows.select("vec_id", ring.alias("ring"))
@@ -40,7 +39,7 @@ def points_on_rings(spark, d):
 def boxes_met(spark, d):
     """How many rings' bounds meet those of each ring, its own among them."""
     boxes = _shapes(spark, d)[1].select("vec_id", F.struct(F.array_min("ring.x").alias("x0"), F.array_min("ring.y").alias("y0"), F.array_max("ring.x").alias("x1"), F.array_max("ring.y").alias("y1")).alias("box"))
-    return spatial.boxes_meeting(boxes, boxes.withColumnRenamed("vec_id", "other")).groupBy("vec_id").agg(F.count("*").alias("meeting"), F.max("other").alias("last"))
+    return spatial.boxes_counted(boxes, boxes, "vec_id").groupBy("vec_id").agg(F.sum("n").alias("meeting"), F.max("last").alias("last"))
 
 
 @query("""SELECT 'b' || p_size AS archive, 'm' || p_partkey AS member, length(p_name) AS size, sha256(p_name) AS sha256, NULL::VARCHAR AS problem FROM part""")

@@ -155,3 +155,81 @@ def test_sums_in_rings_equal_all_pairs(spark):
         got = {row["k"]: (row["n"], row["total"]) for row in spatial.sums_in_rings(p, r, "k", "id", most=most, shared=shared).collect()}
         assert got == want
     assert spatial.sums_in_rings(p.limit(0), r, "k", "id").count() == 0 and spatial.sums_in_rings(p, r.limit(0), "k", "id").count() == 0
+
+
+def met_by_pairs(left, right):
+    """{k: (n, last)} by comparing all pairs; bounds are ordered as in SQL, NaN above all else."""
+    up = lambda a, b: b != b or (a == a and a <= b)
+    out = {}
+    for k, a in left:
+        held = [v for v, b in right if None not in a and None not in b and all(up(s[c], s[c + 2]) for s in (a, b) for c in (0, 1)) and all(up(s[c], t[c + 2]) for s, t in ((a, b), (b, a)) for c in (0, 1))]
+        if held:
+            out[k] = (len(held), max((v for v in held if v is not None), default=None))
+    return out
+
+
+def test_boxes_counted_equal_all_pairs(spark):
+    """Boxes of all sizes, on a coarse lattice with frequent bounds, long thin ones, copies, and odd bounds."""
+    rng = random.Random(5)
+    nan, inf = float("nan"), float("inf")
+
+    def some(first, many):
+        rows = []
+        for k in range(first, first + many):
+            x, y, w, h = rng.uniform(-9, 9), rng.uniform(-9, 9), rng.choice([0.0, 0.1, 2.0, 20.0]), rng.choice([0.0, 0.1, 2.0, 20.0])
+            if k % 3 == 0:
+                x, y, w, h = float(rng.randrange(3)), float(rng.randrange(-9, 9)), float(rng.randrange(2)), float(rng.randrange(4))
+            rows.append((k, (x, y, x + w, y + h)))
+        rows += [(first + many + i, rows[0][1]) for i in range(5)]
+        odd = [(0.0, 0.0, nan, 1.0), (nan, -1.0, nan, 1.0), (-inf, -1.0, inf, inf), (inf, 0.0, inf, 0.0), (None, 0.0, 1.0, 1.0), (3.0, 0.0, 1.0, 9.0), (-0.0, -0.0, 0.0, 0.0)]
+        return rows + [(first + many + 5 + i, b) for i, b in enumerate(odd)]
+
+    left, right = some(0, 150), some(-100, 200)
+    right.append((None, (50.0, -51.0, 51.0, -50.0)))
+    left.append((999, (50.5, -50.5, 50.5, -50.5)))
+    kind = "box struct<x0:double,y0:double,x1:double,y1:double>"
+    a, b = spark.createDataFrame(left, f"k int, {kind}").repartition(3), spark.createDataFrame(right, f"v long, {kind}").repartition(2)
+    want = met_by_pairs(left, right)
+    assert want[999] == (1, None) and len(want) > 140
+    for cuts in (1, 3, 12):
+        rows = spatial.boxes_counted(a, b, "v", cuts=cuts).collect()
+        assert {r["k"]: (r["n"], r["last"]) for r in rows} == want and len(rows) == len(want)
+    assert spatial.boxes_counted(a.limit(0), b, "v").count() == 0 and spatial.boxes_counted(a, b.limit(0), "v").count() == 0
+
+
+def test_last_boxes_are_found_by_halving():
+    """With no question left to the greatest numbers alone, the halves of the rest are counted."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for many in (1, 2, 3, 37, 64, 200):
+        x, y = rng.uniform(0, 1, (2, many)), rng.uniform(0, 1, (2, many))
+        boxes, n, last = [np.minimum(*x), np.minimum(*y), np.minimum(*x) + 0.1, np.minimum(*y) + 0.1], rng.integers(1, 4, many), rng.permutation(many) - 50
+        meet = (boxes[0] <= boxes[2][:, None]) & (boxes[0][:, None] <= boxes[2]) & (boxes[1] <= boxes[3][:, None]) & (boxes[1][:, None] <= boxes[3])
+        for few in (0, 1 << 13):
+            total, most = spatial._counted_boxes([*boxes, n, last], boxes, few=few)
+            assert (total == (meet * n).sum(1)).all() and (most == np.where(meet, last, spatial.LEAST).max(1)).all()
+
+
+def test_boxes_met_makes_no_row_for_each_pair(spark, tmp_path):
+    """3,000 vectors in two places, where all boxes meet: 4.5 million pairs."""
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-0.01, 0.01) + (i % 2 if k in (2, 3) else 0) for k in range(16)]) for i in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    from lectern.plans import catalog, placing  # noqa: F401
+
+    found = catalog.QUERIES["boxes_met"](spark, str(tmp_path))
+    got = {r["vec_id"]: (r["meeting"], r["last"]) for r in found.collect()}
+    assert got == {i: (1500, 2998 + i % 2) for i in range(3000)}
+
+    def nodes(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return nodes(plan.executedPlan())
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return nodes(plan.plan())
+        below = plan.children()
+        return [plan] + [n for i in range(below.size()) for n in nodes(below.apply(i))]
+
+    made = [n.metrics().get("numOutputRows") for n in nodes(found._jdf.queryExecution().executedPlan())]
+    made = [m.get().value() for m in made if m.isDefined()]
+    assert 3000 <= max(made) <= 60_000
