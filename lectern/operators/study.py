@@ -8,22 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def senses(rows: DataFrame, base: str, id: str, wanted: DataFrame) -> DataFrame:
+def senses(rows: DataFrame, base: str, id: str, wanted: DataFrame, block: int = 4096, run: int = 256) -> DataFrame:
     """(wanted, id, place): all rows of the wanted id's base, the wanted one first, then by id.
 
-    wanted is a table of (wanted, base), a wanted id once.  The pairs are as many as the result asks for; they are made last, so
-    none of them is sorted or shuffled.
+    wanted is a table of (wanted, base), a wanted id with one base.  The pairs are as many as the result asks for; they are made
+    last, so none of them is sorted or shuffled: what is dealt to all tasks are blocks of rows with blocks of wanted ids.  A row
+    meets a run of wanted ids before the next row does, so columns repeat and a written result takes a small part of a byte a pair.
     """
-    # rows are numbered once a base; a pair's place follows from the row's number and how many rows have the wanted id
-    w = Window.partitionBy("_base").orderBy(id)
-    same = F.row_number().over(Window.partitionBy("_base", id).orderBy(id))
-    placed = rows.withColumnRenamed(base, "_base").where("_base IS NOT NULL").select("_base", id, F.row_number().over(w).alias("_n"), same.alias("_k"))
-    held = placed.groupBy("_base", F.col(id).alias("_id")).agg(F.count("*").alias("_held"))
-    asked = wanted.join(held, (F.col("base") == F.col("_base")) & (F.col("wanted") == F.col("_id")), "left").select("wanted", "base", F.coalesce("_held", F.lit(0)).alias("_held"))
-    met = asked.join(placed, F.col("base") == F.col("_base"))
-    before = F.col(id).isNull() | (F.col(id) < F.col("wanted"))
-    place = F.when(F.col(id) == F.col("wanted"), F.col("_k")).when(before, F.col("_n") + F.col("_held")).otherwise(F.col("_n"))
-    return met.select("wanted", id, place.cast("int").alias("place"))
+    # rows are numbered once a base; a pair's place follows from the row's number, and how many rows have or precede the wanted id
+    placed = rows.withColumnRenamed(base, "_base").where("_base IS NOT NULL").select("_base", F.col(id).alias("_id"), F.row_number().over(Window.partitionBy("_base").orderBy(id)).alias("_n"))
+    held = placed.groupBy("_base", "_id").agg(F.count("*").alias("_held"), (F.min("_n") - 1).alias("_before"))
+    asked = wanted.join(held, (F.col("base") == F.col("_base")) & (F.col("wanted") == F.col("_id")), "left")
+    copies = Window.partitionBy("base", "wanted")
+    asked = asked.select(
+        "base",
+        F.row_number().over(Window.partitionBy("base").orderBy("wanted")).alias("_w"),
+        "wanted",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_held", "_before")],
+        F.row_number().over(copies.orderBy("wanted")).alias("_copy"),
+        F.count("*").over(copies).alias("_copies"),
+    )
+    block_of = lambda n: F.floor((F.col(n) - 1) / block)
+    left = placed.groupBy("_base", block_of("_n").alias("_i")).agg(F.collect_list(F.struct("_n", F.col("_id").alias(id))).alias("_rows"))
+    right = asked.groupBy("base", block_of("_w").alias("_j")).agg(F.array_sort(F.collect_list(F.struct("_w", "wanted", "_held", "_before", "_copy", "_copies"))).alias("_asked"))
+    tiles = left.join(right, F.col("base") == F.col("_base")).repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "_base", "_i", "_j")
+    runs = tiles.select("_rows", "_asked", F.explode(F.sequence(F.lit(1), F.size("_asked"), F.lit(run))).alias("_from")).select("_rows", F.slice("_asked", F.col("_from"), run).alias("_run"))
+    # array_sort has no generated code, so this step gives row by row; a generated loop would hold all pairs of a block at once
+    met = runs.select("_run", F.inline(F.array_sort("_rows"))).select("_n", id, F.inline("_run"))
+    n, before, held = F.col("_n"), F.col("_before"), F.col("_held")
+    place = F.when(n > before + held, n).when(n > before, n - before).otherwise(n + held)
+    return met.select("wanted", id, ((place - 1) * F.col("_copies") + F.col("_copy")).cast("int").alias("place"))
 
 
 def single_period(points: DataFrame, key: str, at: str, periods: DataFrame, name: str, low: str, high: str) -> DataFrame:

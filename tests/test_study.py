@@ -67,3 +67,36 @@ def test_senses_are_placed_before_they_are_paired(spark):
     assert got == sorted(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("Window") and plan.index("Join") < plan.index("Sort ")
+
+
+def test_senses_in_blocks_hold_copies(spark):
+    rows = [(i, 7) for i in range(11)] + [(4, 7), (4, 7), (None, 7), (20, 8), (20, 8), (5, None)]
+    wanted = [(4, 7), (4, 7), (4, 7), (0, 7), (10, 7), (30, 7), (None, 7), (20, 8), (20, 8), (5, None), (1, 99)]
+    want = []
+    for w, base in set(wanted):
+        own = [i for i, n in rows if n == base and base is not None for _ in range(wanted.count((w, base)))]
+        want += [(str(w), k + 1, str(i)) for k, i in enumerate(sorted(own, key=lambda i: (i is None or i != w, i is not None, i or 0)))]
+    for sizes in ({}, {"block": 3, "run": 2}, {"block": 4, "run": 4}, {"block": 1, "run": 1}):
+        found = study.senses(spark.createDataFrame(rows, "id int, number int"), "number", "id", spark.createDataFrame(wanted, "wanted int, base int"), **sizes)
+        assert sorted((str(r["wanted"]), r["place"], str(r["id"])) for r in found.collect()) == sorted(want)
+
+
+def test_senses_are_written_small(spark, tmp_path):
+    rows = spark.range(1500).select("id", F.lit(7).alias("number"))
+    found = study.senses(rows, "number", "id", rows.select(F.col("id").alias("wanted"), F.col("number").alias("base")))
+    found.write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 1500 * 1500
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1500 * 1500 / 2
+
+
+def test_senses_of_one_base_are_dealt_and_streamed(spark):
+    rows = spark.range(60).select("id", F.lit(7).alias("number"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = study.senses(rows, "number", "id", rows.select(F.col("id").alias("wanted"), F.col("number").alias("base")), 10, 4)
+        steps = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate inline(array_sort" in x]
+        assert len(steps) == 1 and "*(" not in steps[0]  # generated code would hold all pairs of a block
+        assert found.groupBy(F.spark_partition_id()).count().count() > 8 and found.count() == 3600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
